@@ -139,7 +139,7 @@ def test_lines_match_brute_force(spark):
     fps = [int(simhash.majority(np.array([xxhash.xxh64_intdigest(w) for w in ws], dtype=np.uint64), np.array([len(ws)]))[0]) for _, ws in lines]
     same = linededup.alike(0.8)
     gone = set()
-    for g in brute_groups(lines, lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3 and same(" ".join(lines[i][1]), " ".join(lines[j][1]))):
+    for g in brute_groups(lines, lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3 and same(*(b" ".join(lines[k][1]).decode() for k in (i, j)))):
         gone |= {lines[i][0] for i in g} - {min(lines[i][0] for i in g)}
     want = set()
     for d, t, _, root in rows:

@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions.storage import cut
+
 #: Rows of a bucket that one tile holds; a task compares two tiles at most, so its memory does not grow with a bucket.
 TILE = 2048
 
@@ -23,28 +25,31 @@ def masks(n_blocks: int, distance: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
-def block_count(n: int, distance: int) -> int:
-    """The fewest blocks whose keys have about as many values as there are fingerprints: buckets of chance then hold a
-    few rows at any input size. Only the cost depends on it, never the result."""
+def block_count(n: int, distance: int, chance: int = 128) -> int:
+    """The fewest blocks with which a bucket holds about ``chance`` fingerprints that only chance put there: comparing these
+    costs less than dealing every row to more buckets. Only the cost depends on it, never the result."""
     for blocks in range(distance + 1, distance + 6):
-        if n <= 1 << (64 * (blocks - distance) // blocks):
+        if n <= chance << (64 * (blocks - distance) // blocks):
             return blocks
     return distance + 5
 
 
-def tiles(rows: DataFrame, n: int, distance: int, tile: int = TILE) -> DataFrame:
-    """Deals ``rows`` (column fp, distinct; more may follow) into buckets by block key and cuts large buckets into tiles:
-    columns mask, key, i, j before those of rows. Two rows of one bucket meet in exactly one (i, j)."""
+def tiles(rows: DataFrame, n: int, distance: int, tile: int = TILE) -> tuple[DataFrame, list[int]]:
+    """Deals ``rows`` (column fp; more may follow) into buckets by block key and cuts buckets of over ``tile`` rows into
+    tiles: columns mask, key, i, j before those of rows. Two rows of one bucket meet in some (i, j). Also the masks."""
     choice = masks(block_count(n, distance), distance)
-    keyed = rows.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in choice])).alias("mask", "key"), *rows.columns)
-    size = (
-        rows.select(F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in choice])).alias("mask", "key"))
-        .groupBy("mask", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    )
-    parts = F.ceil(F.col("size") / tile).cast("int")
-    met = keyed.join(size, ["mask", "key"]).withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), "parts").cast("int"))
+    keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in choice])).alias("mask", "key")
+    keyed = rows.select(keys, *rows.columns)
+    large = cut(rows.select(keys).groupBy("mask", "key").agg(F.count("*").alias("size")).filter(F.col("size") > tile))
+    count, zero = large.count(), F.lit(0)
+    if not count:
+        return keyed.select("mask", "key", zero.alias("i"), zero.alias("j"), *rows.columns), choice
+    # the large buckets: few rows, and sent to all tasks only if this count says so
+    met = keyed.join(F.broadcast(large) if count <= 20_000 else large, ["mask", "key"], "left")
+    parts = F.coalesce(F.ceil(F.col("size") / tile), F.lit(1)).cast("int")
+    met = met.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), "parts").cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return met.select("mask", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *rows.columns)
+    return met.select("mask", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *rows.columns), choice
 
 
 def _union(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -61,10 +66,11 @@ def _union(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             lab = up
 
 
-def linker(distance: int, names: list[str], node: str, out: pa.Schema, verify: Callable | None = None, payload: str | None = None):
+def linker(distance: int, choice: list[int], node: str, out: pa.Schema, verify: Callable | None = None, payload: str | None = None):
     """A function for mapInArrow over sorted tiles. It compares all pairs of a tile group, a diagonal at a time, and emits
-    a spanning forest (a, b) of each group's links: two rows of ``node`` for each link that first ties two parts together.
-    ``verify(x, y)``: has the last word on a pair, from its payloads; pairs that are already tied need none."""
+    a spanning forest (a, b) of each group's links. ``verify(x, y)`` has the last word on a pair, from its payloads. It is
+    asked only where a pair meets under the first mask that brings it together, and not for pairs that are already tied."""
+    unsigned = [np.uint64(m & (1 << 64) - 1) for m in choice]
 
     def forest(t: pa.Table) -> pa.RecordBatch:
         fp = t["fp"].to_numpy().view(np.uint64)  # bitwise_count takes the absolute value of what has a sign
@@ -74,7 +80,7 @@ def linker(distance: int, names: list[str], node: str, out: pa.Schema, verify: C
             group[1:] |= v[1:] != v[:-1]
         start = np.flatnonzero(np.concatenate([[True], group[1:] != 0]))
         pos = np.arange(len(fp)) - np.repeat(start, np.diff(np.append(start, len(fp))))
-        words = t[payload].to_pylist() if payload else None
+        words, mask = t[payload].to_pylist() if payload else None, t["mask"].to_numpy()
         lab, ties = np.arange(len(fp)), []
         # a row of tile i and one of tile j, i < j, or two of one tile: two of one tile met in (i, i) already, but a second look costs no more than the test for it
         live = np.flatnonzero(pos >= 1)
@@ -84,7 +90,12 @@ def linker(distance: int, names: list[str], node: str, out: pa.Schema, verify: C
             if verify is None:
                 lab = _union(lab, hit - off, hit)
             else:
-                for x in hit[lab[hit] != lab[hit - off]]:
+                hit = hit[lab[hit] != lab[hit - off]]
+                apart, own = fp[hit] ^ fp[hit - off], mask[hit]
+                for k, m in enumerate(unsigned[:-1]):
+                    earlier = (own > k) & (apart & m == 0)
+                    hit, apart, own = hit[~earlier], apart[~earlier], own[~earlier]
+                for x in hit.tolist():
                     if lab[x] != lab[x - off] and verify(words[x], words[x - off]):
                         lab = _union(lab, np.array([x - off]), np.array([x]))
             off += 1
@@ -119,9 +130,9 @@ def links(rows: DataFrame, n: int, distance: int, node: str = "fp", tile: int =
 
     Not all of them: in each tile group a spanning forest, which has the same connected components. ``rows`` has a row for
     each node, columns fp (long), node and payload. n: their number, or about."""
-    dealt = tiles(rows, n, distance, tile)
+    dealt, choice = tiles(rows, n, distance, tile)
     order = ["mask", "key", "i", "j"]
     kind = dict(rows.dtypes)[node]
     arrow = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}[kind]
     out = pa.schema([("a", arrow), ("b", arrow)])
-    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(linker(distance, rows.columns, node, out, verify, payload), f"a {kind}, b {kind}")
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(linker(distance, choice, node, out, verify, payload), f"a {kind}, b {kind}")

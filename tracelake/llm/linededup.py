@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,14 +16,19 @@ from tracelake.llm.common import table
 from tracelake.llm.simhash import majority
 from tracelake.operators.components import connected_components
 
-_WORDS = re.compile(r"\w+")
-_DIGITS = re.compile(r"\d")
 _KNOWN = 200_000
+#: ASCII digits become 0 and ASCII punctuation a space; the line feed stays.
+_FOLD = bytes.maketrans(bytes(range(49, 58)) + (p := bytes(c for c in range(128) if not chr(c).isalnum() and c != 10)), b"0" * 9 + b" " * len(p))
 
 
-def normal(line: str) -> list[str]:
-    """The words of a line as they are compared: lower case, every digit a 0, no punctuation, no white space."""
-    return _WORDS.findall(_DIGITS.sub("0", line.lower()))
+def folded(text: str) -> list[bytes]:
+    """The lines of a text as they are compared: lower case, every digit a 0, no punctuation; white space is any."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_FOLD).split(b"\n")
+
+
+def normal(line: str) -> list[bytes]:
+    """The words of a line as they are compared."""
+    return folded(line)[0].split()
 
 
 def distance_within(a: str, b: str, most: int) -> bool:
@@ -79,31 +83,34 @@ def alike(similarity: float):
     return verify
 
 
+class _Hashes(dict):
+    """XXH64 of words, kept for the next time."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _KNOWN:
+            self.clear()
+        v = self[word] = xxhash.xxh64_intdigest(word)
+        return v
+
+
 def _lines(min_words: int):
     schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("line", pa.int32()), ("sum", pa.binary()), ("fp", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-
-        def word(w: str) -> int:
-            v = known.get(w)
-            if v is None:
-                if len(known) >= _KNOWN:
-                    known.clear()
-                v = known[w] = xxhash.xxh64_intdigest(w)
-            return v
+        known = _Hashes()
+        word = known.__getitem__
 
         for b in batches:
             ids, hs, at, sums, h, counts, fps = [], [], [], [], [], [], []
             for key, text_hash, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                for k, line in enumerate((text.as_py() or "").split("\n")):
-                    words = normal(line)
+                for k, line in enumerate(folded(text.as_py() or "")):
+                    words = line.split()
                     if len(words) < min_words:
                         continue
                     ids.append(key)
                     hs.append(text_hash)
                     at.append(k)
-                    sums.append(xxhash.xxh128_digest(" ".join(words)))
+                    sums.append(xxhash.xxh128_digest(b" ".join(words)))
                     h += map(word, words)
                     counts.append(len(words))
                 if len(h) > 1 << 17:
@@ -119,7 +126,7 @@ def _lines(min_words: int):
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        out = [" ".join(normal(text.split("\n")[k])) for text, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        out = [b" ".join(folded(text)[k].split()).decode("utf-8", "replace") for text, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
         yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array(out, pa.string())], names=["sum", "fp", "words"])
 
 

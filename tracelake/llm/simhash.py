@@ -16,7 +16,7 @@ from tracelake.llm.common import table
 from tracelake.operators.components import connected_components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
-_CHUNK = 1 << 16
+_CHUNK = 1 << 14
 
 
 def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
