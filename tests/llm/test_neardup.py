@@ -108,8 +108,8 @@ def test_edit_distance():
 
     r = random.Random(1)
     for _ in range(600):
-        a = "".join(r.choice("abc") for _ in range(r.randint(0, 14)))
-        b = "".join(r.choice("abc") for _ in range(r.randint(0, 14)))
+        a = [r.choice("abc") for _ in range(r.randint(0, 14))]
+        b = [r.choice("abc") for _ in range(r.randint(0, 14))]
         for k in range(0, 15, 3):
             assert linededup.distance_within(a, b, k) == (brute(a, b) <= k)
     assert linededup.distance_within("x" * 30000, "x" * 15000 + "y" + "x" * 15000, 1)

@@ -14,6 +14,8 @@ from tracelake.functions.storage import cut
 
 #: Rows of a bucket that one tile holds; a task compares two tiles at most, so its memory does not grow with a bucket.
 TILE = 2048
+#: Bytes of rows that are compared in one sweep.
+AT_ONCE = 4 << 20
 
 
 def masks(n_blocks: int, distance: int) -> list[int]:
@@ -41,9 +43,7 @@ def tiles(rows: DataFrame, n: int, distance: int, tile: int = TILE) -> tuple[Dat
     keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in choice])).alias("mask", "key")
     keyed = rows.select(keys, *rows.columns)
     large = cut(rows.select(keys).groupBy("mask", "key").agg(F.count("*").alias("size")).filter(F.col("size") > tile))
-    count, zero = large.count(), F.lit(0)
-    if not count:
-        return keyed.select("mask", "key", zero.alias("i"), zero.alias("j"), *rows.columns), choice
+    count = large.count()
     # the large buckets: few rows, and sent to all tasks only if this count says so
     met = keyed.join(F.broadcast(large) if count <= 20_000 else large, ["mask", "key"], "left")
     parts = F.coalesce(F.ceil(F.col("size") / tile), F.lit(1)).cast("int")
@@ -106,11 +106,15 @@ def linker(distance: int, choice: list[int], node: str, out: pa.Schema, verify:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
+        waiting, size = [], 0
         for b in batches:
-            if not b.num_rows:
+            waiting.append(b)
+            size += b.nbytes
+            if size < AT_ONCE:
                 continue
-            t = pa.Table.from_batches([b])
+            t = pa.Table.from_batches(waiting)
             held = pa.concat_tables([held, t]) if held is not None else t
+            waiting, size = [], 0
             last = {c: held[c][-1].as_py() for c in ("mask", "key", "i", "j")}
             same = np.ones(held.num_rows, dtype=bool)
             for c, v in last.items():
@@ -119,7 +123,10 @@ def linker(distance: int, choice: list[int], node: str, out: pa.Schema, verify:
             if first:
                 yield forest(held.slice(0, first).combine_chunks())
                 held = held.slice(first)
-        if held is not None:
+        if waiting:
+            t = pa.Table.from_batches(waiting)
+            held = pa.concat_tables([held, t]) if held is not None else t
+        if held is not None and held.num_rows:
             yield forest(held.combine_chunks())
 
     return run

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.storage import cut, shared_dir
 from tracelake.llm.common import table
-from tracelake.llm.tokens import Encoder, crc32, public_path
+from tracelake.llm.tokens import crc32
+from tracelake.llm.tokens import encoder as encoder_of
 
 _MAGIC, _FOOTER = b"EFTOKEN1", "<8q"
 #: A select sample for every so many ones.
@@ -142,7 +143,7 @@ def _write(folder: str, vocabulary: str, kind: str, end: int):
             for at in range(0, big.num_rows, 500):
                 b = big.slice(at, 500)
                 if out is None:
-                    encoder = Encoder(public_path(vocabulary) if "/" not in vocabulary else vocabulary, kind, end)
+                    encoder = encoder_of(vocabulary, kind, end)
                     fs, path = _open(uri)
                     out = fs.open_output_stream(path)
                 for key, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):

@@ -31,54 +31,48 @@ def normal(line: str) -> list[bytes]:
     return folded(line)[0].split()
 
 
-def distance_within(a: str, b: str, most: int) -> bool:
-    """Whether ``a`` becomes ``b`` in ``most`` character edits or fewer (Levenshtein): bit-parallel over arbitrarily long
+def distance_within(a: list, b: list, most: int) -> bool:
+    """Whether ``a`` becomes ``b`` in ``most`` edits of items or fewer (Levenshtein): bit-parallel over arbitrarily long
     integers (Myers, Hyyro), after what both share at their ends is cut off."""
     if abs(len(a) - len(b)) > most:
         return False
-    n, lo = min(len(a), len(b)), 0
-    step = 1 << max(0, n.bit_length() - 1)
-    while step:
-        while lo + step <= n and a[lo : lo + step] == b[lo : lo + step]:
-            lo += step
-        step >>= 1
-    a, b = a[lo:], b[lo:]
-    n, hi = min(len(a), len(b)), 0
-    step = 1 << max(0, n.bit_length() - 1)
-    while step:
-        while hi + step <= n and a[len(a) - hi - step : len(a) - hi] == b[len(b) - hi - step : len(b) - hi]:
-            hi += step
-        step >>= 1
-    a, b = a[: len(a) - hi], b[: len(b) - hi]
-    if not a or not b:
-        return max(len(a), len(b)) <= most
+    n, lo, hi = min(len(a), len(b)), 0, 0
+    while lo < n and a[lo] == b[lo]:
+        lo += 1
+    while hi < n - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    if min(len(a), len(b)) <= 1:  # nothing, or one item that may be found in the other
+        return max(len(a), len(b)) - (bool(a) and bool(b) and (a[0] in b if len(a) == 1 else b[0] in a)) <= most
     if len(a) < len(b):
         a, b = b, a
-    places: dict[str, int] = {}
+    places: dict = {}
     for k, c in enumerate(b):
         places[c] = places.get(c, 0) | 1 << k
     full, top, score = (1 << len(b)) - 1, 1 << (len(b) - 1), len(b)
-    up, down = full, 0
-    for k, c in enumerate(a):
+    up, down, left = full, 0, len(a)
+    for c in a:
         eq = places.get(c, 0)
-        d = ((((eq & up) + up) ^ up) | eq | down) & full
-        hp, hn = (down | ~(d | up)) & full, up & d
+        d = (((eq & up) + up) ^ up) | eq | down
+        hp, hn = down | ~(d | up), up & d
         if hp & top:
             score += 1
         elif hn & top:
             score -= 1
-        if score - (len(a) - k - 1) > most:
+        left -= 1
+        if score - left > most:
             return False
-        hp, hn = (hp << 1 | 1) & full, (hn << 1) & full
-        up, down = (hn | ~(d | hp)) & full, hp & d
+        hp = hp << 1 | 1
+        up, down = (hn << 1 | ~(d | hp)) & full, hp & d & full
     return score <= most
 
 
 def alike(similarity: float):
-    """Whether 1 - edits / length of the longer is ``similarity`` at least."""
+    """Whether 1 - word edits / words of the longer is ``similarity`` at least."""
 
     def verify(a: str, b: str) -> bool:
-        return distance_within(a, b, int((1 - similarity) * max(len(a), len(b)) + 1e-9))
+        x, y = a.split(" "), b.split(" ")
+        return distance_within(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9))
 
     return verify
 
@@ -135,7 +129,7 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     numbers from 0).
 
     Lines of ``min_words`` words or more are compared after normalisation. Two link if the SimHash fingerprints of their
-    words differ in ``distance`` bits or fewer and their edit similarity is ``similarity`` or more; in each connected group
+    words differ in ``distance`` bits or fewer and their edit similarity (by words) is ``similarity`` or more; in each connected group
     the line of the smallest (key, text hash, line number) stays. Shorter lines never go. Equal lines are one node. Null texts
     have no lines; null keys come first in that order; rows that repeat key and text are one document."""
     base = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
@@ -148,15 +142,16 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     ends = near.select(F.col("a").alias("fp")).union(near.select(F.col("b").alias("fp"))).union(prints.filter("lines > 1").select("fp")).distinct()
     wanted = nodes.join(ends, "fp").select("sum", "fp", "first.*")
     texts = cut(
-        base.join(wanted.withColumnsRenamed({"id": "wid", "h": "wh"}), F.expr("id <=> wid and h = wh"))
+        base.join(wanted.withColumnsRenamed({"id": "wid", "h": "wh"}).hint("shuffle_hash"), F.expr("id <=> wid and h = wh"))
         .select("text", "line", "sum", "fp").mapInArrow(_texts, "sum binary, fp bigint, words string").dropDuplicates(["sum"])
     )
     ties = links(texts, n, distance, node="sum", tile=512, verify=alike(similarity), payload="words")
     roots = connected_components(ties).withColumnsRenamed({"node": "sum"})
-    in_group = nodes.join(roots, "sum", "left").withColumn("root", F.coalesce("root", "sum"))
+    # most lines are alone: they go before anything is grouped
+    in_group = nodes.join(roots.hint("shuffle_hash"), "sum", "left").filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "sum"))
     first = in_group.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).filter("n > 1")
     dup = in_group.select("sum", "root").join(first, "root").select("sum", "keep")
-    gone = lines.join(dup, "sum").filter(place != F.col("keep"))
+    gone = lines.join(dup.hint("shuffle_hash"), "sum").filter(place != F.col("keep"))
     return gone.select("id", "h", "line").distinct().groupBy("id", "h").agg(F.array_sort(F.collect_list("line")).alias("lines"))
 
 
@@ -164,7 +159,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
     """``docs`` with the lines of ``duplicates`` taken out of its text; every row stays, with an empty text if all of its
     lines went, and all other columns stay as they were (a column n_chars is brought up to date)."""
     gone = duplicates(docs, key, text, **how).withColumnsRenamed({"id": "__id", "h": "__h", "lines": "__gone"})
-    left = docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__h")), "left")
+    left = docs.join(gone.hint("shuffle_hash"), F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__h")), "left")
     # the lambda sees the array of numbers as a plain column, so each line costs one search in it
     kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
     out = left.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept))

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.storage import cut
 from tracelake.llm.common import table
-from tracelake.llm.tokens import Encoder, crc32, public_path
+from tracelake.llm.tokens import crc32
+from tracelake.llm.tokens import encoder as encoder_of
 
 #: Bytes of text that make a shard, packed by one task.
 SHARD_BYTES = 16 << 20
@@ -22,7 +23,7 @@ def _tokenise(vocabulary: str, kind: str, end: int, shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, row = Encoder(public_path(vocabulary) if "/" not in vocabulary else vocabulary, kind, end), TaskContext.get().partitionId() * 7919
+        encoder, row = encoder_of(vocabulary, kind, end), TaskContext.get().partitionId() * 7919
         for big in batches:
             for at in range(0, big.num_rows, 500):
                 b = big.slice(at, 500)
@@ -136,7 +137,7 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
 def ids_fit(vocabulary: str, end: int) -> bool:
     """Whether 16 bits hold every id."""
-    return Encoder(public_path(vocabulary) if "/" not in vocabulary else vocabulary, "word", end).kind.itemsize == 2
+    return encoder_of(vocabulary, "word", end).kind.itemsize == 2
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:

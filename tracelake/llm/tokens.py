@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 
-#: Chunks kept, and characters encoded at a time: with these a worker's memory is bounded whatever the texts are.
-KNOWN, AT_ONCE = 300_000, 1 << 20
+#: Parts kept, and characters encoded at a time: with these a worker's memory is bounded whatever the texts are.
+KNOWN, AT_ONCE = 800_000, 1 << 21
+_ENCODERS: dict[tuple, Encoder] = {}
 
 
 def public_path(name: str) -> str:
@@ -18,17 +20,33 @@ def public_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def encoder(vocabulary: str, kind: str, end: int) -> Encoder:
+    """The encoder of a vocabulary (a path, or a name among the public ones); a worker keeps it, and what it has learnt, from
+    task to task."""
+    key = vocabulary, kind, end
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(vocabulary if "/" in vocabulary else public_path(vocabulary), kind, end)
+    return _ENCODERS[key]
+
+
 class Encoder:
     """Encodes texts exactly as ``tokenizers`` does, add_special_tokens=False, and appends ``end``.
 
-    Both vocabularies cut a text at white space before anything else, so a text's ids are those of its chunks, one after the
-    other, and a chunk that was seen before needs no second encoding. kind "byte": a chunk is a word with at most one
-    space before it, or a run of white space without the last character that precedes a word; "word": white space is
-    dropped. A text that holds a special token's string, or one of the four separators that Python alone counts as white
-    space, is encoded whole."""
+    Both vocabularies cut a text into words, numbers, other signs and white space before anything else: a text's ids are
+    those of these parts, one after the other. A part that was seen before needs no second encoding; new words go to the
+    tokenizer many in one string.
+
+    The classes of ``re`` do not tell numbers that are no digits from letters: a text with one goes to the tokenizer whole.
+    So do texts with special tokens' strings or with separators that Python alone counts as white space and, as "word"
+    vocabularies work on normal forms in lower case, texts that are not in normal form or whose lower case depends on
+    the place."""
 
-    _CUT = {"byte": re.compile(r" ?\S+|\s+(?!\S)|\s+").findall, "word": str.split}
-    _ODD = re.compile("[\x1c-\x1f]|<\\|")
+    _LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
+    _PARTS = {
+        "byte": re.compile(rf" ?[{_LATIN}]++(?![^\W\d_])| ?[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)| ?\d+| ?(?:_|[^\s\w])+|\s+(?!\S)|\s+").findall,
+        "word": re.compile(rf"[{_LATIN}]++(?![^\W\d_])|[^\W\d_]+|'(?:s|t|re|ve|m|ll|d)|\d|(?:_|[^\s\w])+").findall,
+    }
+    _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
 
     def __init__(self, path: str, kind: str, end: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -36,19 +54,65 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if max(self.tokenizer.get_vocab_size(with_added_tokens=True), end + 1) <= 1 << 16 else "<u4")
-        self.cut, self.end, self.known = self._CUT[kind], np.array([end], self.kind).tobytes(), {}
+        self.parts, self.end, self.spaced = self._PARTS[kind], np.array([end], self.kind).tobytes(), kind == "byte"
+        self.known: dict[str, bytes | None] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        """Words of letters stand side by side in one string without changing each other's ids. A part that may not be what
+        the tokenizer makes it is None."""
+        known, width = self.known, self.kind.itemsize
+        side, rest = [], []
+        for w in new:
+            if (w[1:] if w[0] == " " else "" if self.spaced else w).isalpha():
+                side.append(w)
+            elif not self.spaced and w.isalpha() or w.isascii() or not any(c.isalnum() and not c.isalpha() and not c.isdecimal() for c in w):
+                rest.append(w)
+            else:
+                known[w] = None
+        strings = [side[at : at + 500] for at in range(0, len(side), 500)]
+        for ws, e in zip(strings, self.tokenizer.encode_batch([("" if self.spaced else " ").join(ws) for ws in strings], add_special_tokens=False)):
+            at = np.array(e.word_ids)
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(at)) + 1, [len(at)]]) * width
+            if len(cuts) - 1 == len(ws):
+                data, cuts = np.array(e.ids, self.kind).tobytes(), cuts.tolist()
+                known.update(zip(ws, [data[i:j] for i, j in zip(cuts, cuts[1:])]))
+            else:
+                rest += ws
+        known.update(zip(rest, self._ids(rest)))
+
+    def _cut(self, text: str) -> list[str] | None:
+        """The parts of a text; None if only the tokenizer can tell."""
+        if any(x in text for x in self._ODD):
+            return None
+        if not self.spaced:
+            if not text.isascii() and ("\u03a3" in text or not unicodedata.is_normalized("NFC", text)):
+                return None
+            text = text.lower()
+        return self.parts(text)
+
     def _group(self, texts: list[str]) -> list[bytes]:
-        odd = [bool(self._ODD.search(t)) for t in texts]
-        parts = [[] if o else self.cut(t) for t, o in zip(texts, odd)]
-        known = self.known
-        new = [c for c in set().union(*parts) if c not in known]
-        for at in range(0, len(new), 4096):
-            known.update(zip(new[at : at + 4096], self._ids(new[at : at + 4096])))
-        out = [(self._ids([t])[0] if o else b"".join(map(known.__getitem__, p))) + self.end for t, o, p in zip(texts, odd, parts)]
+        # one look-up for each part: these, not the tokenizer, are most of the work
+        get, known = self.known.get, self.known
+        parts, found, gaps, new = [], [], [], set()
+        for t in texts:
+            p = self._cut(t)
+            got = list(map(get, p or ()))
+            gap = [i for i, ids in enumerate(got) if ids is None] if None in got else []
+            new.update([p[i] for i in gap])
+            parts.append(p)
+            found.append(got)
+            gaps.append(gap)
+        if new:
+            self._learn([w for w in new if w not in known])
+        out = []
+        for t, p, got, gap in zip(texts, parts, found, gaps):
+            for i in gap:
+                got[i] = known[p[i]]
+            whole = p is None or bool(gap) and None in got
+            out.append((self._ids([t])[0] if whole else b"".join(got)) + self.end)
         if len(known) > KNOWN:
             known.clear()
         return out
