@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.model import EngineError, Log, View
-from tracelake.operators.executions import attributes_as_of, leading, ordered, same_value
+from tracelake.operators.executions import attributes_as_of, in_case, leading, ordered, same_value
 
 LIMIT, DEPTH = 100_000, 64
 _LISTS = {"event_id": "ids", "object_id": "ids", "event_activity": "activities", "object_type": "types", "e2o_qualifier": "qualifiers", "o2o_qualifier": "qualifiers", "and": "children", "or": "children"}
@@ -247,7 +247,5 @@ def relation_universal_equal(log: Log, source_type: str, target_type: str, relat
 def event_pairs(log: Log, object_type: str, source: str, target: str) -> DataFrame:
     """object_id, source_event, target_event: an object's events of two activities, each source with the next target after it."""
     cases = leading(log, View(object_types=(object_type,), activities=(source, target)), attributes=False)
-    from tracelake.operators.executions import CASE
-
-    after = F.first(F.when(F.col("activity") == target, F.col("event_id")), ignorenulls=True).over(CASE.rowsBetween(1, 1 << 40))
+    after = F.first(F.when(F.col("activity") == target, F.col("event_id")), ignorenulls=True).over(in_case().rowsBetween(1, Window.unboundedFollowing))
     return cases.withColumn("target_event", after).filter((F.col("activity") == source) & F.col("target_event").isNotNull()).select("object_id", F.col("event_id").alias("source_event"), "target_event")

@@ -12,7 +12,11 @@ from tracelake.operators.components import connected_components
 
 #: The order of events in an execution: time, then sequence, then external id.
 ORDER = ("ts", "seq", "external_event_id")
-CASE = Window.partitionBy("execution_id").orderBy(*ORDER)
+
+
+def in_case():
+    """The events of an execution in their order."""
+    return Window.partitionBy("execution_id").orderBy(*ORDER)
 
 
 def one_of(column: str, values: Iterable) -> Column:
@@ -128,8 +132,8 @@ def ordered(cases: DataFrame) -> DataFrame:
     """``cases`` with pos (from 1), n, prev_activity, next_activity, next_ts and next_event_id: one shuffle by execution, one sort."""
     whole = Window.partitionBy("execution_id")
     return cases.select(
-        "*", F.row_number().over(CASE).alias("pos"), F.count("*").over(whole).alias("n"), F.lag("activity").over(CASE).alias("prev_activity"),
-        F.lead("activity").over(CASE).alias("next_activity"), F.lead("ts").over(CASE).alias("next_ts"), F.lead("event_id").over(CASE).alias("next_event_id"),
+        "*", F.row_number().over(in_case()).alias("pos"), F.count("*").over(whole).alias("n"), F.lag("activity").over(in_case()).alias("prev_activity"),
+        F.lead("activity").over(in_case()).alias("next_activity"), F.lead("ts").over(in_case()).alias("next_ts"), F.lead("event_id").over(in_case()).alias("next_event_id"),
     )
 
 
@@ -145,7 +149,7 @@ def observations(log: Log, view: View = View(), keep: Iterable[str] = ()) -> Dat
     wanted = list(keep)
     cases = cases.withColumn("attributes", F.map_filter("attributes", lambda k, _: k.isin(wanted)) if wanted else F.lit(None))
     pair = {"event_id": "event_id", "activity": "activity", "ts": "ts", "lifecycle": "lifecycle", "attributes": "attributes", "external_event_id": "external_event_id"}
-    nxt = {f"target_{k}": F.lead(c).over(CASE) for k, c in pair.items()}
+    nxt = {f"target_{k}": F.lead(c).over(in_case()) for k, c in pair.items()}
     out = cases.select("object_id", "object_type", *[F.col(c).alias(f"source_{k}") for k, c in pair.items()], *[c.alias(k) for k, c in nxt.items()])
     return out.filter(F.col("target_event_id").isNotNull() & (F.col("target_event_id") != F.col("source_event_id")))
 

@@ -1,6 +1,705 @@
-"""Registered queries of the process engine and the SQL that states the same."""
+"""Registered queries of the process engine over the demo logs, and the SQL that states the same."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+from datetime import datetime, timezone
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tracelake.engine import closure
+from tracelake.model import Log, View, validate
+from tracelake.operators import bottlenecks, conformance, constraints, discovery, enhancement, executions, kernels, prediction, risk, stats
+from tracelake.sources import demo
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+
+
+def query(log: Callable[[SparkSession, str], Log], sql: str | None = None, prefix: str | None = None):
+    """Registers ``f(log)`` under its name. sql: the body behind the CTEs of the log."""
+
+    def add(f: Callable[[Log], DataFrame]):
+        name = f.__name__
+        QUERIES[name] = lambda spark, sf_dir: f(log(spark, sf_dir))
+        if sql is not None:
+            base = prefix if prefix is not None else demo.USERS_SQL if log is demo.users else demo.ORDERS_SQL
+            SQL[name] = f"WITH {base.strip()}{sql}" if sql.lstrip().startswith(",") else f"WITH {base.strip()}\n{sql}"
+        return f
+
+    return add
+
+
+A, B = demo.users, demo.orders
+
+
+def _t(day: int, hour: int = 0) -> datetime:
+    return datetime(2024, 1, day, hour, tzinfo=timezone.utc)
+
+
+def _cases(log: Log, **view) -> DataFrame:
+    return executions.ordered(executions.leading(log, View(**view), attributes=bool(view.get("event_attributes") or view.get("statuses"))))
+
+
+def _full(log: Log, **view) -> DataFrame:
+    return executions.ordered(executions.leading(log, View(**view)))
+
+
+def _d(a: str = "nxt_ts", b: str = "ts") -> str:
+    return f"((epoch_us({a}) - epoch_us({b})) / 1e6)"
+
+
+# --- model and profile ---
+
+
+@query(A, """SELECT (SELECT count(*) FROM u) AS events, (SELECT count(DISTINCT activity) FROM u) AS activities, CAST((SELECT epoch_us(min(ts)) FROM u) AS BIGINT) AS first_us,
+CAST((SELECT epoch_us(max(ts)) FROM u) AS BIGINT) AS last_us, (SELECT count(DISTINCT object_id) FROM u) AS objects, CAST(1 AS BIGINT) AS object_types, (SELECT count(*) FROM u) AS e2o, CAST(0 AS BIGINT) AS o2o""")
+def profile_counts(log):
+    p = executions.profile(log)
+    return p.select("events", "activities", F.unix_micros("first_ts").alias("first_us"), F.unix_micros("last_ts").alias("last_us"), "objects", "object_types", "e2o", "o2o")
+
+
+@query(B, "SELECT object_type, count(*) AS objects FROM ob GROUP BY 1")
+def object_type_histogram(log):
+    return log.objects.groupBy("object_type").agg(F.count("*").alias("objects"))
+
+
+@query(A, "SELECT activity, count(*) AS events FROM u GROUP BY 1")
+def activity_histogram(log):
+    return log.events.groupBy("activity").agg(F.count("*").alias("events"))
+
+
+@query(B)
+def validation(log):
+    return validate(log)
+
+
+@query(B, """SELECT count(*) FILTER (activity IN ('place', 'ship')) AS events, (SELECT count(*) FROM ob WHERE object_type = 'order') AS objects FROM ev
+WHERE event_id IN (SELECT event_id FROM eo JOIN ob USING (object_id) WHERE object_type = 'order')""")
+def profile_by_view(log):
+    p = executions.profile(log, View(object_types=("order",), activities=("place", "ship")))
+    return p.select("events", "objects")
+
+
+@query(B, """, k AS (SELECT object_id FROM ob WHERE object_type IN ('order', 'customer')), e AS (SELECT * FROM eo WHERE object_id IN (SELECT object_id FROM k))
+SELECT (SELECT count(DISTINCT event_id) FROM e) AS events, (SELECT count(*) FROM k) AS objects, (SELECT count(*) FROM e) AS e2o, (SELECT count(*) FROM orders) AS o2o""")
+def snapshot_counts(log):
+    s = executions.snapshot(log, View(object_types=("order", "customer")))
+    one = lambda df, n: df.agg(F.count("*").alias(n))
+    return one(s.events, "events").join(one(s.objects, "objects"), how="cross").join(one(s.e2o, "e2o"), how="cross").join(one(s.o2o, "o2o"), how="cross")
+
+
+# --- graphs, variants, profiles ---
+
+
+@query(A, "SELECT activity AS source, nxt AS target, count(*) AS frequency FROM x WHERE nxt IS NOT NULL GROUP BY 1, 2")
+def dfg(log):
+    return stats.dfg(_cases(log))
+
+
+@query(B, "SELECT activity AS source, nxt AS target, object_type, count(*) AS frequency FROM y WHERE nxt IS NOT NULL GROUP BY 1, 2, 3")
+def oc_dfg(log):
+    return stats.dfg(_cases(log), by_type=True)
+
+
+@query(A, f"SELECT activity AS source, nxt AS target, count(*) AS frequency, round(sum(epoch_us(nxt_ts) - epoch_us(ts)) / count(*) / 1e6, 3) AS mean_seconds FROM x WHERE nxt IS NOT NULL GROUP BY 1, 2")
+def dfg_durations(log):
+    return stats.dfg_durations(_cases(log)).withColumn("mean_seconds", F.round("mean_seconds", 3))
+
+
+@query(A, "SELECT activity, count(*) AS frequency FROM x WHERE pos = 1 GROUP BY 1")
+def start_activities(log):
+    return stats.starts(_cases(log))
+
+
+@query(A, "SELECT activity, count(*) AS frequency FROM x WHERE pos = n GROUP BY 1")
+def end_activities(log):
+    return stats.ends(_cases(log))
+
+
+_PATHS = ", v AS (SELECT object_id, object_type, string_agg(activity, '>' ORDER BY pos) AS path, min(ts) AS first, max(ts) AS last, count(*) AS events FROM y GROUP BY 1, 2)"
+_UPATHS = ", v AS (SELECT object_id, string_agg(activity, '>' ORDER BY pos) AS path, min(ts) AS first, max(ts) AS last, count(*) AS events FROM x GROUP BY 1)"
+
+
+@query(B, f"{_PATHS} SELECT path, substr(md5(path), 1, 10) AS path_hash, count(*) AS frequency FROM v WHERE object_type = 'order' GROUP BY 1")
+def variants(log):
+    return stats.variants(_cases(log, object_types=("order",)))
+
+
+@query(B, f"""{_PATHS}, s AS (SELECT path, count(*) AS frequency, avg({_d('last', 'first')}) AS a, min({_d('last', 'first')}) AS lo, max({_d('last', 'first')}) AS hi, median({_d('last', 'first')}) AS med
+FROM v WHERE object_type = 'order' GROUP BY 1)
+SELECT path, substr(md5(path), 1, 10) AS path_hash, frequency, round(a, 3) AS avg_seconds, lo AS min_seconds, hi AS max_seconds, round(med, 3) AS median_seconds FROM s ORDER BY frequency DESC, round(a, 6), path_hash LIMIT 101""")
+def variant_stats(log):
+    v = stats.variant_stats(_cases(log, object_types=("order",)))
+    return v.select("path", "path_hash", "frequency", F.round("avg_seconds", 3).alias("avg_seconds"), "min_seconds", "max_seconds", F.round("median_seconds", 3).alias("median_seconds"))
+
+
+@query(A, "SELECT activity, count(DISTINCT object_id) AS cases, count(*) AS occurrences, count(*) FILTER (pos = 1) AS starts, count(*) FILTER (pos = n) AS ends FROM x GROUP BY 1")
+def activity_profile(log):
+    return stats.activity_profile(_cases(log))
+
+
+@query(B, f"""{_PATHS} SELECT execution_id, path_hash, events, seconds FROM (SELECT object_id AS execution_id, substr(md5(path), 1, 10) AS path_hash, events, {_d('last', 'first')} AS seconds FROM v WHERE object_type = 'supplier')""")
+def case_summary(log):
+    return stats.case_summary(_cases(log, object_types=("supplier",))).select("execution_id", "path_hash", "events", "seconds")
+
+
+@query(A, """, w AS (SELECT *, min(ts) OVER (PARTITION BY object_id) AS a, max(ts) OVER (PARTITION BY object_id) AS z FROM x)
+SELECT activity, count(DISTINCT object_id) AS cases, count(*) AS occurrences FROM w WHERE a >= TIMESTAMP '2024-01-01' AND z < TIMESTAMP '2024-01-30 12:00:00' GROUP BY 1""")
+def execution_summary_contained(log):
+    return stats.activity_profile(stats.contained(_cases(log), _t(1), _t(30, 12))).select("activity", "cases", "occurrences")
+
+
+@query(A, """SELECT activity, next_activity, w1, w2, w3 FROM (SELECT activity, nxt AS next_activity, count(*) FILTER (ts >= TIMESTAMP '2024-01-01' AND nxt_ts < TIMESTAMP '2024-01-10') AS w1,
+count(*) FILTER (ts >= TIMESTAMP '2024-01-10' AND nxt_ts < TIMESTAMP '2024-01-20') AS w2, count(*) FILTER (ts >= TIMESTAMP '2024-01-20' AND nxt_ts < TIMESTAMP '2024-01-31') AS w3
+FROM x WHERE nxt IS NOT NULL GROUP BY 1, 2) WHERE greatest(w1, w2, w3) >= 20""")
+def multi_window_dfg(log):
+    m = stats.multi_window(_cases(log), [(_t(1), _t(10)), (_t(10), _t(20)), (_t(20), _t(31))], least=20)
+    return m.select("activity", "next_activity", *[F.col("counts")[i].alias(f"w{i + 1}") for i in range(3)])
+
+
+@query(B, f"""{_PATHS} SELECT path_hash, w1, w2 FROM (SELECT substr(md5(path), 1, 10) AS path_hash, count(*) FILTER (first >= TIMESTAMP '1992-01-01' AND last < TIMESTAMP '1995-01-01') AS w1,
+count(*) FILTER (first >= TIMESTAMP '1995-01-01' AND last < TIMESTAMP '1999-01-01') AS w2 FROM v WHERE object_type = 'order' AND path LIKE '%ship%' AND path NOT LIKE '%return%' GROUP BY path) WHERE w1 + w2 > 0""")
+def variant_windows(log):
+    a = lambda y: datetime(y, 1, 1, tzinfo=timezone.utc)
+    v = stats.variant_windows(_cases(log, object_types=("order",)), [(a(1992), a(1995)), (a(1995), a(1999))], including=["ship"], excluding=["return"])
+    return v.select("path_hash", F.col("counts")[0].alias("w1"), F.col("counts")[1].alias("w2"))
+
+
+@query(A, f"""SELECT activity AS source, nxt AS target, count(*) AS frequency, round(avg({_d()}), 3) AS mean_seconds, min({_d()}) AS min_seconds, max({_d()}) AS max_seconds,
+round(stddev_samp({_d()}), 3) AS stddev_seconds, count(*) FILTER ({_d()} > 3600) AS slow_count, round(avg(CASE WHEN {_d()} > 3600 THEN 1.0 ELSE 0 END), 6) AS slow_rate FROM x WHERE nxt IS NOT NULL GROUP BY 1, 2""")
+def edge_features(log):
+    e = stats.edge_features(_cases(log), 3600.0)
+    return e.select("source", "target", "frequency", F.round("mean_seconds", 3).alias("mean_seconds"), "min_seconds", "max_seconds", F.round("stddev_seconds", 3).alias("stddev_seconds"), "slow_count", F.round("slow_rate", 6).alias("slow_rate"))
+
+
+@query(A, ", c AS (SELECT object_id, activity, nxt, count(*) AS n FROM x WHERE nxt IS NOT NULL GROUP BY 1, 2, 3 HAVING count(*) > 1) SELECT activity AS source, nxt AS target, count(*) AS cases, CAST(sum(n - 1) AS BIGINT) AS repeats FROM c GROUP BY 1, 2")
+def rework_transitions(log):
+    return stats.rework(_cases(log))
+
+
+@query(B, f"SELECT CAST(epoch_us(date_trunc('month', nxt_ts)) AS BIGINT) AS bucket_us, activity AS source, nxt AS target, count(*) AS frequency, round(avg({_d()}), 3) AS mean_seconds FROM y WHERE nxt IS NOT NULL AND object_type = 'order' GROUP BY 1, 2, 3")
+def duration_series_month(log):
+    d = stats.duration_series(_cases(log, object_types=("order",)), "month")
+    return d.select(F.unix_micros("bucket").alias("bucket_us"), "source", "target", "frequency", F.round("mean_seconds", 3).alias("mean_seconds"))
+
+
+_TOP = "t AS (SELECT * FROM v WHERE path = (SELECT path FROM v GROUP BY path ORDER BY count(*) DESC, substr(md5(path), 1, 10) LIMIT 1))"
+
+
+@query(B, f"{_PATHS.replace('FROM y', chr(10) + 'FROM (SELECT * FROM y WHERE object_type = ' + chr(39) + 'order' + chr(39) + ')')}, {_TOP} SELECT CAST(epoch_us(date_trunc('week', first)) AS BIGINT) AS bucket_us, count(*) AS cases FROM t GROUP BY 1")
+def timeline_week(log):
+    return stats.timeline(_cases(log, object_types=("order",)), "week").select(F.unix_micros("bucket").alias("bucket_us"), "cases")
+
+
+_ORDER_PATHS = _PATHS.replace("FROM y", "FROM (SELECT * FROM y WHERE object_type = 'order')")
+
+
+@query(B, f"""{_ORDER_PATHS}, {_TOP}, s AS (SELECT {_d('last', 'first')} AS s FROM t), r AS (SELECT min(s) AS lo, max(s) AS hi FROM s)
+SELECT CAST(CASE WHEN lo = hi THEN 1 ELSE least(floor((s - lo) / ((hi - lo) / 19)) + 1, 19) END AS INTEGER) AS bin, count(*) AS count, min(s) AS min, max(s) AS max, round(avg(s), 3) AS mean FROM s, r GROUP BY 1""")
+def throughput_hist(log):
+    return stats.throughput_histogram(_cases(log, object_types=("order",))).withColumn("mean", F.round("mean", 3))
+
+
+@query(A, f"""{_UPATHS}, s AS (SELECT {_d()} AS s FROM x WHERE activity = 'view' AND nxt = 'click'), r AS (SELECT min(s) AS lo, max(s) AS hi, count(*) AS n FROM s)
+SELECT CAST(CASE WHEN lo = hi THEN 1 ELSE least(floor((s - lo) / ((hi - lo) / 19)) + 1, 19) END AS INTEGER) AS bin, count(*) AS count, round(count(*) * 100.0 / any_value(n), 6) AS percent FROM s, r GROUP BY 1""")
+def edge_hist(log):
+    return stats.edge_histogram(_cases(log), "view", "click", only_top=False).select("bin", "count", F.round("percent", 6).alias("percent"))
+
+
+@query(B, """, e AS (SELECT activity AS s, nxt AS t, count(*) AS n FROM y WHERE nxt IS NOT NULL GROUP BY 1, 2), i AS (SELECT t AS activity, CAST(sum(n) AS BIGINT) AS frequency FROM e GROUP BY 1)
+SELECT * FROM i UNION ALL SELECT s, CAST(sum(n) AS BIGINT) FROM e WHERE s NOT IN (SELECT activity FROM i) GROUP BY 1""")
+def process_map_nodes(log):
+    return stats.process_map(_cases(log))["nodes"]
+
+
+@query(A, "SELECT activity, resource AS value, count(*) AS frequency FROM x GROUP BY 1, 2")
+def process_map_by_resource(log):
+    return stats.map_by(_full(log), "resource")
+
+
+@query(B, f"{_ORDER_PATHS}, {_TOP} SELECT object_id AS execution_id, {_d('last', 'first')} AS seconds, events, path FROM t ORDER BY seconds DESC, execution_id LIMIT 50 OFFSET 10")
+def case_page(log):
+    return stats.case_page(_cases(log, object_types=("order",)), 50, 10).select("execution_id", "seconds", "events", "path")
+
+
+_FILTERED = f""", f AS (SELECT object_id FROM x GROUP BY 1 HAVING bool_or(status = 'open') AND bool_or(activity = 'purchase') AND NOT bool_or(activity = 'signup' AND nxt = 'signup' AND {_d()} <= 7200)
+AND bool_or(activity = 'view' AND nxt = 'purchase') AND epoch_us(max(ts)) - epoch_us(min(ts)) >= 864000 * 1e6)"""
+_FILTER = {"statuses": ["open"], "including": ["purchase"], "edges_in": [{"source": "view", "target": "purchase"}], "edges_out": [{"source": "signup", "target": "signup", "max": 7200.0}], "min_seconds": 864000.0}
+
+
+@query(A, f"{_FILTERED} SELECT object_id AS execution_id FROM f")
+def dynamic_filter_cases(log):
+    return stats.dynamic_filter(_full(log), **_FILTER)
+
+
+@query(A, f"""{_FILTERED}, e AS (SELECT activity AS source, nxt AS target, count(*) AS frequency, sum(epoch_us(nxt_ts) - epoch_us(ts)) / count(*) / 1e6 AS m FROM x WHERE nxt IS NOT NULL AND object_id IN (SELECT object_id FROM f) GROUP BY 1, 2)
+SELECT source, target, frequency, round(m, 3) AS mean_seconds, CAST(row_number() OVER (ORDER BY m DESC, frequency DESC, source, target) AS INTEGER) AS rank FROM e""")
+def dynamic_filter_dfg(log):
+    return stats.dynamic_dfg(_full(log), **_FILTER).withColumn("mean_seconds", F.round("mean_seconds", 3))
+
+
+@query(A, f"""SELECT object_id AS execution_id, count(*) AS events, string_agg(activity, '>' ORDER BY pos) AS path FROM x WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08' GROUP BY 1""")
+def clipped_window(log):
+    c = stats.clipped(_cases(log), _t(5), _t(8))
+    return stats.case_summary(c).select("execution_id", "events", "path")
+
+
+# --- views ---
+
+
+@query(A, "SELECT event_id FROM x WHERE status = 'open' AND resource = 'r4' AND activity IN ('click', 'purchase') AND ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'")
+def view_events(log):
+    v = View(start=_t(5), end=_t(20), activities=("click", "purchase"), statuses=("open",), event_attributes={"resource": "r4"})
+    return executions.event_filter(log.events, v).select("event_id")
+
+
+@query(B, """SELECT o_orderkey * 4 AS object_id FROM orders WHERE o_orderdate < TIMESTAMP '1996-06-01' AND o_orderpriority = '1-URGENT'
+AND CASE WHEN o_orderdate + INTERVAL 7 DAY < TIMESTAMP '1996-06-01' THEN o_orderstatus ELSE 'N' END = 'F'""")
+def view_objects_as_of(log):
+    v = View(end=datetime(1996, 6, 1, tzinfo=timezone.utc), object_types=("order",), object_attributes={"priority": "1-URGENT", "status": "F"})
+    return executions.object_filter(log, v).select("object_id")
+
+
+@query(B, "SELECT DISTINCT o_custkey * 4 + 1 AS object_id FROM orders")
+def view_related_types(log):
+    return executions.object_filter(log, View(object_types=("customer",), related_object_types=("order",))).select("object_id")
+
+
+@query(B, "SELECT count(DISTINCT (event_id, object_id)) AS n FROM eo WHERE qualifier IN ('part', 'supplier')")
+def view_qualifiers(log):
+    return executions.links(log, View(qualifiers=("part", "supplier"))).distinct().agg(F.count("*").alias("n"))
+
+
+@query(B, f"{_PATHS} SELECT object_id AS execution_id FROM v WHERE object_type = 'order' AND {_d('last', 'first')} BETWEEN 8640000 AND 43200000")
+def view_duration(log):
+    return executions.leading(log, View(object_types=("order",), min_duration=8640000.0, max_duration=43200000.0), attributes=False).select("execution_id").distinct()
+
+
+@query(A, "SELECT DISTINCT object_id AS execution_id FROM x WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-04'")
+def population_event_time(log):
+    return executions.population(log, "event_time", start=_t(3), end=_t(4))
+
+
+@query(A, "SELECT object_id AS execution_id FROM x GROUP BY 1 HAVING min(ts) >= TIMESTAMP '2024-01-01' AND min(ts) < TIMESTAMP '2024-01-02'")
+def population_object_start(log):
+    return executions.population(log, "object_start", start=_t(1), end=_t(2))
+
+
+@query(A, "SELECT object_id AS execution_id FROM x GROUP BY 1 HAVING min(ts) >= TIMESTAMP '2024-01-01' AND max(ts) < TIMESTAMP '2024-01-30 12:00:00'")
+def population_contained(log):
+    return executions.population(log, "contained", start=_t(1), end=_t(30, 12))
+
+
+@query(A, "SELECT DISTINCT object_id AS execution_id FROM x WHERE object_id IN (3, 5, 999999)")
+def population_case_set(log):
+    return executions.population(log, "case_set", cases=[3, 5, 999999])
+
+
+# --- constraints ---
+
+
+def _ids(log: Log, c: dict, **view) -> DataFrame:
+    return constraints.matches(log, c, View(**view)).select("execution_id")
+
+
+@query(A, "SELECT object_id AS execution_id FROM x GROUP BY 1 HAVING bool_or(activity IN ('purchase', 'error'))")
+def c_event_activity(log):
+    return _ids(log, {"kind": "event_activity", "activities": ["purchase", "error"]})
+
+
+@query(A, "SELECT object_id AS execution_id FROM x GROUP BY 1 HAVING bool_or(event_id IN (1, 20, 300)) AND object_id <> 7")
+def c_ids(log):
+    return _ids(log, {"kind": "and", "children": [{"kind": "event_id", "ids": [1, 20, 300]}, {"kind": "not", "child": {"kind": "object_id", "ids": [7]}}]})
+
+
+@query(A, "SELECT object_id AS execution_id FROM x GROUP BY 1 HAVING bool_or(resource = 'r3')")
+def c_event_attribute(log):
+    return _ids(log, {"kind": "event_attribute", "name": "resource", "value": "r3"})
+
+
+@query(B, """SELECT object_id AS execution_id FROM y JOIN orders ON object_id = o_orderkey * 4 WHERE object_type = 'order' GROUP BY object_id, o_orderstatus, o_orderdate
+HAVING CASE WHEN o_orderdate + INTERVAL 7 DAY < max(ts) THEN o_orderstatus WHEN o_orderdate < max(ts) THEN 'N' END = 'F'""")
+def c_object_attr_asof(log):
+    return _ids(log, {"kind": "object_attribute", "name": "status", "value": "F"}, object_types=("order",))
+
+
+@query(A, "SELECT object_id AS execution_id FROM x GROUP BY 1 HAVING bool_or(activity = 'signup' AND nxt = 'purchase')")
+def c_directly_follows(log):
+    return _ids(log, {"kind": "directly_follows", "a": "signup", "b": "purchase"})
+
+
+@query(B, "SELECT object_id AS execution_id FROM y WHERE object_type = 'order' GROUP BY 1 HAVING min(pos) FILTER (activity = 'return') < max(pos) FILTER (activity = 'place')")
+def c_eventually_follows(log):
+    return _ids(log, {"kind": "eventually_follows", "a": "return", "b": "place"}, object_types=("order",))
+
+
+@query(A, f"SELECT DISTINCT a.object_id AS execution_id FROM x a JOIN x b ON a.object_id = b.object_id AND b.pos > a.pos WHERE a.activity = 'signup' AND b.activity = 'purchase' AND {_d('b.ts', 'a.ts')} BETWEEN 600 AND 3600")
+def c_temporal_distance(log):
+    return _ids(log, {"kind": "temporal_distance", "a": "signup", "b": "purchase", "min": 600.0, "max": 3600.0})
+
+
+@query(A, "SELECT object_id AS execution_id FROM x GROUP BY 1 HAVING count(*) FILTER (activity = 'error' AND resource = 'r1') BETWEEN 1 AND 2")
+def c_child_count(log):
+    child = {"kind": "and", "children": [{"kind": "event_activity", "activities": ["error"]}, {"kind": "event_attribute", "name": "resource", "value": "r1"}]}
+    return _ids(log, {"kind": "child_count", "child": child, "min": 1, "max": 2})
+
+
+@query(A, """SELECT object_id AS execution_id, CASE WHEN a AND b THEN 'buys,clean' WHEN a THEN 'buys' WHEN b THEN 'clean' ELSE '' END AS labels FROM
+(SELECT object_id, bool_or(activity = 'signup' AND nxt = 'purchase') AS a, NOT bool_or(activity = 'error' AND nxt = 'error') AND NOT bool_or(activity = 'signup' AND nxt = 'purchase') AS b FROM x GROUP BY 1) WHERE a OR b""")
+def c_bool_tree_labels(log):
+    tree = {"kind": "or", "children": [
+        {"kind": "label", "name": "buys", "child": {"kind": "directly_follows", "a": "signup", "b": "purchase"}},
+        {"kind": "label", "name": "clean", "child": {"kind": "not", "child": {"kind": "directly_follows", "a": "error", "b": "error"}}},
+    ]}
+    return constraints.matches(log, tree).select("execution_id", F.array_join("labels", ",").alias("labels"))
+
+
+@query(B, "SELECT DISTINCT object_id AS execution_id FROM eo JOIN ob USING (object_id) WHERE qualifier = 'supplier'")
+def c_e2o_qualifier(log):
+    return _ids(log, {"kind": "e2o_qualifier", "qualifiers": ["supplier"]})
+
+
+@query(B, ", o AS (SELECT DISTINCT object_id FROM ob WHERE object_type = 'order'), c AS (SELECT object_id, count(DISTINCT event_id) AS n FROM eo JOIN ev USING (event_id) WHERE activity = 'ship' GROUP BY 1) SELECT object_id, coalesce(n, 0) AS n, NOT coalesce(n, 0) BETWEEN 1 AND 4 AS violated FROM o LEFT JOIN c USING (object_id)")
+def binding_object_activity_count(log):
+    return constraints.object_activity_count(log, "order", "ship", 1, 4)
+
+
+@query(B, "SELECT object_id, NOT bool_or(activity = 'ship') AS violated FROM y WHERE object_type = 'order' GROUP BY 1 HAVING bool_or(activity = 'place')")
+def binding_requires_activity(log):
+    return constraints.requires_activity(log, "order", "place", "ship")
+
+
+@query(B, ", e AS (SELECT event_id FROM ev WHERE activity = 'ship'), c AS (SELECT event_id, count(DISTINCT object_id) AS n FROM eo JOIN ob USING (object_id) WHERE object_type = 'supplier' GROUP BY 1) SELECT event_id, coalesce(n, 0) AS n, NOT coalesce(n, 0) BETWEEN 1 AND 1 AS violated FROM e LEFT JOIN c USING (event_id)")
+def binding_event_object_count(log):
+    return constraints.event_object_count(log, "supplier", "ship", 1, 1)
+
+
+@query(B, """, s AS (SELECT object_id, min(ts) AS t FROM y WHERE object_type = 'customer' AND activity = 'place' GROUP BY 1), g AS (SELECT object_id, max(ts) AS t FROM y WHERE object_type = 'order' AND activity = 'return' GROUP BY 1),
+n AS (SELECT DISTINCT o_custkey * 4 + 1 AS source, o_orderkey * 4 AS target FROM orders)
+SELECT s.object_id AS source, NOT max(coalesce(g.t > s.t, false)) AS violated FROM s LEFT JOIN n ON n.source = s.object_id LEFT JOIN g ON g.object_id = n.target GROUP BY 1""")
+def binding_neighbor_eventually(log):
+    return constraints.neighbor_eventually(log, "customer", "place", "order", "return")
+
+
+@query(B, f"SELECT max(d) AS value FROM (SELECT (epoch_us(max(ts) FILTER (activity = 'ship')) - epoch_us(min(ts) FILTER (activity = 'place'))) / 1e6 AS d FROM y WHERE object_type = 'order' GROUP BY object_id)")
+def binding_max_delay(log):
+    return constraints.max_activity_delay(log, "order", "place", "ship")
+
+
+@query(B, "SELECT o_custkey * 4 + 1 AS source, count(DISTINCT o_orderkey) AS targets FROM orders GROUP BY 1")
+def binding_neighbor_pairs(log):
+    return constraints.neighbor_pairs(log, "customer", "order").select("source", F.size("targets").cast("long").alias("targets"))
+
+
+@query(B)
+def binding_attribute_equal(log):
+    return constraints.neighbor_attribute_equal(log, "customer", "order", "status")
+
+
+@query(B)
+def binding_universal_equal(log):
+    return constraints.relation_universal_equal(log, "order", "part", "supplier")
+
+
+@query(B, "SELECT object_id, e AS source_event, t AS target_event FROM (SELECT object_id, event_id AS e, activity, first_value(CASE WHEN activity = 'return' THEN event_id END IGNORE NULLS) OVER (PARTITION BY object_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS t FROM y WHERE object_type = 'order' AND activity IN ('ship', 'return')) WHERE activity = 'ship' AND t IS NOT NULL")
+def event_pairs(log):
+    return constraints.event_pairs(log, "order", "ship", "return")
+
+
+# --- count kernels ---
+
+_SPLIT = "ts < TIMESTAMP '2024-01-20'"
+_EDGES = f", k AS (SELECT activity AS source, nxt AS target, count(*) FILTER ({_SPLIT}) AS train, count(*) FILTER (NOT {_SPLIT}) AS test FROM x WHERE nxt IS NOT NULL GROUP BY 1, 2)"
+
+
+def _edge_rows(log: Log) -> DataFrame:
+    return kernels.split_counts(_cases(log).filter("next_activity is not null"), F.col("ts") < F.lit(_t(20)), {"source": F.col("activity"), "target": F.col("next_activity")})
+
+
+def _coverage_sql(keys: str, table: str, c: float) -> str:
+    return f""", m AS (SELECT *, coalesce(sum(train) OVER (ORDER BY train DESC, {keys} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(train) OVER () AS t FROM {table})
+SELECT CAST(coalesce(sum(test) FILTER (ok), 0) AS BIGINT) AS conforming, CAST(coalesce(sum(test) FILTER (NOT ok), 0) AS BIGINT) AS deviations, count(*) FILTER (ok) AS model_size,
+round(coalesce(sum(test) FILTER (ok), 0) / sum(test), 9) AS fitness FROM (SELECT *, train > 0 AND b < ceil(t * {c} - 1e-9) AS ok FROM m)"""
+
+
+@query(A, _EDGES + _coverage_sql("source, target", "k", 0.95))
+def dfg_conformance_95(log):
+    return kernels.frequency_conformance(_edge_rows(log), ["source", "target"], 0.95).withColumn("fitness", F.round("fitness", 9))
+
+
+@query(B, f"{_ORDER_PATHS}, k AS (SELECT path, count(*) FILTER (first < TIMESTAMP '1996-01-01') AS train, count(*) FILTER (first >= TIMESTAMP '1996-01-01') AS test FROM v GROUP BY 1)" + _coverage_sql("path", "k", 0.95))
+def variant_conformance_95(log):
+    s = stats.case_summary(_cases(log, object_types=("order",)))
+    rows = kernels.split_counts(s, F.col("first") < F.lit(datetime(1996, 1, 1, tzinfo=timezone.utc)), {"path": F.col("path")})
+    return kernels.frequency_conformance(rows, ["path"], 0.95).withColumn("fitness", F.round("fitness", 9))
+
+
+@query(A, f"{_EDGES} SELECT source, target AS predicted, train FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY train DESC, target) AS r FROM k WHERE train > 0) WHERE r = 1")
+def next_activity(log):
+    return kernels.next_activity(_edge_rows(log))
+
+
+@query(A, f"{_EDGES}, p AS (SELECT source, target AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY train DESC, target) AS r FROM k WHERE train > 0) WHERE r = 1) SELECT CAST(sum(test) FILTER (target = predicted) AS BIGINT) AS correct, CAST(sum(test) AS BIGINT) AS total, round(sum(test) FILTER (target = predicted) / sum(test), 9) AS accuracy FROM k LEFT JOIN p USING (source)")
+def next_activity_score(log):
+    return kernels.score_next(_edge_rows(log)).withColumn("accuracy", F.round("accuracy", 9))
+
+
+@query(A, f"""{_EDGES}, q AS (SELECT source || '>' || target AS label, train / sum(train) OVER () AS p, test / sum(test) OVER () AS q FROM k)
+SELECT label, round(greatest((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) / 2 ELSE 0 END) + (CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) / 2 ELSE 0 END), 0), 9) AS contribution FROM q""")
+def frequency_drift(log):
+    rows = _edge_rows(log).select(F.concat_ws(">", "source", "target").alias("label"), F.col("train").alias("baseline"), F.col("test").alias("current"))
+    return kernels.drift_terms(rows, "label").select("label", F.round("contribution", 9).alias("contribution"))
+
+
+@query(A, "SELECT source, target, CAST(row_number() OVER (ORDER BY m DESC, frequency DESC, source, target) AS INTEGER) AS rank FROM (SELECT activity AS source, nxt AS target, count(*) AS frequency, sum(epoch_us(nxt_ts) - epoch_us(ts)) / count(*) / 1e6 AS m FROM x WHERE nxt IS NOT NULL GROUP BY 1, 2)")
+def bottleneck_rank(log):
+    return enhancement.ranked_edges(_cases(log)).select("source", "target", "rank")
+
+
+@query(A, f"""SELECT sum(n) AS n, round(sqrt(sum(sq - 2 * m * s + n * m * m) / sum(n)), 3) AS rmse, round(sum(sl * (1 - r) * (1 - r) + (n - sl) * r * r) / sum(n), 9) AS brier FROM
+(SELECT CAST(count(*) FILTER (NOT {_SPLIT}) AS DOUBLE) AS n, avg({_d()}) FILTER ({_SPLIT}) AS m, avg(CASE WHEN {_d()} > 3600 THEN 1.0 ELSE 0 END) FILTER ({_SPLIT}) AS r, sum({_d()}) FILTER (NOT {_SPLIT}) AS s,
+sum({_d()} * {_d()}) FILTER (NOT {_SPLIT}) AS sq, count(*) FILTER (NOT {_SPLIT} AND {_d()} > 3600) AS sl FROM x WHERE nxt IS NOT NULL GROUP BY activity, nxt)""")
+def edge_prediction(log):
+    cases = _cases(log)
+    early = F.col("ts") < F.lit(_t(20))
+    train = stats.edge_features(cases.filter(early), 3600.0).select("source", "target", "mean_seconds", "slow_rate")
+    d = F.col("duration")
+    test = stats.steps(cases.filter(~early)).groupBy(F.col("activity").alias("source"), F.col("next_activity").alias("target")).agg(F.count("*").alias("frequency"), F.avg(d).alias("mean_seconds"), F.sum(d * d).alias("sum_squares"), F.count_if(d > 3600).alias("slow_count"))
+    p = kernels.edge_prediction(train, test, ["source", "target"])
+    return p.select(F.col("n").cast("double").alias("n"), F.round("rmse", 3).alias("rmse"), F.round("brier", 9).alias("brier"))
+
+
+# --- discovery and conformance ---
+
+
+@query(A, "SELECT activity AS a, count(DISTINCT object_id) AS holds FROM x GROUP BY 1 HAVING count(DISTINCT object_id) >= 0.8 * (SELECT count(DISTINCT object_id) FROM x)")
+def declare_existence(log):
+    return discovery.declare(_cases(log)).filter("template = 'existence'").select("a", "holds")
+
+
+@query(B, """, m AS (SELECT object_id, activity, max(pos) AS last FROM y WHERE object_type = 'order' GROUP BY 1, 2), t AS (SELECT count(DISTINCT object_id) AS n FROM m), c AS (SELECT activity, count(*) AS w FROM m GROUP BY 1),
+p AS (SELECT i.activity AS a, j.activity AS b, count(*) AS met FROM m i JOIN m j ON i.object_id = j.object_id AND i.activity <> j.activity AND i.last < j.last GROUP BY 1, 2)
+SELECT a, b, met + n - w AS holds FROM p JOIN c ON c.activity = a, t WHERE (met + n - w) / n >= 0.5""")
+def declare_response(log):
+    return discovery.declare(_cases(log, object_types=("order",)), 0.5).filter("template = 'response'").select("a", "b", "holds")
+
+
+def _rows(spark_log: Log, rows: list, schema: str) -> DataFrame:
+    return spark_log.events.sparkSession.createDataFrame(rows, schema)
+
+
+@query(B)
+def alpha_net(log):
+    net = discovery.alpha(_cases(log, object_types=("order",)))
+    return _rows(log, [(a[0], a[1]) for a in net["arcs"]], "source string, target string")
+
+
+@query(B)
+def process_tree(log):
+    from tracelake.model import canonical_json
+
+    return _rows(log, [(canonical_json(discovery.process_tree(_cases(log, object_types=("order",)))),)], "tree string")
+
+
+@query(B)
+def object_net(log):
+    net = discovery.object_net(_cases(log))
+    return _rows(log, [tuple(a) for a in net["arcs"]], "source string, target string, object_type string, variable boolean")
+
+
+def _model(log: Log, **view) -> dict:
+    """The graph of cases that begin before 1996."""
+    c = _cases(log, **view)
+    first = F.min("ts").over(executions.Window.partitionBy("execution_id"))
+    return discovery.graph(c.withColumn("_f", first).filter(F.col("_f") < F.lit(datetime(1996, 1, 1, tzinfo=timezone.utc))))
+
+
+@query(B, """, f AS (SELECT *, min(ts) OVER (PARTITION BY object_id) AS a FROM y WHERE object_type = 'order'), m AS (SELECT DISTINCT activity, nxt FROM f WHERE nxt IS NOT NULL AND a < TIMESTAMP '1996-01-01'),
+s AS (SELECT f.object_id, m.activity IS NOT NULL AS ok FROM f LEFT JOIN m ON f.activity = m.activity AND f.nxt = m.nxt WHERE f.nxt IS NOT NULL)
+SELECT count(*) AS steps, count(*) FILTER (ok) AS conforming, round(count(*) FILTER (ok) / count(*), 9) AS fitness, count(DISTINCT object_id) FILTER (NOT ok) AS violating_executions FROM s""")
+def conformance_frequency(log):
+    c = conformance.frequency_coverage(_cases(log, object_types=("order",)), _model(log, object_types=("order",)))
+    return c.select("steps", "conforming", F.round("fitness", 9).alias("fitness"), "violating_executions")
+
+
+@query(B)
+def token_replay(log):
+    cases = _cases(log, object_types=("order",))
+    return conformance.token_replay(cases, discovery.alpha(cases))
+
+
+@query(B)
+def alignment(log):
+    return conformance.alignment(_cases(log, object_types=("order",)), _model(log, object_types=("order",)))
+
+
+_TEMPLATES = [{"template": t, "a": "place", "b": None if t in ("existence", "absence", "exactly", "init", "end") else "ship"} for t in conformance.TEMPLATES]
+_TEMPLATE_SQL = {
+    "existence": "na > 0", "absence": "na = 0", "exactly": "na = 1", "init": "f = 'place'", "end": "l = 'place'", "response": "na = 0 OR (nb > 0 AND ha < hb)", "precedence": "nb = 0 OR (na > 0 AND la < lb)",
+    "succession": "(na = 0 OR (nb > 0 AND ha < hb)) AND (nb = 0 OR (na > 0 AND la < lb))", "coexistence": "(na > 0) = (nb > 0)", "not_coexistence": "NOT (na > 0 AND nb > 0)", "choice": "na > 0 OR nb > 0", "exclusive_choice": "(na > 0) <> (nb > 0)",
+}
+
+
+@query(B, """, c AS (SELECT object_id, count(*) FILTER (activity = 'place') AS na, count(*) FILTER (activity = 'ship') AS nb, min(pos) FILTER (activity = 'place') AS la, max(pos) FILTER (activity = 'place') AS ha,
+min(pos) FILTER (activity = 'ship') AS lb, max(pos) FILTER (activity = 'ship') AS hb, arg_min(activity, pos) AS f, arg_max(activity, pos) AS l FROM y WHERE object_type = 'order' GROUP BY 1)
+""" + " UNION ALL ".join(f"SELECT '{k}' AS template, count(*) FILTER ({v}) AS holds FROM c" for k, v in _TEMPLATE_SQL.items()))
+def declare_check(log):
+    return conformance.check_declare(_cases(log, object_types=("order",)), _TEMPLATES).select("template", "holds")
+
+
+# --- enhancement ---
+
+
+@query(B, f"""{_ORDER_PATHS}, s AS (SELECT {_d('last', 'first')} AS s FROM v), r AS (SELECT min(s) AS lo, max(s) AS hi FROM s)
+SELECT CAST(CASE WHEN lo = hi THEN 1 ELSE least(floor((s - lo) / ((hi - lo) / 10)) + 1, 10) END AS INTEGER) AS bin, count(*) AS count FROM s, r GROUP BY 1""")
+def enh_cycle_hist(log):
+    return enhancement.cycle_histogram(_cases(log, object_types=("order",))).select("bin", "count")
+
+
+@query(A, f"SELECT event_id, activity, {_d('ts', 'min(ts) OVER (PARTITION BY object_id)')} AS offset FROM x")
+def enh_dotted_chart(log):
+    return enhancement.dotted_chart(_cases(log)).select("event_id", "activity", "offset")
+
+
+@query(B, ", c AS (SELECT object_id, activity, count(*) AS n FROM y WHERE object_type = 'order' GROUP BY 1, 2 HAVING count(*) > 1) SELECT activity, count(*) AS cases, CAST(sum(n - 1) AS BIGINT) AS repeats FROM c GROUP BY 1")
+def enh_rework(log):
+    return enhancement.rework(_cases(log, object_types=("order",)))
+
+
+@query(A)
+def enh_performance(log):
+    return enhancement.performance(_full(log))
+
+
+@query(B)
+def enh_synchronisation(log):
+    c = executions.leading(log, View(object_types=("order", "part")), every_type=True, attributes=False)
+    return enhancement.synchronisation(c.withColumn("member_type", F.col("object_type")))
+
+
+@query(A, "SELECT resource AS source, nr AS target, count(*) AS frequency FROM (SELECT resource, lead(resource) OVER (PARTITION BY object_id ORDER BY pos) AS nr FROM x) WHERE nr IS NOT NULL GROUP BY 1, 2")
+def org_handover(log):
+    return enhancement.organisation(_full(log))["handovers"]
+
+
+@query(A, "SELECT resource, count(DISTINCT object_id) AS executions FROM x GROUP BY 1")
+def org_executions(log):
+    return enhancement.organisation(_full(log))["executions"]
+
+
+@query(A, """, b AS (SELECT activity AS label, count(*) FILTER (ts < TIMESTAMP '2024-01-15') AS p0, count(*) FILTER (ts >= TIMESTAMP '2024-01-15') AS q0 FROM x GROUP BY 1), s AS (SELECT label, p0 / sum(p0) OVER () AS p, q0 / sum(q0) OVER () AS q FROM b)
+SELECT round(sum(greatest((CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) / 2 ELSE 0 END) + (CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) / 2 ELSE 0 END), 0)), 9) AS divergence FROM s""")
+def window_comparison(log):
+    a, b = (executions.ordered(executions.leading(log, v, attributes=False)) for v in (View(end=_t(15)), View(start=_t(15))))
+    return enhancement.compare(a, b, "activity")["divergence"].select(F.round("divergence", 9).alias("divergence"))
+
+
+# --- bottlenecks ---
+
+_SIG = f""", o AS (SELECT activity AS s, nxt AS t, {_d()} AS d FROM x WHERE nxt IS NOT NULL), q AS (SELECT s, t, count(*) AS support, avg(d) AS mean, quantile_cont(d, 0.5) AS med, quantile_cont(d, 0.9) AS p90, quantile_cont(d, 0.95) AS p95,
+quantile_cont(d, 0.75) + 1.5 * (quantile_cont(d, 0.75) - quantile_cont(d, 0.25)) AS thr FROM o GROUP BY 1, 2)"""
+
+
+@query(A, f"""{_SIG} SELECT s AS source_activity, t AS target_activity, any_value(support) AS support, round(any_value(mean), 3) AS mean, round(any_value(med), 3) AS median, round(any_value(p90), 3) AS p90, round(any_value(p95), 3) AS p95,
+round(any_value(thr), 3) AS threshold, count(*) FILTER (d > thr) AS affected, round(avg(d) FILTER (d >= p95), 3) AS tail_mean, round(sum(greatest(d - thr, 0)), 2) AS impact FROM o JOIN q USING (s, t) GROUP BY 1, 2""")
+def bn_signals(log):
+    s = bottlenecks.signals(executions.observations(log))
+    r = lambda c, n=3: F.round(c, n).alias(c)
+    return s.select("source_activity", "target_activity", "support", r("mean"), r("median"), r("p90"), r("p95"), r("threshold"), "affected", r("tail_mean"), r("impact", 2))
+
+
+@query(B, f""", o AS (SELECT object_type, object_id, ts AS st, nxt_id AS te, nxt AS activity FROM y WHERE nxt_id IS NOT NULL), w AS (SELECT te, max(st) AS last FROM o GROUP BY 1 HAVING count(DISTINCT object_type) >= 2)
+SELECT activity, object_type, count(*) AS n, round(avg((epoch_us(last) - epoch_us(st)) / 1e6), 3) AS mean_lag FROM o JOIN w USING (te) GROUP BY 1, 2""")
+def bn_synchronization(log):
+    return bottlenecks.synchronisation_lag(executions.observations(log)).withColumn("mean_lag", F.round("mean_lag", 3))
+
+
+def _work(log: Log) -> DataFrame:
+    return bottlenecks.instances(executions.leading(log))
+
+
+@query(A)
+def bn_instances(log):
+    return _work(log).select("object_id", "activity", F.unix_micros("start").alias("start_us"), F.unix_micros("complete").alias("complete_us"), "resource")
+
+
+@query(A)
+def bn_waiting_causes(log):
+    return bottlenecks.waiting_causes(_work(log), 60.0)
+
+
+@query(A)
+def bn_resource_pressure(log):
+    return bottlenecks.resource_pressure(_work(log))
+
+
+@query(A)
+def bn_patterns(log):
+    return bottlenecks.patterns(_work(log), 60.0)
+
+
+@query(A)
+def bn_cascades(log):
+    return bottlenecks.cascades(_work(log))
+
+
+@query(A)
+def bn_drift(log):
+    return bottlenecks.duration_drift(executions.observations(log, View(end=_t(15))), executions.observations(log, View(start=_t(15))))
+
+
+@query(A)
+def bn_hypotheses(log):
+    return bottlenecks.hypotheses(executions.observations(log), [("error", "purchase"), ("view", "click")], 7200.0, 86400.0)
+
+
+# --- prediction, risk, graphs ---
+
+
+@query(A, """, h AS (SELECT object_id, pos, activity, nxt, prv FROM x) SELECT key, length, next_activity, count(*) AS n FROM (
+SELECT '' AS key, 0 AS length, nxt AS next_activity FROM h UNION ALL SELECT activity, 1, nxt FROM h UNION ALL SELECT prv || '>' || activity, 2, nxt FROM h WHERE prv IS NOT NULL) WHERE next_activity IS NOT NULL GROUP BY 1, 2, 3""")
+def prefix_next_counts(log):
+    return prediction.fit(_cases(log), order=2)["next"]
+
+
+@query(A, f""", h AS (SELECT activity, prv, {_d('max(ts) OVER (PARTITION BY object_id)', 'ts')} AS r FROM x), a AS (SELECT '' AS key, 0 AS length, r FROM h UNION ALL SELECT activity, 1, r FROM h),
+k AS (SELECT *, row_number() OVER (PARTITION BY key, length ORDER BY r) - 1 AS i, count(*) OVER (PARTITION BY key, length) AS n FROM a)
+SELECT key, length, count(*) AS n, round(avg(r), 3) AS mean, min(r) FILTER (i = round(0.1 * (n - 1))) AS p10, min(r) FILTER (i = round(0.9 * (n - 1))) AS p90 FROM k GROUP BY 1, 2""")
+def remaining_time_summary(log):
+    return prediction.fit(_cases(log), order=1)["remaining"].withColumn("mean", F.round("mean", 3))
+
+
+@query(A)
+def predict_next(log):
+    cases = _cases(log)
+    return prediction.predict(prediction.fit(cases), cases, "next_activity")
+
+
+@query(A)
+def holdout_next(log):
+    return prediction.evaluate(_cases(log), "next_activity")
+
+
+@query(A)
+def holdout_remaining(log):
+    return prediction.evaluate(_cases(log), "remaining_time")
+
+
+@query(A)
+def risk_model(log):
+    obs = executions.observations(log, View(end=_t(10)))
+    return risk.detect(obs, risk.fit(obs))
+
+
+@query(B, """SELECT count(DISTINCT r) AS components, count(*) AS objects FROM (SELECT object_id, 0 AS r FROM ob)""")
+def object_components(log):
+    c = executions.components(log)
+    return c.select("object_id", "execution_id").distinct().agg(F.count_distinct("execution_id").alias("components"), F.count("*").alias("objects"))
+
+
+@query(B, """, r AS (SELECT DISTINCT o_orderkey * 4 AS object_id, 0 AS depth FROM orders WHERE o_orderkey = 1), c AS (SELECT DISTINCT o_custkey * 4 + 1 AS object_id, 1 AS depth FROM orders WHERE o_orderkey = 1),
+s AS (SELECT DISTINCT o_orderkey * 4 AS object_id, 2 AS depth FROM orders WHERE o_custkey * 4 + 1 IN (SELECT object_id FROM c) AND o_orderkey <> 1) SELECT * FROM r UNION ALL SELECT * FROM c UNION ALL SELECT * FROM s""")
+def object_closure(log):
+    return closure(log, [4], 2)
