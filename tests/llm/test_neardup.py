@@ -136,7 +136,7 @@ def test_lines_match_brute_force(spark):
         if (d, t) not in seen and t is not None:
             seen.add((d, t))
             lines += [((d is not None, d or 0, sign(h(t)), k), linededup.normal(x)) for k, x in enumerate(t.split("\n")) if len(linededup.normal(x)) >= 5]
-    fps = [int(simhash.majority(np.array([xxhash.xxh64_intdigest(w) for w in ws], dtype=np.uint64), np.array([len(ws)]))[0]) for _, ws in lines]
+    fps = [int(simhash.majority(np.array([xxhash.xxh64_intdigest(w) for w in set(ws)], dtype=np.uint64), np.array([len(set(ws))]))[0]) for _, ws in lines]
     same = linededup.alike(0.8)
     gone = set()
     for g in brute_groups(lines, lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3 and same(*(b" ".join(lines[k][1]).decode() for k in (i, j)))):

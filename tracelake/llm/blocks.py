@@ -27,11 +27,11 @@ def masks(n_blocks: int, distance: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
-def block_count(n: int, distance: int, chance: int = 128) -> int:
-    """The fewest blocks with which a bucket holds about ``chance`` fingerprints that only chance put there: comparing these
-    costs less than dealing every row to more buckets. Only the cost depends on it, never the result."""
+def block_count(n: int, distance: int) -> int:
+    """The fewest blocks whose keys have about as many values as there are fingerprints: buckets of chance then hold a
+    few rows at any input size. Only the cost depends on it, never the result."""
     for blocks in range(distance + 1, distance + 6):
-        if n <= chance << (64 * (blocks - distance) // blocks):
+        if n <= 1 << (64 * (blocks - distance) // blocks):
             return blocks
     return distance + 5
 
@@ -44,6 +44,7 @@ def tiles(rows: DataFrame, n: int, distance: int, tile: int = TILE) -> tuple[Dat
     keyed = rows.select(keys, *rows.columns)
     large = cut(rows.select(keys).groupBy("mask", "key").agg(F.count("*").alias("size")).filter(F.col("size") > tile))
     count = large.count()
+    large = large.union(large.sparkSession.range(1).select(F.lit(-1).alias("mask"), F.lit(0).cast("long").alias("key"), F.lit(1).cast("long").alias("size")))  # the same plan, with large buckets or without
     # the large buckets: few rows, and sent to all tasks only if this count says so
     met = keyed.join(F.broadcast(large) if count <= 20_000 else large, ["mask", "key"], "left")
     parts = F.coalesce(F.ceil(F.col("size") / tile), F.lit(1)).cast("int")

@@ -1,4 +1,7 @@
-"""Fuzzy line deduplication across documents: SimHash of normalised lines, a pigeonhole block join, edit similarity."""
+"""Fuzzy line deduplication across documents: SimHash of normalised lines, a pigeonhole block join, edit similarity.
+
+A line's fingerprint is made of its different words, each once: frequent words repeat in a line, and lines that share these
+would look alike."""
 
 from __future__ import annotations
 
@@ -105,8 +108,9 @@ def _lines(min_words: int):
                     hs.append(text_hash)
                     at.append(k)
                     sums.append(xxhash.xxh128_digest(b" ".join(words)))
-                    h += map(word, words)
-                    counts.append(len(words))
+                    once = set(words)
+                    h += map(word, once)
+                    counts.append(len(once))
                 if len(h) > 1 << 17:
                     fps.append(majority(np.array(h, dtype=np.uint64), np.array(counts)))
                     h, counts = [], []

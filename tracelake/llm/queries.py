@@ -20,4 +20,5 @@ SQL = {
     "op3_mixing": mixing.OP3_SQL,
     "op4_nearest_neighbours": neighbours.OP4_SQL,
     "op6_quality_rules": quality.OP6_SQL,
+    "op10_url_filter": urls.OP10_SQL,
 }
