@@ -27,11 +27,12 @@ def masks(n_blocks: int, distance: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
-def block_count(n: int, distance: int) -> int:
-    """The fewest blocks whose keys have about as many values as there are fingerprints: buckets of chance then hold a
-    few rows at any input size. Only the cost depends on it, never the result."""
+def block_count(n: int, distance: int, chance: int = 512) -> int:
+    """The fewest blocks with which a bucket holds at most about ``chance`` fingerprints that only chance put there: comparing
+    these (some 10 ns a pair) costs less than dealing every row to more buckets (some µs a row). Only the cost depends
+    on it, never the result."""
     for blocks in range(distance + 1, distance + 6):
-        if n <= 1 << (64 * (blocks - distance) // blocks):
+        if n <= chance << (64 * (blocks - distance) // blocks):
             return blocks
     return distance + 5
 
@@ -53,18 +54,22 @@ def tiles(rows: DataFrame, n: int, distance: int, tile: int = TILE) -> tuple[Dat
     return met.select("mask", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *rows.columns), choice
 
 
-def _union(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def _roots(lab: np.ndarray, i: np.ndarray) -> np.ndarray:
+    r = lab[i]
     while True:
-        a, b = lab[i], lab[j]
+        up = lab[r]
+        if (up == r).all():
+            return r
+        r = up
+
+
+def _union(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+    """Ties i[k] to j[k]: larger roots go under smaller ones. lab[x] is x or a smaller row of the same part."""
+    while len(i):
+        a, b = _roots(lab, i), _roots(lab, j)
         apart = a != b
-        if not apart.any():
-            return lab
-        np.minimum.at(lab, np.maximum(a, b)[apart], np.minimum(a, b)[apart])
-        while True:
-            up = lab[lab]
-            if (up == lab).all():
-                break
-            lab = up
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(lab, np.maximum(a, b), np.minimum(a, b))
 
 
 def linker(distance: int, choice: list[int], node: str, out: pa.Schema, verify: Callable | None = None, payload: str | None = None):
@@ -89,18 +94,21 @@ def linker(distance: int, choice: list[int], node: str, out: pa.Schema, verify:
         while len(live):
             hit = live[np.bitwise_count(fp[live] ^ fp[live - off]) <= distance]
             if verify is None:
-                lab = _union(lab, hit - off, hit)
-            else:
-                hit = hit[lab[hit] != lab[hit - off]]
+                _union(lab, hit - off, hit)
+            elif len(hit):
+                hit = hit[_roots(lab, hit) != _roots(lab, hit - off)]
                 apart, own = fp[hit] ^ fp[hit - off], mask[hit]
                 for k, m in enumerate(unsigned[:-1]):
                     earlier = (own > k) & (apart & m == 0)
                     hit, apart, own = hit[~earlier], apart[~earlier], own[~earlier]
                 for x in hit.tolist():
-                    if lab[x] != lab[x - off] and verify(words[x], words[x - off]):
-                        lab = _union(lab, np.array([x - off]), np.array([x]))
+                    ends = np.array([x - off, x])
+                    a, b = _roots(lab, ends)
+                    if a != b and verify(words[x], words[x - off]):
+                        lab[max(a, b)] = min(a, b)
             off += 1
             live = live[pos[live] >= off]
+        lab = _roots(lab, np.arange(len(fp)))
         tied = np.flatnonzero(lab != np.arange(len(fp)))
         ids = t[node]
         return pa.RecordBatch.from_arrays([ids.take(pa.array(tied)).combine_chunks(), ids.take(pa.array(lab[tied])).combine_chunks()], schema=out)
