@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -16,8 +18,8 @@ from tracelake.llm.common import table
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 #: Labelled documents that training takes of each class at most (those of smallest hash, from all of the table).
-SAMPLE = 3000
-_KNOWN, _AT_ONCE, _REACH = 300_000, 400_000, 20
+SAMPLE = 1500
+_KNOWN, _AT_ONCE, _REACH = 300_000, 400_000, 12
 
 
 def stems(word: str) -> list[str]:
@@ -168,7 +170,7 @@ class Model:
 def _crf(windows: list[tuple[list[str], list[int]]], rounds: int = 80, rate: float = 0.3, ridge: float = 1e-4) -> tuple[dict[str, float], np.ndarray, np.ndarray]:
     """Fits a chain by the gradient of its log-likelihood (Adam, all windows at once, weights decayed)."""
     names: dict[str, int] = {}
-    rows, cols, labels, first = [], [], [], []
+    rows, cols, labels, first = array("i"), array("i"), [], []
     for words, ys in windows:
         for k, (w, y) in enumerate(zip(words, ys)):
             for f in features(w):
@@ -176,7 +178,7 @@ def _crf(windows: list[tuple[list[str], list[int]]], rounds: int = 80, rate: flo
                 cols.append(names.setdefault(f, len(names)))
             labels.append(y)
             first.append(k == 0)
-    rows, cols, y, first = np.array(rows), np.array(cols), np.array(labels), np.array(first)
+    rows, cols, y, first = np.array(rows, dtype=np.int64), np.array(cols, dtype=np.int64), np.array(labels), np.array(first)
     n = len(y)
     pair = ~first
     pair[0] = False
@@ -227,7 +229,7 @@ def fit(texts: list[str], toxic: list[bool], weight: tuple[float, float] = (1.0,
     logistic regression turns a document's marginals into its score. weight: what a clean and a toxic document count.
 
     Without documents of both classes every score is the share of toxic ones (one half if there are none at all)."""
-    words = [_TOKEN.findall(t or "") for t in texts]
+    words = [list(map(sys.intern, _TOKEN.findall(t or ""))) for t in texts]  # equal words share their memory
     if not any(toxic) or all(toxic):
         share = sum(map(bool, toxic)) / len(toxic) if toxic else 0.5
         return Model({}, np.zeros(2), np.zeros((2, 2)), np.array([math.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0]))
@@ -235,12 +237,14 @@ def fit(texts: list[str], toxic: list[bool], weight: tuple[float, float] = (1.0,
     rng, windows = np.random.default_rng(seed), []
     for ws, y in zip(words, toxic):
         labels = [int(y and not lexicon.keys().isdisjoint(stems(w.lower()))) for w in ws]
-        hits = [k for k, x in enumerate(labels) if x][:8]
+        hits = [k for k, x in enumerate(labels) if x][:4]
         spans = [(max(0, k - _REACH), k + _REACH) for k in hits] or ([(k := int(rng.integers(0, len(ws))), k + 2 * _REACH)] if ws else [])
         windows += [(ws[lo:hi], labels[lo:hi]) for lo, hi in spans]
     model = Model(*_crf(windows), np.zeros(3))
-    p, counts = model.marginals([t or "" for t in texts], {})
-    x, y = model.summary(p, counts), np.array(toxic, dtype=float)
+    del words, windows
+    known: dict[str, float] = {}
+    x = np.concatenate([model.summary(*model.marginals([t or "" for t in texts[at : at + 200]], known)) for at in range(0, len(texts), 200)])
+    y = np.array(toxic, dtype=float)
     c = np.where(y > 0, weight[1], weight[0])
     beta, ridge = np.zeros(3), np.diag([1e-6, 1e-2, 1e-2]) * c.sum() / 100
     for _ in range(50):  # Newton
