@@ -349,3 +349,18 @@ def test_results_do_not_depend_on_partitions(spark):
     log = make(spark, {i: "abcab"[: 1 + i % 5] for i in range(1, 30)})
     many = log.having(events=log.events.repartition(7), e2o=log.e2o.repartition(5))
     assert counts(stats.dfg(cases_of(log)), "source", "target") == counts(stats.dfg(cases_of(many)), "source", "target")
+
+
+def test_endpoints(spark):
+    from tracelake.plans import endpoints
+
+    log = make(spark, {1: "abc", 2: "abc", 3: "ac"})
+    base = {"backbone_type": "order", "source_activity": "a", "target_activity": "b", "windows": [(T0, T0 + timedelta(days=1))]}
+    for name in endpoints.ENDPOINTS:
+        for frame in endpoints.answer(log, base | {"endpoint": name}).values():
+            assert frame.count() > 0, name
+    got = endpoints.answer(log, {"endpoint": "dynamic_dfg", "backbone_type": "order", "edges": [{"source": "a", "target": "c"}]})["dfg"].collect()
+    assert [(r["source"], r["target"], r["frequency"]) for r in got] == [("a", "c", 1)]
+    for bad in ({"endpoint": "timeline"}, {"endpoint": "nothing"}, {"endpoint": "edge_info", "backbone_type": "x"}, {"endpoint": "case_list", "backbone_type": "x", "limit": 0}, {"endpoint": "timeline", "backbone_type": "x", "timeline_period": "eon"}):
+        with pytest.raises(EngineError):
+            endpoints.answer(log, bad)
