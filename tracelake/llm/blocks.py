@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.storage import cut
 
 #: Rows of a bucket that one tile holds; a task compares two tiles at most, so its memory does not grow with a bucket.
-TILE = 2048
+TILE = 8192
 #: Bytes of rows that are compared in one sweep.
 AT_ONCE = 4 << 20
 
