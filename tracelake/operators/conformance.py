@@ -25,7 +25,7 @@ def frequency_coverage(cases: DataFrame, model: dict) -> DataFrame:
     met = stats.steps(cases).join(F.broadcast(edges) if len(allowed) <= 100_000 else edges, ["activity", "next_activity"], "left")
     by = met.groupBy("execution_id").agg(F.count("*").alias("steps"), F.count_if("ok").alias("good"))
     seen = met.filter("ok").select("activity", "next_activity").distinct().agg(F.count("*").alias("seen"))
-    out = by.agg(F.coalesce(F.sum("steps"), F.lit(0)).alias("steps"), F.coalesce(F.sum("good"), F.lit(0)).alias("conforming"), F.count_if("steps > good").alias("violating_executions"))
+    out = by.agg(F.coalesce(F.sum("steps"), F.lit(0)).alias("steps"), F.coalesce(F.sum("good"), F.lit(0)).alias("conforming"), F.count_if(F.col("steps") > F.col("good")).alias("violating_executions"))
     n = max(1, len(set(allowed)))
     out = out.join(seen, how="cross")  # two rows of one number each
     return out.select("steps", "conforming", F.when(F.col("steps") == 0, 1.0).otherwise(F.col("conforming") / F.col("steps")).alias("fitness"), (F.col("seen") / n).alias("precision"), F.lit(1.0 / (1 + len(set(allowed)))).alias("simplicity"), "violating_executions")

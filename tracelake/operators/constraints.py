@@ -196,7 +196,7 @@ def neighbours(log: Log, source_type: str, target_type: str) -> DataFrame:
     a = log.e2o.select("event_id", F.col("object_id").alias("source")).join(s, "source", "left_semi")
     b = log.e2o.select("event_id", F.col("object_id").alias("target")).join(t, "target", "left_semi")
     linked = both.join(s, "source", "left_semi").join(t, "target", "left_semi")
-    return linked.union(a.join(b, "event_id").select("source", "target")).filter("source != target").distinct()
+    return linked.select("source", "target").union(a.join(b, "event_id").select("source", "target")).filter("source != target").distinct()
 
 
 def _times(log: Log, object_type: str, activity: str, name: str) -> DataFrame:
@@ -239,7 +239,7 @@ def neighbor_pairs(log: Log, source_type: str, target_type: str) -> DataFrame:
 def relation_universal_equal(log: Log, source_type: str, target_type: str, related_type: str) -> DataFrame:
     """source, violated: whether a neighbour relates to an object of the related type that the source does not relate to."""
     own = neighbours(log, source_type, related_type).withColumnRenamed("target", "related")
-    theirs = neighbours(log, source_type, target_type).join(neighbours(log, target_type, related_type).withColumnsRenamed({"source": "target", "target": "related"}), "target").select("source", "related").distinct()
+    theirs = neighbours(log, source_type, target_type).join(neighbours(log, target_type, related_type).toDF("target", "related"), "target").select("source", "related").distinct()
     met = theirs.join(own.withColumn("same", F.lit(True)), ["source", "related"], "left")
     return met.groupBy("source").agg(F.max(F.col("same").isNull()).alias("violated"))
 

@@ -575,8 +575,7 @@ def enh_performance(log):
 
 @query(B)
 def enh_synchronisation(log):
-    c = executions.leading(log, View(object_types=("order", "part")), every_type=True, attributes=False)
-    return enhancement.synchronisation(c.withColumn("member_type", F.col("object_type")))
+    return enhancement.synchronisation(executions.components(log))
 
 
 @query(A, "SELECT resource AS source, nr AS target, count(*) AS frequency FROM (SELECT resource, lead(resource) OVER (PARTITION BY object_id ORDER BY pos) AS nr FROM x) WHERE nr IS NOT NULL GROUP BY 1, 2")
