@@ -10,7 +10,7 @@ import zlib
 import numpy as np
 
 #: Parts kept, and characters encoded at a time: with these a worker's memory is bounded whatever the texts are.
-KNOWN, AT_ONCE = 800_000, 1 << 21
+KNOWN, AT_ONCE = 400_000, 1 << 21
 _ENCODERS: dict[tuple, Encoder] = {}
 
 
