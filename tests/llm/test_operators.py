@@ -233,7 +233,6 @@ def toxic_corpus(seed=3, n=600):
 def test_toxic_documents_are_found(spark):
     texts, ys = toxic_corpus()
     m = toxicity.fit(texts, ys)
-    held, want = toxic_corpus(seed=3, n=600)[0][:0], None
     held, want = toxic_corpus(seed=3, n=900)
     rows = [(i, t, "en", "a") for i, t in enumerate(held[600:])] + [(9000, None, "en", "a"), (9001, "", "en", "a"), (9002, "fine words " * 20000 + "idiot scumbag moron", "en", "a")]
     got = {r["id"]: r for r in toxicity.tag(docs(spark, rows), m).collect()}
