@@ -245,8 +245,11 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model
     unknown; so is one of which no family reaches the least probability. Null and empty texts, and empty tables, give no
     rows; a repeated row gives its rows again."""
     if model is None:
-        order = F.xxhash64(F.col(key), F.lit(5))
-        texts = docs.filter(F.col(text).isNotNull()).select(F.substring(text, 1, 20000).alias("t"), order.alias("o")).orderBy("o", "t").limit(sample).collect()  # examples for training only
+        # examples for training only: first the smallest hashes, which are small rows, then the texts that have them
+        known = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(F.col(key), F.lit(5)).alias("o"), F.col(text).alias("t"))
+        least = known.select("o").orderBy("o").limit(sample).agg(F.max("o")).first()[0]
+        texts = known.filter(F.col("o") <= F.lit(least)).select("o", F.substring("t", 1, 20000).alias("t")).limit(sample).collect() if least is not None else []
+        texts.sort(key=lambda r: (r["o"], r["t"]))
         model = train([p for r in texts for p in r["t"].split("\n")[:12]])
     kind = dict(docs.dtypes)[key]
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(_scan(model), f"id {kind}, {_FOUND}")
