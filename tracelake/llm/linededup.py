@@ -143,7 +143,8 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
     prints = nodes.groupBy("fp").agg(F.count("*").alias("lines"))
     # which fingerprints have a neighbour at all: only their lines' texts are fetched and compared
     near = links(prints.select("fp"), n := prints.count(), distance)
-    ends = near.select(F.col("a").alias("fp")).union(near.select(F.col("b").alias("fp"))).union(prints.filter("lines > 1").select("fp")).distinct()
+    # both ends of one evaluation: which row of a group is its root may differ from one to the next
+    ends = near.select(F.explode(F.array("a", "b")).alias("fp")).union(prints.filter("lines > 1").select("fp")).distinct()
     wanted = nodes.join(ends, "fp").select("sum", "fp", "first.*")
     texts = cut(
         base.join(wanted.withColumnsRenamed({"id": "wid", "h": "wh"}).hint("shuffle_hash"), F.expr("id <=> wid and h = wh"))
