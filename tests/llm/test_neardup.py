@@ -147,3 +147,23 @@ def test_lines_match_brute_force(spark):
         want.add((d, root, keep))
     assert got == want and gone
     assert linededup.dedup_lines(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_keep_one_reaches_similarity(spark):
+    r = random.Random(9)
+    words = [f"v{i}" for i in range(4000)]
+    rows, sets = [], []
+    for g in range(40):  # copies of 0.7 to 0.99 similarity, each of its own base
+        base = [r.choice(words) for _ in range(r.choice((60, 200, 600)))]
+        rows.append((2 * g, " ".join(base)))
+        for at in r.sample(range(0, len(base), 6), max(1, len(base) * (g % 8) // 200)):
+            base[at] = f"new{g}x{at}"
+        rows.append((2 * g + 1, " ".join(base)))
+    rows += [(900, ""), (901, None), (902, "one two"), (903, "one  two")]
+    for _, t in rows:
+        w = (t or "").split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    far = lambda a, b: len(a & b) < 0.8 * len(a | b)
+    want = {rows[g[0]][0] for g in brute_groups(rows, lambda i, j: not far(sets[i], sets[j]))}
+    got = {d["doc_id"] for d in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and 45 < len(want) < 80

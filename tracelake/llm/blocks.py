@@ -37,12 +37,15 @@ def block_count(n: int, distance: int, chance: int = 512) -> int:
     return distance + 5
 
 
-def tiles(rows: DataFrame, n: int, distance: int, tile: int = TILE) -> tuple[DataFrame, list[int]]:
+def tiles(rows: DataFrame, n: int, distance: int, tile: int = TILE, buckets: str | None = None) -> tuple[DataFrame, list[int]]:
     """Deals ``rows`` (column fp; more may follow) into buckets by block key and cuts buckets of over ``tile`` rows into
-    tiles: columns mask, key, i, j before those of rows. Two rows of one bucket meet in some (i, j). Also the masks."""
-    choice = masks(block_count(n, distance), distance)
-    keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in choice])).alias("mask", "key")
-    keyed = rows.select(keys, *rows.columns)
+    tiles: columns mask, key, i, j before those of rows. Two rows of one bucket meet in some (i, j). Also the masks.
+    ``buckets`` names a column of rows, an array of longs: these are the keys then, place by place, and there are no masks."""
+    choice = masks(block_count(n, distance), distance) if buckets is None else []
+    each = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in choice]) if buckets is None else F.col(buckets)
+    keys = F.posexplode(each).alias("mask", "key")
+    kept = [c for c in rows.columns if c != buckets]
+    keyed = rows.select(keys, *kept)
     large = cut(rows.select(keys).groupBy("mask", "key").agg(F.count("*").alias("size")).filter(F.col("size") > tile))
     count = large.count()
     large = large.union(large.sparkSession.range(1).select(F.lit(-1).alias("mask"), F.lit(0).cast("long").alias("key"), F.lit(1).cast("long").alias("size")))  # the same plan, with large buckets or without
@@ -51,7 +54,7 @@ def tiles(rows: DataFrame, n: int, distance: int, tile: int = TILE) -> tuple[Dat
     parts = F.coalesce(F.ceil(F.col("size") / tile), F.lit(1)).cast("int")
     met = met.withColumn("parts", parts).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), "parts").cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return met.select("mask", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *rows.columns), choice
+    return met.select("mask", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *kept), choice
 
 
 def _roots(lab: np.ndarray, i: np.ndarray) -> np.ndarray:
@@ -141,12 +144,13 @@ def linker(distance: int, choice: list[int], node: str, out: pa.Schema, verify:
     return run
 
 
-def links(rows: DataFrame, n: int, distance: int, node: str = "fp", tile: int = TILE, verify: Callable | None = None, payload: str | None = None) -> DataFrame:
+def links(rows: DataFrame, n: int, distance: int, node: str = "fp", tile: int = TILE, verify: Callable | None = None, payload: str | None = None, buckets: str | None = None) -> DataFrame:
     """Edges (a, b) between nodes whose fingerprints differ in ``distance`` bits or fewer (and that ``verify`` accepts).
+    With ``buckets`` (see tiles) only those that share a key in one place of it.
 
     Not all of them: in each tile group a spanning forest, which has the same connected components. ``rows`` has a row for
     each node, columns fp (long), node and payload. n: their number, or about."""
-    dealt, choice = tiles(rows, n, distance, tile)
+    dealt, choice = tiles(rows, n, distance, tile, buckets)
     order = ["mask", "key", "i", "j"]
     kind = dict(rows.dtypes)[node]
     arrow = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}[kind]

@@ -17,6 +17,12 @@ from tracelake.operators.components import connected_components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _CHUNK = 1 << 14
+#: MinHash keys of a shingle set, and the permutations that each key mixes.
+BANDS, ROWS = 32, 4
+#: Bits in which SimHash fingerprints of sets of similarity 0.8 may differ: some 10 do, with a deviation of 3.
+RADIUS = 26
+_PERMUTE = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def majority(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -93,12 +99,105 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     return marked.join(label, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, distance: int = 3) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were: of each group of near-duplicates the one of the smallest
+def alike(similarity: float):
+    """Whether two sets of hashes (sorted, distinct, as bytes) have this Jaccard similarity or more."""
+
+    def verify(a: bytes, b: bytes) -> bool:
+        x, y = np.frombuffer(a, dtype="<u8"), np.frombuffer(b, dtype="<u8")
+        if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+            return False
+        both = np.concatenate([x, y])
+        both.sort(kind="stable")
+        shared = int((both[1:] == both[:-1]).sum())
+        return shared >= similarity * (len(both) - shared) - 1e-9
+
+    return verify
+
+
+def _set(text: str, words: int) -> np.ndarray:
+    return np.unique(np.array(shingle_hashes(text, words), dtype=np.uint64))
+
+
+def _band_keys(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A row of BANDS keys for each run of ``h``: each key mixes the least of ROWS permutations of the run."""
+    out = np.zeros((len(starts), BANDS), dtype=np.uint64)
+    for k, m in enumerate(_PERMUTE):
+        out[:, k // ROWS] = (out[:, k // ROWS] ^ np.minimum.reduceat(h * m, starts)) * _MIX
+    return out
+
+
+def _sketches(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums, fps, bands, sets, held = [], [], [], [], 0
+
+            def close() -> None:
+                if not sets:
+                    return
+                counts = np.array([len(s) for s in sets])
+                h, full = np.concatenate(sets), counts > 0
+                fps.append(majority(h, counts) if len(h) else np.zeros(len(sets), dtype=np.uint64))
+                keys = np.zeros((len(sets), BANDS), dtype=np.uint64)
+                if full.any():
+                    keys[full] = _band_keys(h, (np.cumsum(counts) - counts)[full])
+                bands.append(keys)
+                sets.clear()
+
+            for t in b.column(2):
+                sets.append(_set(t.as_py() or "", words))
+                sums.append(xxhash.xxh128_digest(sets[-1].tobytes()))
+                held += len(sets[-1])
+                if held > _CHUNK:
+                    close()
+                    held = 0
+            close()
+            fp = np.concatenate(fps).view(np.int64) if fps else np.zeros(0, dtype=np.int64)
+            keys = np.concatenate(bands).view(np.int64).reshape(-1) if bands else np.zeros(0, dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * BANDS), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sums, pa.binary()), pa.array(fp), lists], names=["id", "h", "sum", "fp", "bands"])
+
+    return run
+
+
+def _sets(words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = pa.array([_set(t.as_py() or "", words).tobytes() for t in b.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), sets], names=["sum", "fp", "part", "shingles"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, distance: int = RADIUS) -> DataFrame:
+    """``id, component`` for each row: component is the smallest key that links reach from it, its own included.
+
+    Two rows link if the sets of their shingles have Jaccard similarity ``similarity`` or more. Candidates share a band of
+    MinHash keys (a pair of similarity 0.8 shares none with a chance of 5e-8) and differ in ``distance`` bits of SimHash
+    at most (at 0.8, about 10 differ). Candidates' components are few and small; in each, sets are
+    compared in tiles, so a set travels once and not once for each band. Rows of equal sets are one node."""
+    kind = dict(docs.dtypes)[key]
+    base = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
+    marked = cut(base.mapInArrow(_sketches(words), f"id {kind}, h bigint, sum binary, fp bigint, bands array<bigint>"))
+    nodes = cut(marked.groupBy("sum").agg(F.first("fp").alias("fp"), F.first("bands").alias("bands"), F.min(F.struct("id", "h")).alias("low")))
+    n = nodes.count()
+    near = cut(connected_components(links(nodes.select("fp", "sum", "bands"), n, distance, node="sum", buckets="bands")))
+    wanted = nodes.join(near.withColumnRenamed("node", "sum"), "sum").select("sum", "fp", F.array(F.xxhash64("root")).alias("part"), F.col("low.id").alias("wid"), F.col("low.h").alias("wh"))
+    texts = base.join(wanted.hint("shuffle_hash"), F.expr("id <=> wid and h <=> wh")).select("sum", "fp", "part", "text")
+    sets = cut(texts.mapInArrow(_sets(words), "sum binary, fp bigint, part array<bigint>, shingles binary").dropDuplicates(["sum"]))
+    ties = links(sets, n, distance, node="sum", tile=256, verify=alike(similarity), payload="shingles", buckets="part")
+    roots = cut(connected_components(ties))
+    low = nodes.select("sum", "low.id").join(roots.withColumnRenamed("node", "sum"), "sum", "left").withColumn("root", F.coalesce("root", "sum"))
+    named = low.groupBy("root").agg(F.min("id").alias("component"))
+    label = low.select("sum", "root").join(named, "root").select("sum", "component")
+    return marked.select("id", "sum").join(label, "sum").select("id", "component")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of ``docs`` that stay, all columns as they were: of each of the ``similar_groups`` the one of the smallest
     key. Of rows that repeat that key one stays. Rows with a null key always stay, as nothing names them as a copy; they
     count in no group. An empty table gives an empty one."""
     own = docs.filter(F.col(key).isNotNull())
-    keep = groups(own, key, text, words, distance).select(F.col("component").alias("__keep")).distinct()
+    keep = similar_groups(own, key, text, words, similarity).select(F.col("component").alias("__keep")).distinct()
     return own.join(keep, F.col(key) == F.col("__keep")).drop("__keep").dropDuplicates([key]).union(docs.filter(F.col(key).isNull()))
 
 
