@@ -167,3 +167,25 @@ def test_keep_one_reaches_similarity(spark):
     want = {rows[g[0]][0] for g in brute_groups(rows, lambda i, j: not far(sets[i], sets[j]))}
     got = {d["doc_id"] for d in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want and 45 < len(want) < 80
+
+
+def test_lines_by_edit_similarity_alone(spark):
+    r = random.Random(4)
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
+    lines = []
+    for n in (5, 6, 8, 9, 10, 14, 15, 20, 33, 52, 60, 64, 65, 70, 79, 80, 120, 300) * 3:
+        base = [r.choice(words) for _ in range(n)]
+        lines.append(base)
+        for _ in range(3):
+            w = list(base)
+            for _ in range(r.randint(1, max(1, n // 6))):
+                at = r.randrange(len(w))
+                w[at : at + 1] = r.choice(([], [r.choice(words)], [w[at], r.choice(words)]))
+            lines.append(w)
+    lines = [w for w in lines if len(w) >= 5]
+    r.shuffle(lines)
+    rows = [(i, " ".join(w)) for i, w in enumerate(lines)]
+    same = linededup.alike(0.8)
+    want = {g[0] for g in brute_groups(rows, lambda i, j: same(rows[i][1], rows[j][1]))}
+    got = {d["doc_id"] for d in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), distance=None).collect() if d["text"]}
+    assert got == want and len(want) < 0.5 * len(rows)

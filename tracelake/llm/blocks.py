@@ -40,13 +40,15 @@ def block_count(n: int, distance: int, chance: int = 512) -> int:
 def tiles(rows: DataFrame, n: int, distance: int, tile: int = TILE, buckets: str | None = None) -> tuple[DataFrame, list[int]]:
     """Deals ``rows`` (column fp; more may follow) into buckets by block key and cuts buckets of over ``tile`` rows into
     tiles: columns mask, key, i, j before those of rows. Two rows of one bucket meet in some (i, j). Also the masks.
-    ``buckets`` names a column of rows, an array of longs: these are the keys then, place by place, and there are no masks."""
+    ``buckets`` names a column of rows, an array of longs: these are the keys then, and there are no masks."""
     choice = masks(block_count(n, distance), distance) if buckets is None else []
-    each = F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in choice]) if buckets is None else F.col(buckets)
-    keys = F.posexplode(each).alias("mask", "key")
     kept = [c for c in rows.columns if c != buckets]
-    keyed = rows.select(keys, *kept)
-    large = cut(rows.select(keys).groupBy("mask", "key").agg(F.count("*").alias("size")).filter(F.col("size") > tile))
+    if buckets is None:
+        keys = F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in choice])).alias("mask", "key")
+    else:
+        rows = rows.select(F.lit(0).alias("mask"), F.explode(buckets).alias("key"), *kept)
+    keyed = rows.select(keys, *kept) if buckets is None else rows
+    large = cut(keyed.select("mask", "key").groupBy("mask", "key").agg(F.count("*").alias("size")).filter(F.col("size") > tile))
     count = large.count()
     large = large.union(large.sparkSession.range(1).select(F.lit(-1).alias("mask"), F.lit(0).cast("long").alias("key"), F.lit(1).cast("long").alias("size")))  # the same plan, with large buckets or without
     # the large buckets: few rows, and sent to all tasks only if this count says so
@@ -75,7 +77,7 @@ def _union(lab: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(lab, np.maximum(a, b), np.minimum(a, b))
 
 
-def linker(distance: int, choice: list[int], node: str, out: pa.Schema, verify: Callable | None = None, payload: str | None = None):
+def linker(distance: int, choice: list[int], node: str, out: pa.Schema, verify: Callable | None = None, payload: str | None = None, near: tuple[list[str], Callable] | None = None):
     """A function for mapInArrow over sorted tiles. It compares all pairs of a tile group, a diagonal at a time, and emits
     a spanning forest (a, b) of each group's links. ``verify(x, y)`` has the last word on a pair, from its payloads. It is
     asked only where a pair meets under the first mask that brings it together, and not for pairs that are already tied."""
@@ -90,12 +92,15 @@ def linker(distance: int, choice: list[int], node: str, out: pa.Schema, verify:
         start = np.flatnonzero(np.concatenate([[True], group[1:] != 0]))
         pos = np.arange(len(fp)) - np.repeat(start, np.diff(np.append(start, len(fp))))
         words, mask = t[payload].to_pylist() if payload else None, t["mask"].to_numpy()
+        seen = [t[c].to_numpy() for c in near[0]] if near else []
         lab, ties = np.arange(len(fp)), []
         # a row of tile i and one of tile j, i < j, or two of one tile: two of one tile met in (i, i) already, but a second look costs no more than the test for it
         live = np.flatnonzero(pos >= 1)
         off = 1
         while len(live):
             hit = live[np.bitwise_count(fp[live] ^ fp[live - off]) <= distance]
+            if near and len(hit):
+                hit = hit[near[1](*[v[hit] for v in seen], *[v[hit - off] for v in seen])]
             if verify is None:
                 _union(lab, hit - off, hit)
             elif len(hit):
@@ -144,9 +149,10 @@ def linker(distance: int, choice: list[int], node: str, out: pa.Schema, verify:
     return run
 
 
-def links(rows: DataFrame, n: int, distance: int, node: str = "fp", tile: int = TILE, verify: Callable | None = None, payload: str | None = None, buckets: str | None = None) -> DataFrame:
+def links(rows: DataFrame, n: int, distance: int, node: str = "fp", tile: int = TILE, verify: Callable | None = None, payload: str | None = None, buckets: str | None = None, near: tuple[list[str], Callable] | None = None) -> DataFrame:
     """Edges (a, b) between nodes whose fingerprints differ in ``distance`` bits or fewer (and that ``verify`` accepts).
-    With ``buckets`` (see tiles) only those that share a key in one place of it.
+    With ``buckets`` (see tiles) only those that share a key. ``near``: columns and a function of their values at both ends,
+    as arrays, that says which pairs may be tied at all.
 
     Not all of them: in each tile group a spanning forest, which has the same connected components. ``rows`` has a row for
     each node, columns fp (long), node and payload. n: their number, or about."""
@@ -155,4 +161,4 @@ def links(rows: DataFrame, n: int, distance: int, node: str = "fp", tile: int =
     kind = dict(rows.dtypes)[node]
     arrow = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}[kind]
     out = pa.schema([("a", arrow), ("b", arrow)])
-    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(linker(distance, choice, node, out, verify, payload), f"a {kind}, b {kind}")
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(linker(distance, choice, node, out, verify, payload, near), f"a {kind}, b {kind}")

@@ -5,6 +5,8 @@ would look alike."""
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,12 @@ from tracelake.llm.simhash import majority
 from tracelake.operators.components import connected_components
 
 _KNOWN = 200_000
+#: Words from which (more) lines are found by runs of four words, MinHash keys of these, and bits in which fingerprints of lines
+#: of edit similarity 0.8 may differ: some 13 do, with a deviation of 3.
+LONG, GRAMS, RADIUS = 64, 32, 30
+#: Columns of parity bits, 64 in each.
+PARITY = [f"p{k}" for k in range(8)]
+_SALT = np.random.default_rng(13).integers(0, 1 << 63, GRAMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: ASCII digits become 0 and ASCII punctuation a space; the line feed stays.
 _FOLD = bytes.maketrans(bytes(range(49, 58)) + (p := bytes(c for c in range(128) if not chr(c).isalnum() and c != 10)), b"0" * 9 + b" " * len(p))
 
@@ -128,18 +136,188 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array(out, pa.string())], names=["sum", "fp", "words"])
 
 
-def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, distance: int = 3, similarity: float = 0.8) -> DataFrame:
-    """The lines to remove: ``id, h, lines``, a row for each document that loses some (h: XXH64 of its text; lines: their
-    numbers from 0).
+class _Elements(_Hashes):
+    """48 bits of a word's XXH64 under 16 bits of how frequent it is (0: not among ``ranks``)."""
 
-    Lines of ``min_words`` words or more are compared after normalisation. Two link if the SimHash fingerprints of their
-    words differ in ``distance`` bits or fewer and their edit similarity (by words) is ``similarity`` or more; in each connected group
-    the line of the smallest (key, text hash, line number) stays. Shorter lines never go. Equal lines are one node. Null texts
-    have no lines; null keys come first in that order; rows that repeat key and text are one document."""
-    base = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
-    lines = cut(base.mapInArrow(_lines(min_words), "id bigint, h bigint, line int, sum binary, fp bigint"))
-    place = F.struct("id", "h", "line")
-    nodes = cut(lines.groupBy("sum").agg(F.min("fp").alias("fp"), F.min(place).alias("first"), F.count("*").alias("n")))
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _KNOWN:
+            self.clear()
+        v = self[word] = self.ranks.get(word, 0) << 48 | xxhash.xxh64_intdigest(word) >> 16
+        return v
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def allowed(n, similarity: float):
+    """Word edits that a pair of lines may have, the longer of n words."""
+    return np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
+
+
+def _numbered(e: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of lines' elements, those of a line from the rarest on, with the line of each and where lines start. A
+    word's second occurrence is an element of its own."""
+    starts, owner = np.cumsum(counts) - counts, np.repeat(np.arange(len(counts)), counts)
+    order = np.lexsort((e, owner))
+    low = np.uint64((1 << 48) - 1)
+    s = e[order]
+    fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])])
+    at = np.arange(len(s))
+    times = (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64)
+    s = s & ~low | _mix((s & low) + times * np.uint64(0x9E3779B97F4A7C15)) & low
+    return _mix(s[np.lexsort((s, owner))]), owner, starts
+
+
+def prints(e: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Fingerprint and parity bits of lines, given as runs of elements."""
+    m, _, starts = _numbered(e, counts)
+    place, bit = m >> np.uint64(61), np.uint64(1) << (m >> np.uint64(55) & np.uint64(63))
+    par = [np.bitwise_xor.reduceat(np.where(place == k, bit, np.uint64(0)), starts) for k in range(len(PARITY))]
+    return majority(m, counts), par
+
+
+def bucket_keys(e: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which lines, given as runs of elements, meet, and the line of each.
+
+    Lines of LONG words at most have the rarest words as keys, one more than they may have edits: two lines within the edits
+    share ``longer - edits`` words, so one of these is among the first of both in any common order (and no pair is
+    lost). Lines that may be alike to longer ones have GRAMS MinHash keys of their 4-word runs too."""
+    m, owner, starts = _numbered(e, counts)
+    at = np.arange(len(m))
+    edits = allowed(counts, similarity)
+    first = np.where((counts <= LONG) & (edits > 0), edits + 1, 0)
+    mine = at - np.repeat(starts, counts) < np.repeat(first, counts)
+    keys, whose = [m[mine]], [owner[mine]]
+    long = np.flatnonzero(counts >= LONG - allowed(np.array([LONG + 1]), similarity)[0])
+    if len(long):
+        size = counts[long] - 3
+        begin = np.cumsum(size) - size
+        where = np.arange(size.sum()) - np.repeat(begin, size) + np.repeat(starts[long], size)
+        g = _mix(e[where])
+        for k in (1, 2, 3):
+            g = _mix(g + e[where + k])
+        for k, x in enumerate(_SALT):
+            keys.append(_mix(np.minimum.reduceat(g * x, begin) + np.uint64(k)))
+            whose.append(long)
+    return np.concatenate(keys), np.concatenate(whose)
+
+
+def _blocks(b: pa.RecordBatch, min_words: int, word) -> Iterator[tuple[list, list, list, list, np.ndarray, np.ndarray]]:
+    """Lines of a batch, some at a time: key, hash of the text, number, sum, elements and how many each has."""
+    ids, hs, at, sums, e, counts = held = ([], [], [], [], [], [])
+    for key, text_hash, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+        for k, line in enumerate(folded(text.as_py() or "")):
+            words = line.split()
+            if len(words) < min_words:
+                continue
+            ids.append(key)
+            hs.append(text_hash)
+            at.append(k)
+            sums.append(xxhash.xxh128_digest(b" ".join(words)))
+            e += map(word, words)
+            counts.append(len(words))
+            if len(e) > 1 << 17:
+                yield ids, hs, at, sums, np.array(e, dtype=np.uint64), np.array(counts)
+                for v in held:
+                    v.clear()
+    if ids:
+        yield ids, hs, at, sums, np.array(e, dtype=np.uint64), np.array(counts)
+
+
+def _sketched(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = _Elements({}).__getitem__
+        for b in batches:
+            for ids, hs, at, sums, e, counts in _blocks(b, min_words, word):
+                fp, par = prints(e, counts)
+                cols = [pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(at, pa.int32()), pa.array(sums, pa.binary()), pa.array(fp.view(np.int64)), *[pa.array(v.view(np.int64)) for v in par], pa.array(counts, pa.int32()), pa.array(np.frombuffer(b"".join(sums), dtype="<i8")[::2])]
+                yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "line", "sum", "fp", *PARITY, "n", "short"])
+
+    return run
+
+
+def _keyed(min_words: int, similarity: float, ranks: dict[bytes, int]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word = _Elements(ranks).__getitem__
+        for b in batches:
+            for *_, sums, e, counts in _blocks(b, min_words, word):
+                keys, whose = bucket_keys(e, counts, similarity)
+                short = np.frombuffer(b"".join(sums), dtype="<i8")[::2]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(short[whose])], names=["key", "short"])
+
+    return run
+
+
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of key and short: each once, and only where a key has several."""
+    k, s, tied = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), False  # the last row, and whether it shares its key
+    for b in batches:
+        k, s = np.append(k, b.column(0).to_numpy()), np.append(s, b.column(1).to_numpy())
+        if not len(k):
+            continue
+        new = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]))
+        k, s = k[new], s[new]
+        same = np.append(tied, k[1:] == k[:-1])
+        keep = same[:-1] | same[1:]
+        yield pa.RecordBatch.from_arrays([pa.array(k[:-1][keep]), pa.array(s[:-1][keep])], names=["key", "short"])
+        k, s, tied = k[-1:], s[-1:], bool(same[-1])
+    if tied:
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(s)], names=["key", "short"])
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        c = Counter(w for t in b.column(0) for line in folded(t.as_py() or "") for w in line.split())
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
+
+
+def _ranks(base: DataFrame) -> dict[bytes, int]:
+    """How frequent the words of some texts are. It sets the order in which words become keys, so the cost of the join;
+    any order gives the same links."""
+    some = base.select(F.substring("text", 1, 20000).alias("text")).filter("text is not null").limit(2000)
+    top = some.mapInArrow(_counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(20_000)
+    return {bytes(r["word"]): int(1000 * math.log2(r["n"] + 1)) for r in top.collect()}
+
+
+def within(similarity: float):
+    """Columns and a test for links: pairs whose edits may be few enough, by their lengths and by the parities of 512 classes
+    of words. It loses no pair: an edit changes two words at most, a word one parity."""
+
+    def test(*v: np.ndarray) -> np.ndarray:
+        *par, n = v[: len(PARITY) + 1]
+        *par2, n2 = v[len(PARITY) + 1 :]
+        apart, edits = np.abs(n.astype(np.int64) - n2), allowed(np.maximum(n, n2), similarity)
+        odd = sum(np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).astype(np.int64) for a, b in zip(par, par2))
+        return (apart <= edits) & (odd <= 2 * edits - apart)
+
+    return [*PARITY, "n"], test
+
+
+def _ties(lines: DataFrame, base: DataFrame, min_words: int, similarity: float) -> DataFrame:
+    """Links of nodes (sum) by edit similarity alone. Candidates share a key and pass ``within``; keys that one line has
+    alone go first, as most do. Texts travel once, to the component of their candidates, and are compared there."""
+    distinct = lines.groupBy("sum").agg(*[F.first(c).alias(c) for c in ("fp", *PARITY, "n", "short")], F.min(F.struct("id", "h", "line")).alias("first"))
+    distinct = cut(distinct)
+    n, near = distinct.count(), within(similarity)
+    keys = base.mapInArrow(_keyed(min_words, similarity, _ranks(base)), "key bigint, short bigint")
+    met = cut(keys.repartition("key").sortWithinPartitions("key", "short").mapInArrow(_shared, "key bigint, short bigint"))
+    rows = met.join(distinct.select("short", "sum", "fp", *PARITY, "n").hint("shuffle_hash"), "short").select("sum", "fp", *PARITY, "n", F.array("key").alias("keys"))
+    found = links(rows, n, RADIUS, node="sum", buckets="keys", near=near)
+    parts = cut(connected_components(found)).withColumnRenamed("node", "sum")
+    wanted = cut(distinct.join(parts.hint("shuffle_hash"), "sum").select("sum", "fp", *PARITY, F.col("n").alias("words_n"), F.xxhash64("root").alias("part"), F.col("first.id").alias("wid"), F.col("first.h").alias("wh"), "first.line"))
+    texts = base.join(wanted.hint("shuffle_hash"), F.expr("id <=> wid and h = wh")).select("text", "line", "sum", "fp").mapInArrow(_texts, "sum binary, fp bigint, words string").dropDuplicates(["sum"])
+    texts = cut(texts.join(wanted.select("sum", *PARITY, F.col("words_n").alias("n"), F.array("part").alias("part")), "sum"))
+    return links(texts, n, RADIUS, node="sum", tile=512, verify=alike(similarity), payload="words", buckets="part", near=near)
+
+
+def _near_ties(nodes: DataFrame, base: DataFrame, distance: int, similarity: float) -> DataFrame:
+    """Links of nodes (sum) whose fingerprints differ in ``distance`` bits or fewer and that have the similarity."""
     prints = nodes.groupBy("fp").agg(F.count("*").alias("lines"))
     # which fingerprints have a neighbour at all: only their lines' texts are fetched and compared
     near = links(prints.select("fp"), n := prints.count(), distance)
@@ -150,7 +328,25 @@ def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_wor
         base.join(wanted.withColumnsRenamed({"id": "wid", "h": "wh"}).hint("shuffle_hash"), F.expr("id <=> wid and h = wh"))
         .select("text", "line", "sum", "fp").mapInArrow(_texts, "sum binary, fp bigint, words string").dropDuplicates(["sum"])
     )
-    ties = links(texts, n, distance, node="sum", tile=512, verify=alike(similarity), payload="words")
+    return links(texts, n, distance, node="sum", tile=512, verify=alike(similarity), payload="words")
+
+
+def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, distance: int | None = 3, similarity: float = 0.8) -> DataFrame:
+    """The lines to remove: ``id, h, lines``, a row for each document that loses some (h: XXH64 of its text; lines: their
+    numbers from 0).
+
+    Lines of ``min_words`` words or more are compared after normalisation. Two link if the SimHash fingerprints of their
+    words differ in ``distance`` bits or fewer and their edit similarity (by words) is ``similarity`` or more (without ``distance``: the similarity alone decides); in each connected group
+    the line of the smallest (key, text hash, line number) stays. Shorter lines never go. Equal lines are one node. Null texts
+    have no lines; null keys come first in that order; rows that repeat key and text are one document."""
+    base = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
+    if distance is None:
+        lines = cut(base.mapInArrow(_sketched(min_words), "id bigint, h bigint, line int, sum binary, fp bigint, " + ", ".join(f"{p} bigint" for p in PARITY) + ", n int, short bigint"))
+    else:
+        lines = cut(base.mapInArrow(_lines(min_words), "id bigint, h bigint, line int, sum binary, fp bigint"))
+    place = F.struct("id", "h", "line")
+    nodes = cut(lines.groupBy("sum").agg(F.min("fp").alias("fp"), F.min(place).alias("first"), F.count("*").alias("n")))
+    ties = _near_ties(nodes, base, distance, similarity) if distance is not None else _ties(lines, base, min_words, similarity)
     roots = connected_components(ties).withColumnsRenamed({"node": "sum"})
     # most lines are alone: they go before anything is grouped
     in_group = nodes.join(roots.hint("shuffle_hash"), "sum", "left").filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "sum"))
@@ -176,4 +372,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without repeated lines: doc_id, text, n_lines (before) and n_removed, a row for each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
-    return dedup_lines(docs).withColumnRenamed("__removed", "n_removed")
+    return dedup_lines(docs, distance=None).withColumnRenamed("__removed", "n_removed")

@@ -120,7 +120,7 @@ def _set(text: str, words: int) -> np.ndarray:
 
 def _band_keys(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """A row of BANDS keys for each run of ``h``: each key mixes the least of ROWS permutations of the run."""
-    out = np.zeros((len(starts), BANDS), dtype=np.uint64)
+    out = np.tile(np.arange(BANDS, dtype=np.uint64), (len(starts), 1))
     for k, m in enumerate(_PERMUTE):
         out[:, k // ROWS] = (out[:, k // ROWS] ^ np.minimum.reduceat(h * m, starts)) * _MIX
     return out
