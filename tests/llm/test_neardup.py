@@ -189,3 +189,11 @@ def test_lines_by_edit_similarity_alone(spark):
     want = {g[0] for g in brute_groups(rows, lambda i, j: same(rows[i][1], rows[j][1]))}
     got = {d["doc_id"] for d in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), distance=None).collect() if d["text"]}
     assert got == want and len(want) < 0.5 * len(rows)
+
+
+def test_short_and_unspaced_lines(spark):
+    long = "\u6211\u5011\u5728\u9019\u88e1" * 60
+    rows = [(1, f"Subscribe to news\n{long}\n}}\nshort"), (2, f"subscribe to NEWS!\n{long}\n}}\nshort"), (3, "Subscribe to views")]
+    how = {"distance": None, "min_chars": linededup.MIN_CHARS}
+    got = {d["doc_id"]: d["text"] for d in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
+    assert got == {1: rows[0][1], 2: "}\nshort", 3: rows[2][1]}

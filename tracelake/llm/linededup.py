@@ -25,6 +25,8 @@ _KNOWN = 200_000
 #: Words from which (more) lines are found by runs of four words, MinHash keys of these, and bits in which fingerprints of lines
 #: of edit similarity 0.8 may differ: some 13 do, with a deviation of 3.
 LONG, GRAMS, RADIUS = 64, 32, 30
+#: Characters from which a line of few words is compared, for equality.
+MIN_CHARS = 8
 #: Columns of parity bits, 64 in each.
 PARITY = [f"p{k}" for k in range(8)]
 _SALT = np.random.default_rng(13).integers(0, 1 << 63, GRAMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -208,13 +210,13 @@ def bucket_keys(e: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[n
     return np.concatenate(keys), np.concatenate(whose)
 
 
-def _blocks(b: pa.RecordBatch, min_words: int, word) -> Iterator[tuple[list, list, list, list, np.ndarray, np.ndarray]]:
+def _blocks(b: pa.RecordBatch, min_words: int, word, min_chars: int | None = None) -> Iterator[tuple[list, list, list, list, np.ndarray, np.ndarray]]:
     """Lines of a batch, some at a time: key, hash of the text, number, sum, elements and how many each has."""
     ids, hs, at, sums, e, counts = held = ([], [], [], [], [], [])
     for key, text_hash, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
         for k, line in enumerate(folded(text.as_py() or "")):
             words = line.split()
-            if len(words) < min_words:
+            if len(words) < min_words and (not words or min_chars is None or len(b" ".join(words).decode("utf-8", "replace")) < min_chars):
                 continue
             ids.append(key)
             hs.append(text_hash)
@@ -230,11 +232,11 @@ def _blocks(b: pa.RecordBatch, min_words: int, word) -> Iterator[tuple[list, lis
         yield ids, hs, at, sums, np.array(e, dtype=np.uint64), np.array(counts)
 
 
-def _sketched(min_words: int):
+def _sketched(min_words: int, min_chars: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word = _Elements({}).__getitem__
         for b in batches:
-            for ids, hs, at, sums, e, counts in _blocks(b, min_words, word):
+            for ids, hs, at, sums, e, counts in _blocks(b, min_words, word, min_chars):
                 fp, par = prints(e, counts)
                 cols = [pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(at, pa.int32()), pa.array(sums, pa.binary()), pa.array(fp.view(np.int64)), *[pa.array(v.view(np.int64)) for v in par], pa.array(counts, pa.int32()), pa.array(np.frombuffer(b"".join(sums), dtype="<i8")[::2])]
                 yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "line", "sum", "fp", *PARITY, "n", "short"])
@@ -331,17 +333,18 @@ def _near_ties(nodes: DataFrame, base: DataFrame, distance: int, similarity: flo
     return links(texts, n, distance, node="sum", tile=512, verify=alike(similarity), payload="words")
 
 
-def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, distance: int | None = 3, similarity: float = 0.8) -> DataFrame:
+def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, distance: int | None = 3, similarity: float = 0.8, min_chars: int | None = None) -> DataFrame:
     """The lines to remove: ``id, h, lines``, a row for each document that loses some (h: XXH64 of its text; lines: their
     numbers from 0).
 
     Lines of ``min_words`` words or more are compared after normalisation. Two link if the SimHash fingerprints of their
     words differ in ``distance`` bits or fewer and their edit similarity (by words) is ``similarity`` or more (without ``distance``: the similarity alone decides); in each connected group
-    the line of the smallest (key, text hash, line number) stays. Shorter lines never go. Equal lines are one node. Null texts
+    the line of the smallest (key, text hash, line number) stays. Shorter lines never go, but for
+    those of ``min_chars`` characters or more after normalisation, if it is given (and no ``distance``): these go if they are equal. Equal lines are one node. Null texts
     have no lines; null keys come first in that order; rows that repeat key and text are one document."""
     base = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
     if distance is None:
-        lines = cut(base.mapInArrow(_sketched(min_words), "id bigint, h bigint, line int, sum binary, fp bigint, " + ", ".join(f"{p} bigint" for p in PARITY) + ", n int, short bigint"))
+        lines = cut(base.mapInArrow(_sketched(min_words, min_chars), "id bigint, h bigint, line int, sum binary, fp bigint, " + ", ".join(f"{p} bigint" for p in PARITY) + ", n int, short bigint"))
     else:
         lines = cut(base.mapInArrow(_lines(min_words), "id bigint, h bigint, line int, sum binary, fp bigint"))
     place = F.struct("id", "h", "line")
@@ -372,4 +375,4 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **how)
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without repeated lines: doc_id, text, n_lines (before) and n_removed, a row for each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
-    return dedup_lines(docs, distance=None).withColumnRenamed("__removed", "n_removed")
+    return dedup_lines(docs, distance=None, min_chars=MIN_CHARS).withColumnRenamed("__removed", "n_removed")
