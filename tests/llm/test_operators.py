@@ -334,3 +334,9 @@ def test_licences(spark):
     hit = licences.scan(docs(spark, rows), model=m).filter("id = 1").first()
     assert rows[0][1][hit["start"] : hit["end"]] == "Released under the MIT License."
     assert licences.scan(docs(spark, []), model=m).count() == 0
+
+
+def test_url_grams_start_at_the_host(spark):
+    url = "http://casino-spam.example/go?u=https://wiki.example/a"
+    df = spark.createDataFrame([(url,)], "url string").select(urls.grams(F.col("url"), 0).alias("g"))
+    assert "".join(df.first()["g"]) == url[7:]
