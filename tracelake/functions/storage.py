@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; one of our own only where the session names none (tests, a laptop)."""
+    """The folder of ``spark.checkpoint.dir``. Where the session names none, a folder of our own, but only on a local master
+    (tests, a laptop): on a cluster executors would not see it, so there it is an error."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if named is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tracelake-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(named)
@@ -21,6 +27,31 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Writes ``df`` to the shared folder and goes on from there: its lineage ends, and a lost executor loses nothing.
 
-    The files go when Spark's cleaner finds that no DataFrame needs them any more."""
-    shared_dir(df.sparkSession)
+    The files go when Spark's cleaner finds that no DataFrame needs them any more: unless the session says otherwise,
+    this turns that on, which Spark has off."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    conf = spark.sparkContext._jsc.sc().conf()
+    if not conf.contains(_CLEAN):
+        conf.set(_CLEAN, "true")
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As ``cut``, as a Parquet table: for wide rows of which later steps read some columns only. The files go with the
+    application, or by ``drop``."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a table that ``written`` returned and that nothing reads any more."""
+    sc = df.sparkSession.sparkContext
+    for file in df.inputFiles()[:1]:
+        at = sc._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
