@@ -139,19 +139,17 @@ def _write(folder: str, vocabulary: str, kind: str, end: int):
         encoder, out, lengths, keys, nulls = None, None, [], [], 0
         # a name of its own for each attempt: only the manifest of the attempt that Spark counts names a file
         uri = f"{folder}/part-{task.partitionId():06d}-{task.taskAttemptId()}.eft"
-        for big in batches:
-            for at in range(0, big.num_rows, 500):
-                b = big.slice(at, 500)
-                if out is None:
-                    encoder = encoder_of(vocabulary, kind, end)
-                    fs, path = _open(uri)
-                    out = fs.open_output_stream(path)
-                for key, ids in zip(b.column(0).to_pylist(), encoder.encode(b.column(1).to_pylist())):
-                    out.write(ids)
-                    lengths.append(len(ids) // encoder.kind.itemsize)
-                    nulls += key is None
-                    if key is not None:
-                        keys.append(key)
+        for b in batches:
+            if out is None and b.num_rows:
+                encoder = encoder_of(vocabulary, kind, end)
+                fs, path = _open(uri)
+                out = fs.open_output_stream(path)
+            for lo, hi, ids, n in encoder.groups(b.column(1)) if out else ():
+                out.write(ids.tobytes())
+                lengths += n.tolist()
+                own = b.column(0).slice(lo, hi - lo)
+                nulls += own.null_count
+                keys += own.drop_null().to_pylist()
         if out is None:
             return
         bounds = np.concatenate([[0], np.cumsum(np.array(lengths, dtype=np.int64))])

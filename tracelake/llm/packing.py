@@ -24,15 +24,14 @@ def _tokenise(vocabulary: str, kind: str, end: int, shards: int):
         from pyspark import TaskContext
 
         encoder, row = encoder_of(vocabulary, kind, end), TaskContext.get().partitionId() * 7919
-        for big in batches:
-            for at in range(0, big.num_rows, 500):
-                b = big.slice(at, 500)
-                ids = encoder.encode(b.column(1).to_pylist())
-                n = np.array([len(x) // encoder.kind.itemsize for x in ids], dtype=np.int64)
+        for b in batches:
+            for lo, hi, ids, n in encoder.groups(b.column(1)):
                 # dealt in turn, not by a key: no repeated key or hot source fills a shard
-                shard = (row + np.arange(len(ids))) % shards
-                row += len(ids)
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(shard), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "source", "shard", "n", "ids"])
+                shard = (row + np.arange(hi - lo)) % shards
+                row += hi - lo
+                ends = np.concatenate([[0], np.cumsum(n)]) * encoder.kind.itemsize
+                held = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(shard), pa.array(n), held], names=["doc_id", "source", "shard", "n", "ids"])
 
     return run
 
