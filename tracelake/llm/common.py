@@ -22,3 +22,9 @@ def let(value: Column, then) -> Column:
 def unit_hash(key: Column, salt: str = "") -> Column:
     """A number in [0, 1) that depends on ``key`` alone: the first 32 bits of an MD5 (the same in other SQL engines)."""
     return F.conv(F.substring(F.md5(F.concat(F.lit(salt), key.cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def free(columns: list[str], *names: str) -> list[str]:
+    """Names like ``names`` that no column has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    return [next(n for k in range(len(taken) + 1) if (n := name + "_" * k).lower() not in taken) for name in names]

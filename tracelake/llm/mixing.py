@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.storage import cut
-from tracelake.llm.common import WORD, table, unit_hash
+from tracelake.llm.common import WORD, free, table, unit_hash
 
 #: Topics by what a text holds; the first that fits. The rest is "prose".
 TOPICS = {"legal": r"(?i)licen[cs]e|copyright", "symbols": r"[#*$%&|<>]{3}", "web": r"https?://|www\.|@[a-z]+\.[a-z]"}
@@ -15,6 +15,10 @@ TOPICS = {"legal": r"(?i)licen[cs]e|copyright", "symbols": r"[#*$%&|<>]{3}", "we
 TEMPER, ROUNDS, KEEP = 0.7, 50, 0.8
 #: Cells that the driver rakes at most (about 100 MB); more are raked by Spark.
 DRIVER_CELLS = 1_000_000
+#: Cells that are sent to all tasks at most (some 20 MB); more are joined by a shuffle.
+BROADCAST_CELLS = 200_000
+#: Raking ends before its last round if no factor moves by more than this share.
+STILL = 1e-13
 _DIMENSIONS = ("source", "lang", "topic")
 
 
@@ -40,9 +44,12 @@ def rake(tokens: np.ndarray, codes: np.ndarray, goals: list[np.ndarray], rounds:
     factor by the codes of that dimension are its goals."""
     fitted = tokens / max(tokens.sum(), 1e-300)
     for _ in range(rounds):
+        before = fitted
         for d, goal in enumerate(goals):
             now = np.bincount(codes[:, d], fitted, len(goal))
             fitted = fitted * np.divide(goal, now, out=np.zeros_like(goal), where=now > 0)[codes[:, d]]
+        if (np.abs(fitted - before) <= STILL * before).all():
+            break
     return np.divide(fitted, tokens / max(tokens.sum(), 1e-300), out=np.zeros(len(tokens)), where=tokens > 0)
 
 
@@ -54,12 +61,12 @@ def calibrate(tokens: np.ndarray, factor: np.ndarray, keep: float) -> np.ndarray
     c = 0.0
     for k in range(len(t) + 1):
         c = (budget - sure) / rest if rest > 1e-12 else np.inf
-        if k == len(t) or c * r[k] <= 1:
+        if k == len(t) or r[k] <= 0 or c * r[k] <= 1:
             break
         sure += t[k]
         rest -= t[k] * r[k]
-    with np.errstate(invalid="ignore"):
-        p = np.where(factor > 0, np.minimum(1.0, c * factor), 0.0)
+    p = np.zeros(len(tokens))
+    p[factor > 0] = np.minimum(1.0, c * factor[factor > 0])
     return np.round(p, 9)
 
 
@@ -108,31 +115,35 @@ def rake_cells(cells: DataFrame, temper: float = TEMPER, keep: float = KEEP, rou
     return t.select(*_DIMENSIONS, "tokens", F.round(p, 9).alias("probability"))
 
 
-def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, **how) -> DataFrame:
-    """``docs`` with ``__mix``: tokens (words), topic, probability and sampled.
+def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", lang: str = "lang", topic: Column | None = None, name: str = "__mix", **how) -> DataFrame:
+    """``docs`` with a struct ``name``: tokens (words), topic, probability and sampled.
 
     A row is sampled if the hash of its key, a number in [0, 1), is under the probability of its cell: the same rows in every
-    run, whatever the partitions. A null key is hashed as its text is. Rows without tokens belong to cells like others and have
-    their probability; null sources, languages are values. Cells are summed in each task before they are shuffled."""
+    run, whatever the partitions. A null key is hashed as its text is. Rows without tokens (null, empty texts) belong to
+    cells like others and have their probability; null sources, languages are values; repeated rows have one fate; an
+    empty table gives an empty one. A column that has the name is replaced, no other is touched. Cells are summed in each
+    task before they are shuffled, and sent to all tasks if their count is under BROADCAST_CELLS: no text is shuffled then."""
     topic = topic_of(F.col(text)) if topic is None else topic
     tokens = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long")
-    cell = F.struct(F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), topic.alias("topic"))
-    marked = docs.withColumn("__mix", F.struct(tokens.alias("tokens"), cell.alias("cell")))
-    slim = marked.select("__mix.tokens", "__mix.cell.*")
-    got = rake_cells(slim.groupBy(*_DIMENSIONS).agg(F.sum("tokens").alias("tokens")), **how)
-    got = got.select(*[F.col(d).alias(f"__{d}") for d in _DIMENSIONS], F.col("probability").alias("__p"))
+    draw = unit_hash(F.coalesce(F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")))), "mix")
+    own = F.struct(tokens.alias("tokens"), F.col(source).cast("string").alias("source"), F.col(lang).cast("string").alias("lang"), topic.alias("topic"), draw.alias("draw"))
+    got = rake_cells(docs.select(own.alias("m")).select("m.tokens", *[f"m.{d}" for d in _DIMENSIONS]).groupBy(*_DIMENSIONS).agg(F.sum("tokens").alias("tokens")), **how)
+    cell = free([*docs.columns, name], "__cell")[0]
+    got = got.select(F.struct(*[F.col(d).alias(d) for d in _DIMENSIONS], "probability").alias(cell))
+    rest = [c for c in docs.columns if c.lower() != name.lower()]
+    marked = docs.select(*[F.col(f"`{c}`") for c in rest], own.alias(name))
     on = F.lit(True)
     for d in _DIMENSIONS:
-        on = on & F.col(f"__mix.cell.{d}").eqNullSafe(F.col(f"__{d}"))
-    met = marked.join(got, on)  # Spark broadcasts the cells if they are few
-    draw = unit_hash(F.coalesce(F.col(key).cast("string"), F.md5(F.coalesce(F.col(text), F.lit("")))), "mix")
-    out = F.struct("__mix.tokens", "__mix.cell.topic", F.col("__p").alias("probability"), (draw < F.col("__p")).alias("sampled"))
-    return met.withColumn("__mix", out).select(*[F.col(f"`{c}`") for c in docs.columns], "__mix")
+        on = on & F.col(f"{name}.{d}").eqNullSafe(F.col(f"{cell}.{d}"))
+    met = marked.join(F.broadcast(got) if got.count() <= BROADCAST_CELLS else got, on)
+    p = F.col(f"{cell}.probability")
+    out = F.struct(f"{name}.tokens", f"{name}.topic", p.alias("probability"), (F.col(f"{name}.draw") < p).alias("sampled"))
+    return met.select(*[F.col(f"`{c}`") for c in rest], out.alias(name))
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cell, sampling probability and decision of every document, raked to tempered shares of source, language and topic."""
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "lang", "__mix.*")
+    return mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")).select("doc_id", "source", "lang", "__mix.*")
 
 
 def _sql() -> str:
