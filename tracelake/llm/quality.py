@@ -7,8 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.functions.storage import cut
-from tracelake.llm.common import WORD, let, table
+from tracelake.functions.storage import cut, written
+from tracelake.llm.common import WORD, free, let, table
 
 #: Rules by which a host is judged: name -> condition on the measures.
 HOST_RULES = {
@@ -16,8 +16,11 @@ HOST_RULES = {
     "symbols": "n_words > 0 and 10 * n_symbols > 3 * n_words",
     "lines": "n_lines > 1 and 10 * n_dup_lines > 3 * n_lines",
 }
-#: A host is rejected if, for some rule, its shrunk failure rate is over this.
-MOST = 0.5
+#: A host is rejected if, for some rule, its shrunk failure rate is surely (by SURE deviations of the posterior) more than
+#: FAR deviations of the prior over the mean of all hosts; this limit is LEAST at least and MOST at most.
+SURE, FAR, LEAST, MOST = 2.0, 3.0, 0.25, 0.5
+#: Rejected hosts up to this many (some 10 MB) are sent to all tasks; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 
 
 def repeat_words(words: Column, window: int = 5) -> Column:
@@ -47,34 +50,37 @@ def repeat_words(words: Column, window: int = 5) -> Column:
     return let(words, lambda w: F.when(F.size(w) > window, runs(w)).otherwise(F.lit(0).cast("long")))
 
 
-def measures(docs: DataFrame, text: str = "text", only_words: bool = False) -> DataFrame:
-    """``docs`` with a struct ``__m``: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (only_words: the
-    first and the last). One column, so that no column's name can clash. A null text has no words and no lines."""
+def measures(docs: DataFrame, text: str = "text", name: str = "__m") -> DataFrame:
+    """``docs`` with a struct ``name``: n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
+
+    A null text has no words and no lines. Every row has its own measures, repeated rows too; an empty table gives an empty
+    one. No column of ``docs`` is touched; one that has the name is replaced."""
     t = F.coalesce(F.col(text), F.lit(""))
     space = " \t\n\x0b\x0c\r"
     words = F.filter(F.split(t, r"[\x20\x09-\x0D]+", -1), lambda w: w != "")
     lines = F.filter(F.split(t, "\n", -1), lambda x: F.translate(x, space, "") != "")
     counts = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), repeat_words(w).alias("again")))
     each = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("unlike")))
-    made = docs.withColumn("__w", counts)
-    fields = [F.col("__w.n").alias("n_words"), F.col("__w.again").alias("n_repeat_words")]
-    if not only_words:
-        bare = F.translate(t, space, "")
-        made = made.withColumn("__l", each).withColumn("__b", F.length(bare).cast("long"))
-        fields += [F.col("__b").alias("word_chars"), (F.col("__b") - F.length(F.translate(bare, "#*$%&|<>", ""))).cast("long").alias("n_symbols")]
-        fields += [F.col("__l.n").alias("n_lines"), (F.col("__l.n") - F.col("__l.unlike")).alias("n_dup_lines")]
-    return made.withColumn("__m", F.struct(*fields)).drop("__w", "__l", "__b")
+    bare = F.translate(t, space, "")
+    w, x, b = free([*docs.columns, name], "__w", "__x", "__b")
+    made = docs.withColumn(w, counts).withColumn(x, each).withColumn(b, F.length(bare).cast("long"))
+    fields = [
+        F.col(f"{w}.n").alias("n_words"), F.col(f"{w}.again").alias("n_repeat_words"), F.col(b).alias("word_chars"),
+        (F.col(b) - F.length(F.translate(bare, "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.col(f"{x}.n").alias("n_lines"), (F.col(f"{x}.n") - F.col(f"{x}.unlike")).alias("n_dup_lines"),
+    ]
+    return made.withColumn(name, F.struct(*fields)).drop(w, x, b)
 
 
-def host_verdicts(fails: DataFrame, most: float = MOST) -> DataFrame:
-    """``__host, __rejected``: for each host and rule the failure rate is drawn to that of all hosts by a beta prior, whose
-    mean and strength are fitted to the hosts' rates by moments; one rule over ``most`` rejects.
+def host_verdicts(fails: DataFrame) -> DataFrame:
+    """``host, rejected``: for each host and rule the failure rate is drawn to that of all hosts by a beta prior, whose
+    mean and strength are fitted to the hosts' rates by moments; a host far out of the prior (see SURE) is rejected.
 
     ``fails`` has columns host and f_<rule> (booleans). Rows are pre-summed in each task, so a hot host is no hot task; only
     the prior, one row, comes to the driver. A null host is a host of its own. If hosts do not differ more than chance
-    allows, the prior is as strong as all rows together."""
+    allows, the prior is as strong as all rows together, and none is rejected but for a rate over MOST."""
     names = [f"f_{r}" for r in HOST_RULES]
-    by = cut(fails.groupBy(F.col("host").alias("__host")).agg(F.count("*").alias("n"), *[F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(c) for c in names]))
+    by = cut(fails.groupBy("host").agg(F.count("*").alias("n"), *[F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(c) for c in names]))
     total = by.agg(
         F.sum("n").alias("n"), F.count("*").alias("hosts"), (F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("mean_n"),
         *[(F.sum(c) / F.sum("n")).alias(f"m_{c}") for c in names],
@@ -86,31 +92,41 @@ def host_verdicts(fails: DataFrame, most: float = MOST) -> DataFrame:
         # variance between hosts by moments: what their rates vary more than chance lets them
         between = (total[f"q_{c}"] - n * m * m - (total["hosts"] - 1) * m * (1 - m)) / (n - total["mean_n"]) if n > total["mean_n"] else 0.0
         strength = max(m * (1 - m) / between - 1, 0.0) if between > 0 else float(n)
-        rejected = rejected | ((F.col(c) + F.lit(strength * m)) / (F.col("n") + F.lit(strength)) > most)
-    return by.select("__host", rejected.alias("__rejected"))
+        limit = min(max(m + FAR * (m * (1 - m) / (strength + 1)) ** 0.5, LEAST), MOST)
+        rate = (F.col(c) + F.lit(strength * m)) / (F.col("n") + F.lit(strength))
+        rejected = rejected | (rate - F.lit(SURE) * F.sqrt(rate * (1 - rate) / (F.col("n") + F.lit(strength + 1))) > F.lit(limit))
+    return by.select("host", rejected.alias("rejected"))
 
 
-def _rules(m: str = "__m.") -> dict[str, Column]:
-    return {r: F.expr(re.sub(r"\bn_", f"{m}n_", c)) for r, c in HOST_RULES.items()}
+def _rules(m: str = "__m") -> dict[str, Column]:
+    return {r: F.expr(re.sub(r"\bn_", f"{m}.n_", c)) for r, c in HOST_RULES.items()}
 
 
-def keep_good(docs: DataFrame, text: str = "text", host: str = "source", most: float = MOST) -> DataFrame:
+def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows of ``docs`` that base rules and host verdicts keep, all columns as they were.
 
-    Texts are measured for the hosts and again, base rules alone, for the verdict: no text is shuffled or written."""
-    verdict = host_verdicts(measures(docs, text).select(F.col(host).alias("host"), *[c.alias(f"f_{r}") for r, c in _rules().items()]), most)
-    met = measures(docs, text, only_words=True).join(verdict, F.col(host).eqNullSafe(F.col("__host")), "left")
-    return met.filter(~_rules()["base"] & ~F.coalesce("__rejected", F.lit(False))).drop("__m", "__host", "__rejected")
+    Texts are measured once: rows go with their rules' outcome to a table in the shared folder, of which the hosts' rates
+    read two columns. Rejected hosts are few, and sent to all tasks if their count says so, so that no text is shuffled.
+    Null and empty texts have no words and go; null hosts are a host; repeated rows are rows like others; an empty table
+    gives an empty one. Helper columns have names that no column has."""
+    m, f = free(docs.columns, "__m", "__f")
+    rules = F.struct(*[c.alias(f"f_{r}") for r, c in _rules(m).items()])
+    judged = written(measures(docs, text, m).withColumn(f, rules).drop(m))
+    bad = host_verdicts(judged.select(F.col(host).alias("host"), f"{f}.*")).filter("rejected")
+    h = free(docs.columns, "__host")[0]
+    names, few = bad.select(F.col("host").alias(h)), bad.count() <= BROADCAST_ROWS
+    kept = judged.filter(~F.col(f"{f}.f_base"))
+    return kept.join(F.broadcast(names) if few else names, F.col(host).eqNullSafe(F.col(h)), "left_anti").drop(f)
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document (null texts: zero words, so base_failed)."""
     m = cut(measures(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "source", "__m"))
-    verdict = host_verdicts(m.select(F.col("source").alias("host"), *[c.alias(f"f_{r}") for r, c in _rules().items()]))
-    met = m.join(verdict, F.col("source").eqNullSafe(F.col("__host")), "left")
+    bad = host_verdicts(m.select(F.col("source").alias("host"), *[c.alias(f"f_{r}") for r, c in _rules().items()])).filter("rejected")
+    met = m.join(F.broadcast(bad) if bad.count() <= BROADCAST_ROWS else bad, F.col("source").eqNullSafe(F.col("host")), "left")
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     base = _rules()["base"]
-    return met.select("doc_id", *[F.col(f"__m.{c}") for c in names], base.alias("base_failed"), (~base & ~F.coalesce("__rejected", F.lit(False))).alias("kept"))
+    return met.select("doc_id", *[F.col(f"__m.{c}") for c in names], base.alias("base_failed"), (~base & F.col("rejected").isNull()).alias("kept"))
 
 
 _M = {
@@ -134,7 +150,8 @@ h AS (SELECT source, count(*) AS n, {", ".join(f"count(*) FILTER (f_{k}) AS x_{k
 s AS (SELECT sum(n) AS nn, count(*) AS hh, sum(n * n) / sum(n) AS ss, {", ".join(f"sum(x_{k}) / sum(n) AS m_{k}, sum(x_{k} * x_{k} / n) AS q_{k}" for k in HOST_RULES)} FROM h),
 b AS (SELECT *, {", ".join(f"(q_{k} - nn * m_{k} * m_{k} - (hh - 1) * m_{k} * (1 - m_{k})) / nullif(nn - ss, 0) AS b_{k}" for k in HOST_RULES)} FROM s),
 k AS (SELECT *, {", ".join(f"coalesce(CASE WHEN b_{k} > 0 THEN greatest(m_{k} * (1 - m_{k}) / b_{k} - 1, 0) ELSE nn END, nn) AS k_{k}" for k in HOST_RULES)} FROM b),
-v AS (SELECT source, {" OR ".join(f"(x_{k} + k_{k} * m_{k}) / (n + k_{k}) > {MOST}" for k in HOST_RULES)} AS rejected FROM h, k)
+o AS (SELECT source, {", ".join(f"(x_{k} + k_{k} * m_{k}) / (n + k_{k}) AS r_{k}, n + k_{k} + 1 AS e_{k}, least(greatest(m_{k} + {FAR} * sqrt(m_{k} * (1 - m_{k}) / (k_{k} + 1)), {LEAST}), {MOST}) AS l_{k}" for k in HOST_RULES)} FROM h, k),
+v AS (SELECT source, {" OR ".join(f"r_{k} - {SURE} * sqrt(r_{k} * (1 - r_{k}) / e_{k}) > l_{k}" for k in HOST_RULES)} AS rejected FROM o)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f_base AS base_failed, NOT f_base AND NOT rejected AS kept
 FROM f JOIN v ON f.source IS NOT DISTINCT FROM v.source
 """
