@@ -1,5 +1,6 @@
 """Corpus operators against brute force, round trips and planted cases; nulls, empties, ties, repeats, clashing names."""
 
+import hashlib
 import random
 import re
 import uuid
@@ -293,47 +294,83 @@ def test_url_model_scores_as_plain_code_does(spark):
     rows = [(i, f"http://site{i % 7}.example.org/fr/{i}") for i in range(60)] + [(100 + i, f"http://casino-win{i}.example.org/fr/{i}") for i in range(20)]
     got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
 
-    text = lambda u: "\x02" * 3 + u.lower().rpartition("://")[2]
+    text = lambda u: "\x02" * 3 + u.lower().partition("://")[2]
     grams = lambda u: [text(u)[k : k + 4] for k in range(len(text(u)) - 3)]
-    count = {0: {}, 1: {}}
-    for _, u in rows:
-        for g in grams(u):
-            for k in range(1, 5):
-                c = count[0 if "casino" in u else 1]
-                c[g[-k:]] = c.get(g[-k:], 0) + 1
-                c[("ctx", k, g[-k:-1])] = c.get(("ctx", k, g[-k:-1]), 0) + 1
+    fold = lambda u: int(hashlib.md5(u.split("/")[2].encode()).hexdigest()[:8], 16) % urls.FOLDS
     chars = {g[-1] for _, u in rows for g in grams(u)}
-
-    def p(label, g):
+    count = {}
+    for without in (None, *range(urls.FOLDS)):
+        for label in (0, 1):
+            c = count[without, label] = {}
+            for _, u in rows:
+                if fold(u) != without and ("casino" not in u) == bool(label):
+                    for g in grams(u):
+                        for k in range(1, 5):
+                            c[g[-k:]] = c.get(g[-k:], 0) + 1
+                            c[("ctx", k, g[-k:-1])] = c.get(("ctx", k, g[-k:-1]), 0) + 1
+
+    def p(c, g):
         x = 1 / len(chars)
         for k in range(1, 5):
-            c = count[label]
             x = (c.get(g[-k:], 0) + urls.WEIGHT * x) / (c.get(("ctx", k, g[-k:-1]), 0) + urls.WEIGHT)
         return x
 
     for i, u in rows:
-        assert got[i]["score"] == pytest.approx(np.mean([np.log(p(1, g) / p(0, g)) for g in grams(u)]), abs=1e-8)
+        without = None if "casino" in u else fold(u)
+        assert got[i]["score"] == pytest.approx(np.mean([np.log(p(count[without, 1], g) / p(count[without, 0], g)) for g in grams(u)]), abs=1e-8)
         assert got[i]["verdict"] == ("block" if "casino" in u else "allow")
     assert not [c for c in ("Python", "Arrow", "Pandas") if c in urls.judge(spark.createDataFrame(rows, "page_id long, url string"))._jdf.queryExecution().toString()]
 
 
+def test_hosts_without_a_seed_are_blocked_for_their_language(spark):
+    r = random.Random(8)
+    good = ["garden", "history", "museum", "letters", "northern", "journal", "archive", "science", "weather", "kitchen", "village", "orchestra"]
+    bad = ["casino", "jackpot", "winbig", "freespin", "bonuscash", "luckyslots"]
+    rows = [(i, f"https://www.{r.choice(good)}{r.choice(good)}.example.org/fr/{r.choice(good)}-{i}") for i in range(400)]
+    rows += [(1000 + i, f"https://casino-{r.choice(bad)}{r.choice(bad)}.example.org/fr/{r.choice(bad)}-{i}") for i in range(150)]
+    rows += [(2000 + i, f"https://{r.choice(bad)}{r.choice(bad)}.example.org/fr/{r.choice(bad)}-{i}") for i in range(12)]  # no seed
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert all(got[2000 + i] == "block" for i in range(12)) and all(got[1000 + i] == "block" for i in range(150))
+    assert sum(got[i] == "block" for i in range(400)) <= 4
+
+
 def test_licences(spark):
-    r = random.Random(9)
-    prose = [" ".join("".join(r.choice(["th", "an", "er", "in", "of", "the"]) for _ in range(r.randint(1, 3))) for _ in range(30)) for _ in range(120)]
-    m = licences.train(prose)
-    for family, wordings in licences.TEMPLATES.items():
-        for t in wordings:
-            got = m.predict(licences.words_of(t))
-            assert got[0] == family and got[1] >= licences.LEAST and got[2] >= licences.ALIKE
-            assert m.predict(licences.words_of(prose[0][:60] + " " + t))[0] == family
-    for t in [*licences.OTHERWISE, *prose, "You need a fishing license to enter the lake in May."]:
-        assert m.predict(licences.words_of(t))[0] == licences.UNKNOWN or m.hints.isdisjoint(licences.words_of(t)), t
-    rows = [(1, prose[0] + "\nReleased under the MIT License.", "en", "a"), (2, prose[1], "en", "a"), (3, None, "en", "a"), (4, "", "en", "a"), (5, "Licensed under CC BY-NC 4.0.", "en", "a"), (5, "Licensed under CC BY-NC 4.0.", "en", "a")]
-    got = sorted((x["id"], x["paragraph"], x["family"], x["confirmed"]) for x in licences.scan(docs(spark, rows), model=m).collect())
-    assert got == [(1, 1, "mit", True), (5, 0, "cc-by-nc", True), (5, 0, "cc-by-nc", True)]
+    r = random.Random(6)
+    words = ["the", "of", "to", "any", "work", "in", "is", "for", "free", *[f"{x}{y}" for x in ("ma", "re", "lo", "ti") for y in ("bo", "sun", "ver", "dan", "il")]]
+    prose = [" ".join(r.choice(words) for _ in range(r.randint(5, 150))) for _ in range(500)]
+    m = licences.train([*prose, "Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy"])
+    for family, texts in licences.TEMPLATES.items():
+        for t in texts:
+            assert m.predict(t)[0] == family, t
+            assert m.predict(prose[0][:60] + " " + t)[0] == family
+    unseen = {  # wordings that training never sees
+        "mit": "We distribute this package under the MIT license", "apache": "Code here is available under the terms of the Apache License 2.0", "gpl": "licensed under GNU GPLv2 or later",
+        "bsd": "These sources are licensed under the BSD license", "mpl": "Mozilla Public License 1.1", "cc-by-sa": "published under a Creative Commons Attribution-ShareAlike 2.0 license", "cc0": "dedicated to the public domain under CC0",
+    }
+    assert {f: m.predict(t)[0] for f, t in unseen.items()} == {f: f for f in unseen}
+    fresh = [" ".join(r.choice(words) for _ in range(r.randint(1, 200))) for _ in range(300)]
+    for t in [*licences.OTHERWISE, *prose, *fresh, "You need a fishing license to enter the lake in May.", "The licence of the public house was renewed."]:
+        assert m.predict(t)[0] == licences.UNKNOWN, t
+    buried = " ".join(prose[:12]) + " Released under the MIT License. " + " ".join(prose[12:20])  # one very long paragraph
+    rows = [(1, prose[0] + "\nReleased under the MIT License.", "en", "a"), (2, prose[1], "en", "a"), (3, None, "en", "a"), (4, "", "en", "a"), (5, "Licensed under CC BY-NC 4.0.", "en", "a"), (5, "Licensed under CC BY-NC 4.0.", "en", "a"), (None, buried, "en", "a")]
+    got = sorted((x["id"] or 0, x["paragraph"], x["family"], x["confirmed"]) for x in licences.scan(docs(spark, rows), model=m).collect())
+    assert got == [(0, 0, "mit", True), (1, 1, "mit", True), (5, 0, "cc-by-nc", True), (5, 0, "cc-by-nc", True)]
     hit = licences.scan(docs(spark, rows), model=m).filter("id = 1").first()
     assert rows[0][1][hit["start"] : hit["end"]] == "Released under the MIT License."
     assert licences.scan(docs(spark, []), model=m).count() == 0
+    assert licences.paragraphs(docs(spark, rows), sample=2) and licences.paragraphs(docs(spark, [])) == []
+
+
+def test_licence_logits_as_plain_code_makes_them():
+    m = licences.train(["some plain words of prose " * 3, "other words"], copies=2, rounds=10)
+    for t in ("Released under the MIT License, released under the MIT license", "the of a", "nothing known here", "x"):
+        h = [int(v) for v in licences.hashes(t)]
+        grams = {int(licences.gram_set(np.array(h[i : i + n], dtype=np.uint64), n)[k]) for n in (1, 2, 3) for i in range(len(h) - n + 1) for k in range(len(licences.gram_set(np.array(h[i : i + n], dtype=np.uint64), n)))}
+        at = {int(v): i for i, v in enumerate(m.vocabulary)}
+        z = m.bias + sum((m.weights[at[g]] for g in grams if g in at), np.zeros(len(m.families)))
+        assert np.allclose(m.logits(np.array(h, dtype=np.uint64), np.array([len(h)]))[0], z)
+    line, start, size = licences.pieces(np.array([3, 80, 81, 200]))
+    assert line.tolist() == [0, 1, 2, 2, 3, 3, 3, 3] and start.tolist() == [0, 3, 83, 123, 164, 204, 244, 284] and size.tolist() == [3, 80, 80, 41, 80, 80, 80, 80]
 
 
 def test_url_grams_start_at_the_host(spark):

@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm.common import table
+from tracelake.llm.linededup import _mix as mix
+from tracelake.llm.linededup import folded as plain
+from tracelake.llm.linededup import words_of as lines_of
 
 # Wordings in which licences are named or granted.
 TEMPLATES = {
@@ -74,6 +77,25 @@ TEMPLATES = {
         "https://creativecommons.org/publicdomain/zero/1.0/",
     ],
 }
+# Names of the licences, and phrases in which a name grants one.
+NAMES = {
+    "mit": ["MIT License", "MIT"],
+    "apache": ["Apache License 2.0", "Apache License, Version 2.0", "Apache-2.0"],
+    "gpl": ["GNU General Public License", "GNU GPL v3", "GPLv2 or later", "GPL-3.0"],
+    "lgpl": ["GNU Lesser General Public License", "GNU LGPL v2.1", "LGPL-3.0"],
+    "agpl": ["GNU Affero General Public License", "GNU AGPL v3", "AGPL-3.0"],
+    "bsd": ["BSD License", "BSD 3-Clause License", "BSD-2-Clause"],
+    "mpl": ["Mozilla Public License", "Mozilla Public License 2.0", "MPL 2.0"],
+    "cc-by": ["Creative Commons Attribution License", "Creative Commons Attribution 4.0 International License", "CC BY 4.0"],
+    "cc-by-sa": ["Creative Commons Attribution-ShareAlike License", "Creative Commons Attribution-ShareAlike 3.0 License", "CC BY-SA 4.0"],
+    "cc-by-nc": ["Creative Commons Attribution-NonCommercial License", "Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"],
+    "cc0": ["Creative Commons Zero", "CC0 1.0 Universal", "CC0 public domain dedication"],
+}
+PHRASES = [
+    "Released under the {}.", "Licensed under the {}.", "This work is licensed under the {}.", "Distributed under the terms of the {}.", "Available under {}.", "Published under a {}.",
+    "This file is covered by the {}.", "Subject to the terms of the {}.", "Use is governed by the {}.", "License: {}", "See the {} for details.", "Made available under {}.",
+    "All files in this directory are under the {}.", "SPDX-License-Identifier: {}", "You may use it under the terms of the {}.",
+]
 # Sentences that speak of licences and grant none.
 OTHERWISE = [
     "The office issues a driver's license within ten working days.",
@@ -88,20 +110,60 @@ OTHERWISE = [
     "The article compares open licenses in general, without naming one.",
 ]
 
-_WORDS, _DIGITS = re.compile(r"[^\W_]+"), re.compile(r"\d+")
-#: Documents whose paragraphs are examples of no licence, at most (those of smallest key hash).
-SAMPLE = 400
+#: Paragraphs of the corpus that are examples of no licence, at most (those of smallest hash), and copies of each wording.
+SAMPLE, COPIES = 4000, 9
+#: Words of a piece: a longer paragraph is looked at in pieces that overlap by half.
+PIECE = 80
 #: Calibrated probability of a family, and likeness to one of its templates, from which a paragraph counts.
 LEAST, ALIKE = 0.5, 0.6
+#: Likeness to a template from which a paragraph of the corpus is no example of no licence; it may be a notice.
+DOUBT = 0.4
+#: Bytes of text that are looked at a time.
+AT_ONCE = 8 << 20
 UNKNOWN = "unknown"
+_ZEROS, _SIGNS = re.compile(b"0+"), [c.encode() for c in "\u201c\u201d\u2018\u2019\u2013\u2014\u2026\u00a9\u00ab\u00bb"]
+
+
+def folded(text: str) -> bytes:
+    """Lower case, numbers as 0, signs as spaces; line feeds stay."""
+    out = _ZEROS.sub(b"0", plain(text))
+    for c in _SIGNS:
+        out = out.replace(c, b" ")
+    return out
+
+
+def hashes(text: str) -> np.ndarray:
+    """Of the words of a text, whatever its lines."""
+    return lines_of([folded(text).replace(b"\n", b" ")])[4]
+
+
+def grams(e: np.ndarray, owner: np.ndarray, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the word n-grams, 1 to ``most``, that lie within one owner, and the owner of each."""
+    x, out, own = mix(e), [mix(e)], [owner]
+    for n in range(1, most):
+        x = mix(x[:-1] * np.uint64(0x9E3779B97F4A7C15) + e[n:])
+        inside = owner[n:] == owner[:-n]
+        out.append(x[inside])
+        own.append(owner[n:][inside])
+    return np.concatenate(out), np.concatenate(own)
 
 
-def words_of(text: str) -> list[str]:
-    return _WORDS.findall(_DIGITS.sub("0", text.lower()))
+def gram_set(e: np.ndarray, most: int = 3) -> np.ndarray:
+    return np.unique(grams(e, np.zeros(len(e), dtype=np.int64), most)[0])
 
 
-def ngrams(words: list[str], most: int = 3) -> set[str]:
-    return {" ".join(words[i : i + n]) for n in range(1, most + 1) for i in range(len(words) - n + 1)}
+def likeness(own: np.ndarray, template: np.ndarray) -> float:
+    """Shared 1- and 2-grams, of the smaller side's."""
+    return len(np.intersect1d(own, template, assume_unique=True)) / max(1, min(len(own), len(template)))
+
+
+def pieces(counts: np.ndarray, size: int = PIECE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of ``counts`` words, laid end to end, as pieces: line, first word and words of each."""
+    many = np.maximum(1, -(-(counts - size) // (size // 2)) + 1)
+    line = np.repeat(np.arange(len(counts)), many)
+    first = (np.arange(len(line)) - np.repeat(np.cumsum(many) - many, many)) * (size // 2)
+    start = (np.cumsum(counts) - counts)[line] + first
+    return line, start, np.minimum(size, counts[line] - first)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -110,147 +172,185 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Sparse multinomial logistic regression over word 1- to 3-grams; ``unknown`` is a class of its own."""
-
-    def __init__(self, families: list[str], vocabulary: dict[str, int], weights: np.ndarray, bias: np.ndarray, temperature: float, hints: set[str]) -> None:
-        self.families, self.vocabulary, self.weights, self.bias, self.temperature, self.hints = families, vocabulary, weights, bias, temperature, hints
-        self.templates = {f: [ngrams(words_of(t), 2) for t in ts] for f, ts in TEMPLATES.items()}
-
-    def predict(self, words: list[str]) -> tuple[str, float, float]:
-        """Family (or unknown), its calibrated probability, and likeness to the nearest template of the family."""
-        grams = ngrams(words)
-        rows = sorted(self.vocabulary[g] for g in grams if g in self.vocabulary)
-        z = self.bias + self.weights[rows].sum(axis=0)
-        p = _softmax(z[None] / self.temperature)[0]
-        k = int(np.argmax(p))
-        family = self.families[k]
-        if family == UNKNOWN:
-            return family, float(p[k]), 0.0
-        own = ngrams(words, 2)
-        like = max(len(own & t) / min(len(own), len(t)) for t in self.templates[family])
-        return family, float(p[k]), float(like)
-
-
-def train(background: list[str], seed: int = 3, copies: int = 30, rounds: int = 150, ridge: float = 1e-4) -> Model:
-    """Fits on wordings of each family, whole and in parts, alone and amid words of ``background``, against paragraphs of
-    ``background`` (without those that a hint word marks) and sentences that speak of licences. A fifth is left out of the
-    fit; on it the temperature is set that makes the probabilities honest."""
-    rng = np.random.default_rng(seed)
-    families = [*TEMPLATES, UNKNOWN]
-    plain = [w for w in map(words_of, background) if w]
-    common = {w for ws in plain for w in ws if not {"license", "licensed", "licence", "copyright"} & set(ws)}
-    hints = {w for ts in TEMPLATES.values() for t in ts for w in words_of(t)} - common - {"0", "a", "of", "to", "the", "in", "at", "is", "by", "and", "or", "for", "with", "can", "be", "it", "any"}
-    rows: list[tuple[set[str], int]] = []
-    for k, f in enumerate(families[:-1]):
-        for t in TEMPLATES[f]:
-            ws = words_of(t)
-            for c in range(copies):
-                part = list(ws)
-                if c % 3 == 1 and len(ws) > 8:  # a long wording may be cut at its end
-                    part = ws[: int(rng.integers(len(ws) * 2 // 3, len(ws)))]
-                if c and plain:
-                    a, b = plain[int(rng.integers(len(plain)))], plain[int(rng.integers(len(plain)))]
-                    part = (a[: int(rng.integers(0, 30))] if c % 2 else []) + part + (b[: int(rng.integers(0, 30))] if c % 3 else [])
-                rows.append((ngrams(part), k))
-    none = len(families) - 1
-    for ws in plain:
-        if hints.isdisjoint(ws):
-            rows.append((ngrams(ws[:200]), none))
-    for t in OTHERWISE:
-        rows += [(ngrams(words_of(t)), none)] * copies
-        if plain:
-            rows += [(ngrams(words_of(t) + plain[int(rng.integers(len(plain)))][:30]), none) for _ in range(copies)]
-    seen: dict[str, int] = {}
-    for g, _ in rows:
-        for x in g:
-            seen[x] = seen.get(x, 0) + 1
-    vocabulary = {x: i for i, x in enumerate(sorted(x for x, n in seen.items() if n >= 3))}
-    order = rng.permutation(len(rows))
-    held = set(order[: len(rows) // 5].tolist())
-
-    def arrays(which: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        r = [(i, vocabulary[x]) for i, k in enumerate(which) for x in sorted(rows[k][0]) if x in vocabulary]
-        at = np.array(r, dtype=np.int64).reshape(-1, 2)
-        return at[:, 0], at[:, 1], np.array([rows[k][1] for k in which])
-
-    fit = [k for k in range(len(rows)) if k not in held]
-    i, j, y = arrays(fit)
-    by = np.argsort(j, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], j[by][1:] != j[by][:-1]]))
-    n, c = len(fit), len(families)
-    share = 1 / np.bincount(y, minlength=c).clip(1)[y]  # classes count the same
-    share[y == none] *= 5
-    share /= share.sum()
-    w, b, m1, m2 = np.zeros((len(vocabulary), c)), np.zeros(c), 0.0, 0.0
-    full = np.flatnonzero(np.bincount(i, minlength=n))
-    starts = np.searchsorted(i, full)
-    target = np.eye(c)[y]
-
-    def logits(i: np.ndarray, j: np.ndarray, n: int, full: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        z = np.tile(b, (n, 1))
-        if len(full):
-            z[full] += np.add.reduceat(w[j], starts)
+    """Sparse multinomial logistic regression over word 1- to 3-grams; ``unknown`` is a class of its own. The vocabulary is
+    that of the wordings: n-grams that none of them has weigh nothing."""
+
+    def __init__(self, vocabulary: np.ndarray, weights: np.ndarray, bias: np.ndarray, temperature: float = 1.0) -> None:
+        self.families = [*TEMPLATES, UNKNOWN]
+        self.vocabulary, self.weights, self.bias, self.temperature = vocabulary, weights, bias, temperature
+        self.maybe = np.zeros(1 << 16, dtype=bool)
+        self.maybe[(vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.templates = {f: [gram_set(hashes(t), 2) for t in ts] for f, ts in TEMPLATES.items()}
+
+    def logits(self, e: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Of texts, given as runs of words' hashes."""
+        g, own = grams(e, np.repeat(np.arange(len(counts)), counts))
+        some = self.maybe[(g & np.uint64(0xFFFF)).astype(np.int64)]
+        g, own = g[some], own[some]
+        at = np.minimum(np.searchsorted(self.vocabulary, g), len(self.vocabulary) - 1)
+        real = self.vocabulary[at] == g
+        pair = np.unique(own[real] * len(self.vocabulary) + at[real])  # an n-gram counts once
+        own, at = pair // len(self.vocabulary), pair % len(self.vocabulary)
+        z = np.tile(self.bias, (len(counts), 1))
+        if len(own):
+            first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+            z[own[first]] += np.add.reduceat(self.weights[at], first)
         return z
 
+    def find(self, e: np.ndarray, counts: np.ndarray) -> list[tuple[int, str, float, float]]:
+        """The lines, given as runs of words' hashes, that name or grant a licence: line, family, probability of the surest
+        piece, and its likeness to the nearest template of the family."""
+        line, start, size = pieces(counts)
+        words = e[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))] if (counts > PIECE).any() else e
+        p = _softmax(self.logits(words, size) / self.temperature)
+        best = p.argmax(axis=1)
+        hit = np.flatnonzero((best < len(self.families) - 1) & (p.max(axis=1) >= LEAST))
+        surest: dict[int, int] = {}
+        for k in hit.tolist():
+            own = int(line[k])
+            if own not in surest or p[k].max() > p[surest[own]].max():
+                surest[own] = k
+        out = []
+        for own, k in sorted(surest.items()):
+            family, grams_ = self.families[best[k]], gram_set(e[start[k] : start[k] + size[k]], 2)
+            out.append((own, family, float(p[k].max()), max(likeness(grams_, t) for t in self.templates[family])))
+        return out
+
+    def predict(self, text: str) -> tuple[str, float, float]:
+        """Of one paragraph: family (or unknown), probability and likeness."""
+        e = hashes(text)
+        found = self.find(e, np.array([len(e)])) if len(e) else []
+        return found[0][1:] if found else (UNKNOWN, 0.0, 0.0)
+
+
+def _fit(rows: list[tuple[np.ndarray, int]], vocabulary: np.ndarray, rounds: int, ridge: float) -> Model:
+    classes = len(TEMPLATES) + 1
+    n = len(rows)
+    i = np.repeat(np.arange(n), [len(g) for g, _ in rows])
+    j, y = np.concatenate([g for g, _ in rows]), np.array([k for _, k in rows])
+    share = 1 / np.bincount(y, minlength=classes).clip(1)[y]  # classes count the same
+    share[y == classes - 1] *= 5
+    share /= share.sum()
+    target = np.eye(classes)[y]
+    by = np.argsort(j, kind="stable")
+    first = np.flatnonzero(np.append(True, j[by][1:] != j[by][:-1])) if len(j) else np.zeros(0, dtype=np.int64)
+    full = np.unique(i)
+    starts = np.searchsorted(i, full)
+    w, b, m1, m2 = np.zeros((len(vocabulary), classes)), np.zeros(classes), 0.0, 0.0
     for k in range(1, rounds + 1):
-        g = (_softmax(logits(i, j, n, full, starts)) - target) * share[:, None]
+        z = np.tile(b, (n, 1))
+        z[full] += np.add.reduceat(w[j], starts)
+        g = (_softmax(z) - target) * share[:, None]
         gw = ridge * w
         gw[j[by][first]] += np.add.reduceat(g[i[by]], first)
         grad = np.concatenate([gw, g.sum(axis=0)[None]])
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.99 * m2 + 0.01 * grad * grad
         step = 0.1 * (m1 / (1 - 0.9**k)) / (np.sqrt(m2 / (1 - 0.99**k)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
-    out = sorted(held)
-    i, j, y = arrays(out)
-    full = np.flatnonzero(np.bincount(i, minlength=len(out)))
-    z = logits(i, j, len(out), full, np.searchsorted(i, full))
-    loss = lambda t: -np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12).mean()
-    temperature = min((0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0), key=loss) if len(y) else 1.0
-    return Model(families, vocabulary, w, b, temperature, hints)
+    return Model(vocabulary, w, b)
+
+
+def train(background: list[str], seed: int = 3, copies: int = COPIES, rounds: int = 120, ridge: float = 1e-4, folds: int = 3) -> Model:
+    """Fits on wordings of each family, whole and in parts, alone and amid words of ``background``, against the paragraphs of
+    ``background`` (in pieces; without those that resemble a template) and sentences that speak of licences.
+
+    Wordings are those of TEMPLATES and every name in every phrase. The temperature that makes probabilities honest is set
+    on phrases, sentences and paragraphs that the fit did not see: each of ``folds`` parts of them, with all their copies,
+    is scored by a fit without it. (TEMPLATES are in every fit: of most there is no second wording to learn them from.)"""
+    rng = np.random.default_rng(seed)
+    none = len(TEMPLATES)
+    known = [gram_set(hashes(t), 2) for ts in TEMPLATES.values() for t in ts]
+    prose = []
+    for t in background:
+        e = hashes(t)
+        for _, at, size in zip(*(x.tolist() for x in pieces(np.array([len(e)])))) if len(e) else ():
+            piece = e[at : at + size]
+            own = gram_set(piece, 2)
+            if len(piece) < 4 or max(likeness(own, k) for k in known) < DOUBT:
+                prose.append(piece)
+    texts: list[tuple[np.ndarray, int, int]] = [(x, none, k % folds) for k, x in enumerate(prose)]
+
+    def amid(e: np.ndarray, before: bool, after: bool) -> np.ndarray:
+        a, b = (prose[int(rng.integers(len(prose)))] if prose else e[:0] for _ in range(2))
+        return np.concatenate([a[: int(rng.integers(0, 30))] if before else a[:0], e, b[: int(rng.integers(0, 30))] if after else b[:0]])
+
+    wordings = [(hashes(t), k, -1, copies) for k, ts in enumerate(TEMPLATES.values()) for t in ts]
+    wordings += [(hashes(p.format(name)), k, i % folds, 2) for k, f in enumerate(TEMPLATES) for name in NAMES[f] for i, p in enumerate(PHRASES)]
+    wordings += [(hashes(t), none, i % folds, copies) for i, t in enumerate(OTHERWISE)]
+    for e, k, fold, times in wordings:
+        for c in range(times):
+            part = e[: int(rng.integers(len(e) * 2 // 3, len(e)))] if c % 3 == 1 and len(e) > 8 and k != none else e  # a long wording may be cut at its end
+            texts.append((amid(part, c > 0 and c % 2 == 1, c > 0 and c % 3 > 0), k, fold))
+    vocabulary = np.unique(np.concatenate([gram_set(w[0]) for w in wordings]))
+    rows = []
+    for e, k, fold in texts:
+        g = gram_set(e)
+        at = np.minimum(np.searchsorted(vocabulary, g), len(vocabulary) - 1)
+        rows.append((at[vocabulary[at] == g], k, fold))
+    z, y = [], []
+    for f in range(folds):
+        out = [(e, k) for e, k, fold in texts if fold == f]
+        model = _fit([r[:2] for r in rows if r[2] != f], vocabulary, rounds, ridge)
+        z.append(model.logits(np.concatenate([e for e, _ in out]), np.array([len(e) for e, _ in out])))
+        y += [k for _, k in out]
+    z, y = np.concatenate(z), np.array(y)
+    weight = 1 / np.bincount(y, minlength=none + 1).clip(1)[y]
+    loss = lambda t: -(weight * np.log(_softmax(z / t)[np.arange(len(y)), y] + 1e-12)).sum()
+    model = _fit([r[:2] for r in rows], vocabulary, rounds, ridge)
+    model.temperature = float(min(np.geomspace(0.25, 8, 61), key=loss))
+    return model
 
 
 _FOUND = "paragraph int, start int, end int, family string, probability double, similarity double, confirmed boolean"
 
 
 def _scan(model: Model):
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
+    names = ["id", "paragraph", "start", "end", "family", "probability", "similarity", "confirmed"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, ids = [], []
-            for i, text in enumerate(b.column(1)):
-                t = text.as_py() or ""
-                if model.hints.isdisjoint(words_of(t)):
+            lo, size, held = 0, 0, []
+            for hi, text in enumerate(b.column(1)):
+                held.append(text.as_py() or "")
+                size += len(held[-1])
+                if size < AT_ONCE and hi < b.num_rows - 1:
                     continue
-                at = 0
-                for k, line in enumerate(t.split("\n")):
-                    words = words_of(line)
-                    if not model.hints.isdisjoint(words):
-                        family, p, like = model.predict(words)
-                        if family != UNKNOWN and p >= LEAST:
-                            ids.append(i)
-                            rows.append((k, at, at + len(line), family, p, like, like >= ALIKE))
-                    at += len(line) + 1
-            cols = list(zip(*rows)) if rows else [[]] * 7
-            kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.float64(), pa.bool_()]
-            names = ["id", "paragraph", "start", "end", "family", "probability", "similarity", "confirmed"]
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=names)
+                owner, number, n, _, e = lines_of([folded(t) for t in held])
+                rows, ids = [], []
+                for k, family, p, like in model.find(e, n) if len(n) else ():
+                    i, at = int(owner[k]), int(number[k])
+                    lines = held[i].split("\n")
+                    start = sum(map(len, lines[:at])) + at
+                    ids.append(lo + i)
+                    rows.append((at, start, start + len(lines[at]), family, p, like, like >= ALIKE))
+                cols = list(zip(*rows)) if rows else [[]] * 7
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=names)
+                lo, size, held = hi + 1, 0, []
 
     return run
 
 
+def paragraphs(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[str]:
+    """Examples of paragraphs for training: ``sample`` different lines at most, those of smallest hash among all."""
+    each = docs.select(F.explode(F.split(text, "\n", -1)).alias("t")).filter("t <> ''").select(F.xxhash64("t", F.lit(5)).alias("o"), F.length("t").alias("n"))
+    # first the smallest hashes, which are small rows, then the texts that have them
+    least = each.select("o").distinct().orderBy("o").limit(sample).agg(F.max("o")).first()[0]
+    if least is None:
+        return []
+    found = docs.select(F.explode(F.split(text, "\n", -1)).alias("t")).filter((F.col("t") != "") & (F.xxhash64("t", F.lit(5)) <= F.lit(least)))
+    return sorted(r["t"] for r in found.distinct().collect())
+
+
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None, sample: int = SAMPLE) -> DataFrame:
     """A row for each paragraph (line) that names or grants a licence: id, paragraph (from 0), start, end (characters of the
     text), family, probability, similarity to its nearest template, and whether that confirms it.
 
-    Every paragraph of every whole text is looked at. One that holds no word that templates have and prose has not is
-    unknown; so is one of which no family reaches the least probability. Null and empty texts, and empty tables, give no
-    rows; a repeated row gives its rows again."""
+    The classifier scores every paragraph of every whole text, long ones in overlapping pieces of which the surest
+    counts. Null and empty texts, and empty tables, give no rows; a repeated row gives its rows again; null keys are
+    keys like others; other columns of ``docs`` are not looked at."""
     if model is None:
-        # examples for training only: first the smallest hashes, which are small rows, then the texts that have them
-        known = docs.filter(F.col(text).isNotNull()).select(F.xxhash64(F.col(key), F.lit(5)).alias("o"), F.col(text).alias("t"))
-        least = known.select("o").orderBy("o").limit(sample).agg(F.max("o")).first()[0]
-        texts = known.filter(F.col("o") <= F.lit(least)).select("o", F.substring("t", 1, 20000).alias("t")).limit(sample).collect() if least is not None else []
-        texts.sort(key=lambda r: (r["o"], r["t"]))
-        model = train([p for r in texts for p in r["t"].split("\n")[:12]])
+        model = train(paragraphs(docs, text, sample))
     kind = dict(docs.dtypes)[key]
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(_scan(model), f"id {kind}, {_FOUND}")
 
