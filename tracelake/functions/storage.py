@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -55,3 +56,10 @@ def drop(df: DataFrame) -> None:
     for file in df.inputFiles()[:1]:
         at = sc._jvm.org.apache.hadoop.fs.Path(file).getParent()
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Has the driver look for what nothing uses any more: only then does Spark delete shuffle files and checkpoints of steps
+    that are over. For long jobs, between steps that need much disk."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -9,7 +9,7 @@ from tracelake.functions.storage import cut
 
 
 #: Edges up to which one task may hold all of a node, and nodes of very many edges that are sent to all tasks at most.
-SMALL, HUBS = 50_000, 50_000
+SMALL, HUBS = 500_000, 50_000
 
 
 def _with_least(rows: DataFrame, n: int) -> DataFrame:
