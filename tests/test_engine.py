@@ -172,7 +172,6 @@ def test_fifo_pairs_match_a_queue(spark):
 
 def test_bottleneck_parts(spark):
     assert bottlenecks.inversions([1, 3, 2, 0]) == 4 and bottlenecks.inversions([1, 1, 2]) == 0
-    assert bottlenecks.busy_time([(0, 10), (5, 20), (30, 40)], 8, 35) == 17
     q = bottlenecks.adjust([0.01, 0.03, 0.2])
     assert q == sorted(q) and max(q) <= 1
     steps = {i: [("a", 0, None, None), ("b", 20, None, None)] for i in range(10)} | {20 + i: [("x", 0, None, None), ("y", 1000 if i == 4 else 1, None, None)] for i in range(5)}
@@ -185,14 +184,23 @@ def test_waiting_sums_up(spark):
     log = make(spark, work)
     inst = bottlenecks.instances(executions.leading(log))
     assert inst.count() == 2
-    for r in bottlenecks.waiting_causes(inst).collect():
+    for r in bottlenecks.waiting(inst).collect():
         assert r["waiting"] == pytest.approx(r["batching"] + r["contention"] + r["prioritization"] + r["unavailability"] + r["extraneous"]) and r["waiting"] == 10.0
     p = bottlenecks.resource_pressure(inst).first()
     assert p["max_queue"] == 2 and 0 < p["utilization"] <= 1
-    assert bottlenecks.cascades(inst).filter("blocker_object = 0").count() == 1
+    c = bottlenecks.cascades(inst).collect()
+    assert [(r["activities"], r["support"], r["depth"], r["delay"]) for r in c] == [(["w", "w"], 1, 1, 5.0)]
     assert bottlenecks.patterns(inst).first()["overtaking"] == 0.0
 
 
+def test_time_covered_by_intervals(spark):
+    at = lambda s: T0 + timedelta(seconds=s)
+    spans = spark.createDataFrame([("r", at(a), at(b)) for a, b in ((0, 10), (5, 20), (30, 40), (50, 50))], "resource string, lo timestamp, hi timestamp")
+    work = spark.createDataFrame([(0, "r", at(8), at(35)), (1, "r", at(-5), at(0)), (2, "r", at(20), at(30)), (3, "r", at(100), at(200)), (4, "s", at(0), at(9)), (5, "r", at(-5), at(300))], "row long, resource string, ready timestamp, start timestamp")
+    got = {r["row"]: r["c"] for r in bottlenecks.covered(work, spans, "c").collect()}
+    assert got == {0: 17.0, 1: 0.0, 2: 0.0, 3: 0.0, 4: 0.0, 5: 30.0}
+
+
 def test_prediction(spark):
     log = make(spark, {i: "abc" if i % 4 else "abd" for i in range(1, 21)})
     c = cases_of(log)

@@ -31,6 +31,10 @@ def _version(request: dict) -> dict:
     return {k: v for k, v in request.items() if k != "semantic_version"}
 
 
+def _instant(x: Any) -> datetime:
+    return datetime.fromisoformat(x.replace("Z", "+00:00")) if isinstance(x, str) else x
+
+
 def to_dict(result: Any) -> Any:
     """DataFrames as lists of rows, all through dicts and lists."""
     if isinstance(result, DataFrame):
@@ -104,7 +108,10 @@ class Engine:
         kind = r["kind"]
         if kind in ("window_comparison", "drift"):
             return enhancement.compare(cases, self.cases(r["comparison_view"], r.get("mode", "leading"), r.get("object_type")), r.get("by", "dfg"))
-        kinds: dict[str, Callable] = {"process_map": enhancement.process_map, "timeline": enhancement.dotted_chart, "histogram": enhancement.cycle_histogram, "performance": enhancement.performance, "rework": enhancement.rework, "organizational": enhancement.organisation}
+        if kind == "performance":  # needs every object of an event
+            v = View.parse(r.get("view"))
+            return enhancement.performance(executions.components(self.log, v) if r.get("mode") == "component" else executions.leading(self.log, v, r.get("object_type"), attributes=False))
+        kinds: dict[str, Callable] = {"process_map": enhancement.process_map, "timeline": enhancement.dotted_chart, "histogram": enhancement.cycle_histogram, "rework": enhancement.rework, "organizational": enhancement.organisation}
         if kind not in kinds:
             raise EngineError("unsupported", f"no such enhancement: {kind}")
         return kinds[kind](cases)
@@ -119,7 +126,10 @@ class Engine:
         if r.get("population"):
             ids = executions.population(self.log, **r["population"]).withColumnRenamed("execution_id", "object_id")
             obs, work = obs.join(ids, "object_id", "left_semi"), work.join(ids, "object_id", "left_semi")
-        return bottlenecks.suite(obs, work, base, [tuple(p) for p in r.get("hypotheses", [])], r.get("threshold"), r.get("lag", 86400.0))
+        hours = [(who, *map(_instant, span)) for who, spans in r.get("resource_calendars", {}).items() for span in spans]
+        calendars = obs.sparkSession.createDataFrame(hours, "resource string, lo timestamp, hi timestamp") if hours else None
+        asked = {"minimum_support": "least", "batch_tolerance_seconds": "tolerance", "minimum_batch_size": "least_batch"}
+        return bottlenecks.suite(obs, work, base, r.get("hypotheses", []), r.get("threshold"), calendars=calendars, **{n: r[k] for k, n in asked.items() if k in r})
 
     def fit_prediction(self, request: dict) -> dict[str, DataFrame]:
         r = _version(request)

@@ -44,43 +44,37 @@ def fifo_pairs(points: DataFrame, keys: list[str], order: list[str]) -> DataFram
     return p.filter("way = 1").join(done, [*keys, "_k"]).filter("c_ts >= ts").drop("_k", "way")
 
 
-def service_pairs(cases: DataFrame) -> DataFrame:
-    """Starts and completes of each execution and activity, paired."""
-    way = F.when(F.lower("lifecycle").isin(*BEGIN), 1).when(F.lower("lifecycle").isin(*FINISH), -1)
-    p = cases.withColumn("way", way).filter("way is not null").select("execution_id", "activity", "way", "ts", "event_id")
-    return fifo_pairs(p, ["execution_id", "activity"], ["ts", "event_id"])
-
-
-def performance(cases: DataFrame) -> DataFrame:
-    """metric, n, mean_seconds of: directly_follows, cycle, service (start to complete), waiting (end of one event to the
-    start of the next piece of work), sojourn (waiting and service), flow (first event to a later one)."""
-    d = stats.steps(cases).select(F.lit("directly_follows").alias("metric"), F.col("duration").alias("v"))
-    c = stats.case_summary(cases).select(F.lit("cycle"), "seconds")
-    s = service_pairs(cases)
-    service = s.select(F.lit("service"), seconds("c_ts", "ts"))
-    prev = cases.select("execution_id", F.col("event_id"), F.lag("ts").over(Window.partitionBy("execution_id").orderBy(*ORDER)).alias("before"))
-    met = s.join(prev, ["execution_id", "event_id"]).filter("before is not null")
-    waiting = met.select(F.lit("waiting"), seconds("ts", "before"))
-    sojourn = met.select(F.lit("sojourn"), seconds("c_ts", "before"))
-    first = F.min("ts").over(Window.partitionBy("execution_id"))
-    flow = cases.filter("n > 1").withColumn("_f", first).filter("pos > 1").select(F.lit("flow"), seconds("ts", "_f"))
-    return d.union(c).union(service).union(waiting).union(sojourn).union(flow).groupBy("metric").agg(F.count("*").alias("n"), F.avg("v").alias("mean_seconds"))
-
-
-def synchronisation(cases: DataFrame) -> DataFrame:
-    """metric, activity, n, mean_seconds over events that several objects of an execution reach (component mode): pooling (by
-    objects of one type), synchronization (all), lagging (latest against earliest type). With one object, no rows.
-
-    ``cases`` has a row for each object of an event."""
-    own = Window.partitionBy("execution_id", "object_id").orderBy(*ORDER)
-    p = cases.withColumn("before", F.lag("ts").over(own)).filter("before is not null")
-    kind = "member_type" if "member_type" in cases.columns else "object_type"
-    by_type = p.groupBy("execution_id", "event_id", "activity", kind).agg(F.min("before").alias("lo"), F.max("before").alias("hi"), F.count("*").alias("k"))
-    pool = by_type.filter("k > 1").select(F.lit("pooling").alias("metric"), "activity", seconds("hi", "lo").alias("v"))
-    all_ = by_type.groupBy("execution_id", "event_id", "activity").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.min("hi").alias("first"), F.sum("k").alias("k"), F.count("*").alias("types"))
-    sync = all_.filter("k > 1").select(F.lit("synchronization"), "activity", seconds("hi", "lo"))
-    lag = all_.filter("types > 1").select(F.lit("lagging"), "activity", seconds("hi", "first"))
-    return pool.union(sync).union(lag).groupBy("metric", "activity").agg(F.count("*").alias("n"), F.avg("v").alias("mean_seconds"))
+def performance(members: DataFrame) -> DataFrame:
+    """metric, support, mean, minimum, maximum, median (seconds) of:
+
+    directly_follows (neighbouring events of an execution), cycle (its first to its last event), service (start to complete of
+    an activity, paired first in, first out), waiting and sojourn (from the execution's completion before that one to the
+    start, and to the complete; a start before that completion has no waiting), and of the objects of an event that the
+    execution has met before: flow (each, from its event before), pooling (from the latest of these), lagging (from the
+    earliest), synchronization (the earliest to the latest, of several).
+
+    ``members`` has a row for each execution, event and object of it. Lifecycles are start and complete, in any case."""
+    cases = members.dropDuplicates(["execution_id", "event_id"])
+    case = Window.partitionBy("execution_id").orderBy(*ORDER)
+    life = F.lower("lifecycle")
+    done = F.last(F.when(life == "complete", F.col("ts")), ignorenulls=True).over(case.rowsBetween(Window.unboundedPreceding, -1))
+    walk = cases.select("execution_id", "event_id", "activity", "ts", life.alias("life"), F.lag("ts").over(case).alias("before"), F.row_number().over(case).alias("pos"), done.alias("done"))
+    way = F.when(F.col("life") == "start", 1).when(F.col("life") == "complete", -1)
+    pairs = fifo_pairs(walk.select("execution_id", "activity", "pos", "ts", "event_id", "done", way.alias("way")).filter("way is not null"), ["execution_id", "activity"], ["pos"])
+    named = lambda df, name, v: df.select(F.lit(name).alias("metric"), v.alias("v"))
+    cycle = cases.groupBy("execution_id").agg(seconds(F.max("ts"), F.min("ts")).alias("s"))
+    met = members.withColumn("ready", F.lag("ts").over(Window.partitionBy("execution_id", "object_id").orderBy(*ORDER))).filter("ready is not null")
+    joint = met.groupBy("execution_id", "event_id").agg(F.first("ts").alias("ts"), F.min("ready").alias("lo"), F.max("ready").alias("hi"), F.count("*").alias("k"))
+    parts = [
+        named(walk.filter("before is not null"), "directly_follows", seconds("ts", "before")), named(cycle, "cycle", F.col("s")), named(pairs, "service", seconds("c_ts", "ts")),
+        named(pairs.filter("c_done <= ts"), "waiting", seconds("ts", "c_done")), named(pairs.filter("c_done is not null"), "sojourn", seconds("c_ts", "c_done")), named(met, "flow", seconds("ts", "ready")),
+        named(joint, "pooling", seconds("ts", "hi")), named(joint, "lagging", seconds("ts", "lo")), named(joint.filter("k > 1"), "synchronization", seconds("hi", "lo")),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    v = F.col("v")
+    return out.groupBy("metric").agg(F.count("*").alias("support"), F.avg(v).alias("mean"), F.min(v).alias("minimum"), F.max(v).alias("maximum"), F.percentile(v, 0.5).alias("median"))
 
 
 def ranked_edges(cases: DataFrame) -> DataFrame:

@@ -568,14 +568,36 @@ def enh_rework(log):
     return enhancement.rework(_cases(log, object_types=("order",)))
 
 
-@query(A)
+_STATS = "count(*) AS support, round(avg(v), 3) AS mean, round(min(v), 3) AS minimum, round(max(v), 3) AS maximum, round(quantile_cont(v, 0.5), 3) AS median"
+#: Starts and completes of each case and activity, paired first in, first out.
+_PAIRS = """, w0 AS (SELECT *, CASE lifecycle WHEN 'start' THEN 1 ELSE -1 END AS way, max(CASE WHEN lifecycle = 'complete' THEN ts END) OVER (PARTITION BY object_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS done,
+lag(ts) OVER (PARTITION BY object_id ORDER BY pos) AS before FROM x), w1 AS (SELECT *, sum(way) OVER (PARTITION BY object_id, activity ORDER BY pos) AS s FROM w0),
+w2 AS (SELECT *, least(0, min(s) OVER (PARTITION BY object_id, activity ORDER BY pos)) AS m FROM w1), w3 AS (SELECT *, coalesce(lag(m) OVER (PARTITION BY object_id, activity ORDER BY pos), 0) AS b FROM w2),
+w4 AS (SELECT *, row_number() OVER (PARTITION BY object_id, activity, way ORDER BY pos) AS nth FROM w3 WHERE way = 1 OR m = b),
+work AS MATERIALIZED (SELECT i.object_id, i.activity, coalesce(i.before, i.ts) AS ready, i.ts AS start, j.ts AS complete, coalesce(j.resource, i.resource) AS resource, i.event_id AS start_event, j.event_id AS complete_event, j.done,
+row_number() OVER (ORDER BY i.object_id, j.ts, j.event_id) AS id FROM w4 i JOIN w4 j ON i.object_id = j.object_id AND i.activity = j.activity AND i.nth = j.nth AND i.way = 1 AND j.way = -1 AND j.ts >= i.ts)"""
+
+
+def _rounded(df: DataFrame, *names: str, digits: int = 3) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+_METRICS = ("mean", "minimum", "maximum", "median")
+
+
+@query(A, f"""{_PAIRS}, m AS (SELECT 'directly_follows' AS metric, {_d()} AS v FROM x WHERE nxt IS NOT NULL UNION ALL SELECT 'cycle', {_d('max(ts)', 'min(ts)')} FROM x GROUP BY object_id
+UNION ALL SELECT 'service', {_d('complete', 'start')} FROM work UNION ALL SELECT 'waiting', {_d('start', 'done')} FROM work WHERE done <= start UNION ALL SELECT 'sojourn', {_d('complete', 'done')} FROM work WHERE done IS NOT NULL
+UNION ALL SELECT unnest(['flow', 'pooling', 'lagging']), {_d()} FROM x WHERE nxt IS NOT NULL) SELECT metric, {_STATS} FROM m GROUP BY 1""")
 def enh_performance(log):
-    return enhancement.performance(_full(log))
+    return _rounded(enhancement.performance(executions.leading(log, attributes=False)), *_METRICS)
 
 
-@query(B)
+@query(B, f""", r AS (SELECT event_id, ts, lag(ts) OVER (PARTITION BY object_id ORDER BY pos) AS ready FROM y), g AS (SELECT event_id, any_value(ts) AS ts, min(ready) AS lo, max(ready) AS hi, count(ready) AS k FROM r GROUP BY 1),
+m AS (SELECT 'flow' AS metric, {_d('ts', 'ready')} AS v FROM r WHERE ready IS NOT NULL UNION ALL SELECT 'pooling', {_d('ts', 'hi')} FROM g WHERE k > 0 UNION ALL SELECT 'lagging', {_d('ts', 'lo')} FROM g WHERE k > 0
+UNION ALL SELECT 'synchronization', {_d('hi', 'lo')} FROM g WHERE k > 1) SELECT metric, {_STATS} FROM m GROUP BY 1""")
 def enh_synchronisation(log):
-    return enhancement.synchronisation(executions.components(log))
+    p = enhancement.performance(executions.components(log)).filter("metric in ('flow', 'pooling', 'lagging', 'synchronization')")
+    return _rounded(p, *_METRICS)
 
 
 @query(A, "SELECT resource AS source, nr AS target, count(*) AS frequency FROM (SELECT resource, lead(resource) OVER (PARTITION BY object_id ORDER BY pos) AS nr FROM x) WHERE nr IS NOT NULL GROUP BY 1, 2")
@@ -619,39 +641,97 @@ def _work(log: Log) -> DataFrame:
     return bottlenecks.instances(executions.leading(log))
 
 
-@query(A)
+@query(A, f"{_PAIRS} SELECT object_id, activity, CAST(epoch_us(ready) AS BIGINT) AS ready_us, CAST(epoch_us(start) AS BIGINT) AS start_us, CAST(epoch_us(complete) AS BIGINT) AS complete_us, resource, start_event, complete_event FROM work")
 def bn_instances(log):
-    return _work(log).select("object_id", "activity", F.unix_micros("start").alias("start_us"), F.unix_micros("complete").alias("complete_us"), "resource")
-
-
-@query(A)
+    return _work(log).select("object_id", "activity", *[F.unix_micros(c).alias(f"{c}_us") for c in ("ready", "start", "complete")], "resource", "start_event", "complete_event")
+
+
+#: Batches of starts within a minute of each other, and unions of a resource's work.
+_BATCHES = f"""{_PAIRS}, b0 AS (SELECT *, CASE WHEN {_d('start', 'lag(start) OVER w')} <= 60 THEN 0 ELSE 1 END AS new FROM work WINDOW w AS (PARTITION BY activity, resource ORDER BY start, id)),
+b1 AS (SELECT *, sum(new) OVER (PARTITION BY activity, resource ORDER BY start, id) AS batch FROM b0), b AS (SELECT *, count(*) OVER g AS size, max(ready) OVER g AS release FROM b1 WINDOW g AS (PARTITION BY activity, resource, batch))"""
+_MERGE = """{n}0 AS (SELECT {k}, start AS s, complete AS e, CASE WHEN start <= max(complete) OVER (PARTITION BY {k} ORDER BY start, complete ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM work),
+{n}1 AS (SELECT *, sum(new) OVER (PARTITION BY {k} ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM {n}0), {n} AS MATERIALIZED (SELECT {k}, min(s) AS s, max(e) AS e FROM {n}1 GROUP BY {k}, i)"""
+_CAUSES = ["batching", "contention", "prioritization", "unavailability"]
+@query(A, f"""{_BATCHES}, {_MERGE.format(n='z', k='resource')},
+c AS (SELECT w.id, sum({_d('least(z.e, w.start)', 'greatest(z.s, w.ready)')}) AS busy FROM work w JOIN z ON w.resource = z.resource AND z.s < w.start AND z.e > w.ready GROUP BY 1),
+o AS (SELECT a.id, min(j.start) AS first FROM work a JOIN work j ON a.resource = j.resource AND j.ready > a.ready AND j.start < a.start GROUP BY 1),
+h AS (SELECT * FROM (VALUES (TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-03 08:00:00'), (TIMESTAMP '2024-01-03 16:00:00', TIMESTAMP '2024-01-31')) AS t(lo, hi)),
+av AS (SELECT w.id, sum(greatest(0, {_d('least(hi, w.start)', 'greatest(lo, w.ready)')})) AS there FROM work w, h WHERE resource = 'r1' GROUP BY 1),
+f AS (SELECT b.*, {_d('start', 'ready')} AS total, CASE WHEN size >= 2 THEN {_d('release', 'ready')} ELSE 0 END AS w1, coalesce(busy, 0) AS w2, coalesce({_d('start', 'first')}, 0) AS w3, coalesce({_d('start', 'ready')} - there, 0) AS w4
+FROM b LEFT JOIN c USING (id) LEFT JOIN o USING (id) LEFT JOIN av USING (id)),
+g1 AS (SELECT *, least(w1, total) AS batching FROM f), g2 AS (SELECT *, least(w2, total - batching) AS contention FROM g1), g3 AS (SELECT *, least(w3, total - batching - contention) AS prioritization FROM g2),
+g4 AS (SELECT *, least(w4, total - batching - contention - prioritization) AS unavailability FROM g3)
+SELECT activity, resource, count(*) AS support, round(sum(total), 3) AS waiting, {", ".join(f"round(sum({c}), 3) AS {c}" for c in _CAUSES)}, round(sum(total - {" - ".join(_CAUSES)}), 3) AS extraneous FROM g4 GROUP BY 1, 2""")
 def bn_waiting_causes(log):
-    return bottlenecks.waiting_causes(_work(log), 60.0)
-
-
-@query(A)
+    there = _rows(log, [("r1", _t(1), _t(3, 8)), ("r1", _t(3, 16), _t(31))], "resource string, lo timestamp, hi timestamp")
+    return _rounded(bottlenecks.waiting_causes(_work(log), 60.0, calendars=there), "waiting", *_CAUSES, "extraneous")
+
+
+@query(A, f"""{_PAIRS}, {_MERGE.format(n='z', k='activity, resource')}, p AS (SELECT activity, resource, sum(epoch_us(e) - epoch_us(s)) AS busy FROM z GROUP BY 1, 2),
+q0 AS (SELECT activity, resource, ready AS t, 1 AS chg FROM work UNION ALL SELECT activity, resource, start, -1 FROM work), q1 AS (SELECT *, sum(chg) OVER (PARTITION BY activity, resource ORDER BY t, chg DESC ROWS UNBOUNDED PRECEDING) AS q FROM q0),
+q AS (SELECT activity, resource, CAST(max(q) AS BIGINT) AS max_queue FROM q1 GROUP BY 1, 2),
+s AS (SELECT *, min(epoch_us(ready)) OVER g AS lo, max(epoch_us(complete)) OVER g - min(epoch_us(ready)) OVER g AS w, epoch_us(ready) AS r, epoch_us(start) AS b, epoch_us(complete) AS c FROM work WINDOW g AS (PARTITION BY activity, resource)),
+k AS (SELECT activity, resource, any_value(w) AS w, count(*) AS support, count(*) FILTER (2 * r >= 2 * lo + w) AS a, count(*) FILTER (2 * c >= 2 * lo + w) AS t, count(*) FILTER (4 * r <= 4 * lo + 3 * w AND 4 * b > 4 * lo + 3 * w) - count(*) FILTER (4 * r <= 4 * lo + w AND 4 * b > 4 * lo + w) AS backlog_change,
+avg((b - r) / 1e6) AS mean_wait, quantile_cont((b - r) / 1e6, 0.95) AS p95_wait, avg((c - b) / 1e6) AS mean_service FROM s GROUP BY 1, 2), h AS (SELECT *, a / greatest(w / 2 / 3.6e9, 1 / 3600) AS ar, t / greatest(w / 2 / 3.6e9, 1 / 3600) AS tr FROM k)
+SELECT activity, resource, support, round(ar, 6) AS arrival_rate, round(tr, 6) AS throughput_rate, round(busy / w, 6) AS utilization, round(mean_wait, 3) AS mean_wait, round(p95_wait, 3) AS p95_wait, round(mean_service, 3) AS mean_service, max_queue, backlog_change, ar > tr * 1.01 OR backlog_change > 0 AS unstable
+FROM h JOIN p USING (activity, resource) JOIN q USING (activity, resource)""")
 def bn_resource_pressure(log):
-    return bottlenecks.resource_pressure(_work(log))
+    return _rounded(_rounded(bottlenecks.resource_pressure(_work(log)), "arrival_rate", "throughput_rate", "utilization", digits=6), "mean_wait", "p95_wait", "mean_service")
 
 
-@query(A)
+@query(A, f"""{_BATCHES}, g AS (SELECT *, abs({_d('ready', 'lag(ready) OVER (PARTITION BY activity, resource ORDER BY start, id)')}) AS gap FROM b),
+s AS (SELECT activity, resource, count(*) AS support, count(*) FILTER (size >= 2) / count(*) AS batch_rate, coalesce(avg(gap), 0) AS mu, coalesce(stddev_pop(gap), 0) AS sd FROM g GROUP BY 1, 2),
+i AS (SELECT a.activity, a.resource, count(*) AS n FROM work a JOIN work j ON a.activity = j.activity AND a.resource = j.resource AND (a.start, a.id) < (j.start, j.id) AND a.ready > j.ready GROUP BY 1, 2)
+SELECT activity, resource, support, round(batch_rate, 9) AS batch_rate, round(coalesce(n, 0) / greatest(support * (support - 1) / 2, 1), 9) AS overtaking, round(CASE WHEN sd + mu > 0 THEN (sd - mu) / (sd + mu) ELSE 0 END, 6) AS burstiness FROM s LEFT JOIN i USING (activity, resource)""")
 def bn_patterns(log):
-    return bottlenecks.patterns(_work(log), 60.0)
+    return _rounded(_rounded(bottlenecks.patterns(_work(log), 60.0), "batch_rate", "overtaking", digits=9), "burstiness", digits=6)
 
 
-@query(A)
+@query(A, f"""{_PAIRS}, c AS (SELECT a.id, j.id AS blk, epoch_us(least(a.start, j.complete)) - epoch_us(greatest(a.ready, j.start)) AS o FROM work a JOIN work j ON a.resource = j.resource AND a.id <> j.id AND j.start < a.start AND j.complete > a.ready WHERE a.start > a.ready),
+k AS MATERIALIZED (SELECT id, blk, o FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY o DESC, blk DESC) AS r FROM c WHERE o > 0) WHERE r = 1),
+t AS (WITH RECURSIVE t(id, cur, path, delay) AS (SELECT id, id, [activity], CAST(0 AS BIGINT) FROM work UNION ALL SELECT t.id, k.blk, list_append(t.path, w.activity), t.delay + k.o FROM t JOIN k ON t.cur = k.id JOIN work w ON w.id = k.blk WHERE len(t.path) < 32) SELECT * FROM t),
+l AS (SELECT id, arg_max(path, len(path)) AS path, max(delay) AS delay FROM t GROUP BY 1)
+SELECT array_to_string(path, '>') AS activities, resource, count(*) AS support, CAST(len(any_value(path)) - 1 AS INTEGER) AS depth, round(sum(l.delay) / 1e6, 3) AS delay FROM l JOIN work USING (id) WHERE len(path) > 1 GROUP BY 1, 2""")
 def bn_cascades(log):
-    return bottlenecks.cascades(_work(log))
+    return _rounded(bottlenecks.cascades(_work(log)).withColumn("activities", F.array_join("activities", ">")), "delay")
 
 
-@query(A)
+_HALVES = f""", o AS (SELECT activity AS s, nxt AS t, {_d()} AS d, CASE WHEN nxt_ts < TIMESTAMP '2024-01-15' THEN 0 ELSE 1 END AS side FROM x WHERE nxt IS NOT NULL AND (nxt_ts < TIMESTAMP '2024-01-15' OR ts >= TIMESTAMP '2024-01-15'))"""
+
+
+@query(A, f"""{_HALVES}, z AS (SELECT s, t, count(*) FILTER (side = 0) AS n0, count(*) FILTER (side = 1) AS n1, quantile_cont(d, [0.25, 0.5, 0.75, 0.95]) FILTER (side = 0) AS q0, quantile_cont(d, [0.25, 0.5, 0.75, 0.95]) FILTER (side = 1) AS q1 FROM o GROUP BY 1, 2),
+l AS (SELECT *, q0[3] + 1.5 * (q0[3] - q0[1]) AS cap FROM z WHERE n0 > 0 AND n1 > 0), c AS (SELECT o.*, n0, n1, q0, q1, cap, sum(1 - side) OVER w AS c0, sum(side) OVER w AS c1 FROM o JOIN l USING (s, t) WINDOW w AS (PARTITION BY s, t ORDER BY d RANGE UNBOUNDED PRECEDING)),
+k AS (SELECT s, t, any_value(n0) AS n0, any_value(n1) AS n1, any_value(q1[2] - q0[2]) AS m, any_value(q1[4] - q0[4]) AS p95, sum(greatest(d - cap, 0) * (2 * side - 1)) AS impact, max(abs(c0 / n0 - c1 / n1)) AS ks FROM c GROUP BY 1, 2),
+p AS (SELECT *, sqrt(n0 * n1 / (n0 + n1)) * ks AS x FROM k), v AS (SELECT *, CASE WHEN x < 0.05 THEN 1 ELSE least(1, greatest(0, 2 * list_sum(list_transform(range(1, 101), lambda i: (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END) * exp(-2 * i * i * x * x))))) END AS p FROM p),
+b AS (SELECT *, row_number() OVER (ORDER BY p, s, t) AS i, count(*) OVER () AS n FROM v)
+SELECT s AS source_activity, t AS target_activity, n0 AS n_baseline, n1 AS n_current, round(m, 3) AS median_change, round(p95, 3) AS p95_change, round(impact, 2) AS impact_change, round(ks, 9) AS ks, round(p, 9) AS p, round(least(1, min(p * n / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 9) AS q FROM b""")
 def bn_drift(log):
-    return bottlenecks.duration_drift(executions.observations(log, View(end=_t(15))), executions.observations(log, View(start=_t(15))))
+    d = bottlenecks.duration_drift(executions.observations(log, View(end=_t(15))), executions.observations(log, View(start=_t(15)))).drop("object_type")
+    return _rounded(_rounded(_rounded(d, "median_change", "p95_change"), "impact_change", digits=2), "ks", "p", "q", digits=9)
 
 
-@query(A)
+_ASKED = [
+    {"id": "h1", "cause": "error", "effect": "purchase", "threshold": 7200.0, "most_lag": 86400.0},
+    {"id": "h2", "cause": "view", "effect": "click", "effect_source": "error", "threshold": 3600.0, "least_lag": 600.0},
+    {"id": "h3", "cause": "signup", "attribute": "resource", "value": "r1", "effect": "view", "threshold": 7200.0, "least_lag": 60.0, "most_lag": 604800.0},
+]
+
+
+def _exposure(h: dict) -> str:
+    cause = f"e.activity = '{h['cause']}' AND e.nxt IS NOT NULL" + (f" AND e.{h['attribute']} = '{h['value']}'" if h.get("attribute") else "")
+    lag = f" AND epoch_us(x.ts) - epoch_us(e.ts) <= {round(h['most_lag'] * 1e6)}" if h.get("most_lag") else ""
+    step = f"nxt = '{h['effect']}'" + (f" AND activity = '{h['effect_source']}'" if h.get("effect_source") else "")
+    return f"SELECT '{h['id']}' AS id, {_d()} > {h['threshold']} AS slow, EXISTS (SELECT 1 FROM x e WHERE e.object_id = x.object_id AND {cause} AND epoch_us(x.ts) - epoch_us(e.ts) >= {round(h.get('least_lag', 0) * 1e6)}{lag}) AS exposed FROM x WHERE {step}"
+
+
+@query(A, f""", e AS ({" UNION ALL ".join(map(_exposure, _ASKED))}), c AS (SELECT id, CAST(count(*) FILTER (exposed AND slow) AS DOUBLE) AS a, CAST(count(*) FILTER (exposed AND NOT slow) AS DOUBLE) AS b, CAST(count(*) FILTER (NOT exposed AND slow) AS DOUBLE) AS c, CAST(count(*) FILTER (NOT exposed AND NOT slow) AS DOUBLE) AS d FROM e GROUP BY 1),
+r AS (SELECT *, (a + b) * (c + d) * (a + c) * (b + d) AS base, coalesce(a / nullif(a + b, 0), 0) AS one, coalesce(c / nullif(c + d, 0), 0) AS two FROM c), z AS (SELECT *, CASE WHEN base > 0 THEN (a + b + c + d) * (a * d - b * c) * (a * d - b * c) / base ELSE 0 END AS chi2 FROM r),
+p AS (SELECT *, CASE WHEN base > 0 THEN 1 - 2 * sqrt(chi2) / 1536 * (1 + exp(-chi2 / 2) + list_sum(list_transform(range(1, 512), lambda i: (CASE WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-chi2 * i * i / 524288)))) / sqrt(2 * pi()) ELSE 1 END AS p FROM z), k AS (SELECT *, row_number() OVER (ORDER BY p, id) AS i, count(*) OVER () AS n FROM p),
+q AS (SELECT *, least(1, min(p * n / i) OVER (ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM k)
+SELECT id, CAST(a + b AS BIGINT) AS exposed, CAST(a AS BIGINT) AS exposed_slow, CAST(c + d AS BIGINT) AS other, CAST(c AS BIGINT) AS other_slow, round(one - two, 9) AS risk_difference, round(one / nullif(two, 0), 9) AS risk_ratio, round(chi2, 6) AS chi2, round(p, 6) AS p, round(q, 6) AS q, q <= 0.05 AND one > two AND a + b >= 5 AND c + d >= 5 AS supported FROM q""")
 def bn_hypotheses(log):
-    return bottlenecks.hypotheses(executions.observations(log), [("error", "purchase"), ("view", "click")], 7200.0, 86400.0)
+    h = bottlenecks.hypotheses(executions.observations(log, keep=["resource"]), _ASKED)
+    return _rounded(_rounded(h, "risk_difference", "risk_ratio", digits=9), "chi2", "p", "q", digits=6)
 
 
 # --- prediction, risk, graphs ---
