@@ -38,12 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, random: tuple[str, ...] = ()) -> DataFrame:
     """As ``cut``, as a Parquet table: for wide rows of which later steps read some columns only. The files go with the
-    application, or by ``drop``."""
+    application, or by ``drop``. random: columns, by their Parquet path, of hashes, for which no dictionary is tried."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in random}).parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
