@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.storage import cut, shared_dir
@@ -24,18 +24,19 @@ from tracelake.llm.tokens import crc32
 from tracelake.llm.tokens import encoder as encoder_of
 
 _MAGIC, _FOOTER = b"EFTOKEN1", "<8q"
-#: A select sample for every so many ones.
-STEP = 256
+#: Words of the bit map in a block of the select directory.
+BLOCK = 8
 #: Bytes of text that go to a file.
-FILE_BYTES = 32 << 20
+FILE_BYTES = 64 << 20
 
 
 class EliasFano:
     """A sorted sequence of n numbers below 2**63 in about 2 + log2(u / n) bits each: the low bits side by side, the high
-    parts in unary in a bit map. ``select`` finds the i-th one from samples of every STEP-th and popcounts."""
+    parts in unary in a bit map. ``select`` finds the i-th one by a search in a directory (ones before each block of the
+    map, 32 bits for 512) and popcounts of one block: never more, however far ones stand apart."""
 
-    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, samples: np.ndarray) -> None:
-        self.n, self.low_bits, self.low, self.high, self.samples = n, low_bits, low, high, samples
+    def __init__(self, n: int, low_bits: int, low: np.ndarray, high: np.ndarray, ranks: np.ndarray) -> None:
+        self.n, self.low_bits, self.low, self.high, self.ranks = n, low_bits, low, high, ranks
 
     @classmethod
     def encode(cls, values: np.ndarray) -> EliasFano:
@@ -45,16 +46,17 @@ class EliasFano:
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
         bits = (values[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1) if low_bits else np.zeros((n, 0))
         places = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
-        high = np.zeros(-(-(int(places[-1]) + 1 if n else 0) // 64) * 64, dtype=np.uint8)
+        # the map has at most 3 n bits
+        high = np.zeros(-(-(int(places[-1]) + 1 if n else 0) // (64 * BLOCK)) * 64 * BLOCK, dtype=np.uint8)
         high[places] = 1
-        # samples are bit places; the map has at most 3 n bits, so 32 bits hold them for a file's documents
-        return cls(n, low_bits, np.packbits(bits.astype(np.uint8).reshape(-1), bitorder="little"), np.packbits(high, bitorder="little").view("<u8"), places[::STEP].astype("<u4"))
+        ones = high.reshape(-1, 64 * BLOCK).sum(axis=1, dtype=np.int64)
+        return cls(n, low_bits, np.packbits(bits.astype(np.uint8).reshape(-1), bitorder="little"), np.packbits(high, bitorder="little").view("<u8"), (np.cumsum(ones) - ones).astype("<u4"))
 
     def select(self, i: int) -> int:
         """The place of the i-th one (from 0) in the bit map."""
-        at, rest = int(self.samples[i // STEP]), i % STEP
-        word = at // 64
-        x = int(self.high[word]) >> (at % 64) << (at % 64)
+        block = int(np.searchsorted(self.ranks, i, side="right")) - 1
+        word, rest = block * BLOCK, i - int(self.ranks[block])
+        x = int(self.high[word])
         while rest >= (ones := x.bit_count()):
             rest -= ones
             word += 1
@@ -72,17 +74,8 @@ class EliasFano:
             low = int.from_bytes(self.low[first:last].tobytes(), "little") >> (at % 8) & ((1 << self.low_bits) - 1)
         return (self.select(i) - i) << self.low_bits | low
 
-    def all(self) -> np.ndarray:
-        """Every number, at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))[: self.n]
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if not self.low_bits:
-            return high
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits).astype(np.uint64)
-        return high | (bits << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-
     def to_bytes(self) -> bytes:
-        return struct.pack("<5q", self.n, self.low_bits, self.low.nbytes, self.high.nbytes, self.samples.nbytes) + self.low.tobytes() + self.high.tobytes() + self.samples.tobytes()
+        return struct.pack("<5q", self.n, self.low_bits, self.low.nbytes, self.high.nbytes, self.ranks.nbytes) + self.low.tobytes() + self.high.tobytes() + self.ranks.tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> EliasFano:
@@ -163,56 +156,53 @@ def _write(folder: str, vocabulary: str, kind: str, end: int):
 
 
 def write_tokens(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", vocabulary: str = "word_bpe_49k.json", kind: str = "word", end: int = 2,
-                 file_bytes: int = FILE_BYTES) -> list[tuple[str, int, int, int]]:
-    """Writes the ids of all documents to ``folder`` in ascending order of key and returns the manifest: for each file, in
-    order, its URI, documents, tokens, and tokens of all files before it. The manifest has a row for each file.
+                 file_bytes: int = FILE_BYTES) -> DataFrame:
+    """Writes the ids of all documents to ``folder`` in ascending order of key and returns the manifest, a table with a row for
+    each file: part (their order), uri, docs, tokens, and before (tokens of all files before it).
 
     Texts are dealt to files by ranges of (key, row), so that a key that repeats very often still fills several files;
-    null keys come first. A null text is an empty one. Integer keys only."""
+    null keys come first. A null text is an empty one; repeated rows are documents like others; an empty table gives no
+    file. Keys are integers (any other type is an error); other columns of ``docs`` are not looked at."""
+    if dict(docs.dtypes)[key] not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"keys of token files are integers, not {dict(docs.dtypes)[key]}")
     base = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     size = docs.agg(F.sum(F.octet_length(text) + 8)).first()[0] or 0
     parts = base.repartitionByRange(max(1, -(-size // file_bytes)), F.col("k").asc_nulls_first(), "row").sortWithinPartitions(F.col("k").asc_nulls_first(), "row")
     fs, path = _open(folder)
     fs.create_dir(path, recursive=True)
-    made = parts.select("k", "text").mapInArrow(_write(folder, vocabulary, kind, end), "part long, uri string, docs long, tokens long").collect()
-    out, before = [], 0
-    for r in sorted(made, key=lambda r: r["part"]):
-        out.append((r["uri"], r["docs"], r["tokens"], before))
-        before += r["tokens"]
-    return out
+    made = cut(parts.select("k", "text").mapInArrow(_write(folder, vocabulary, kind, end), "part long, uri string, docs long, tokens long"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    return cut(made.withColumn("before", F.coalesce(F.sum("tokens").over(before), F.lit(0))))
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for uri, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
             f = TokenFile(uri)
-            keys, bounds = f.keys.all().astype(np.int64) + f.least, f.bounds.all().astype(np.int64)
-            at = 0
-            while at < f.n:
-                upto = max(at + 1, int(np.searchsorted(bounds, bounds[at] + (1 << 22), side="right")) - 1)
-                ids = f.read(int(bounds[at]), int(bounds[upto]))
-                own = range(at, upto)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([None if i < f.nulls else int(keys[i - f.nulls]) for i in own], pa.int64()), pa.array([before + int(bounds[i]) for i in own], pa.int64()),
-                        pa.array([int(bounds[i + 1] - bounds[i]) for i in own], pa.int64()), pa.array([crc32(ids[bounds[i] - bounds[at] : bounds[i + 1] - bounds[at]]) for i in own], pa.int64()),
-                    ],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
-                at = upto
+            spans, at = [], 0
+            for i in range(f.n):
+                spans.append(f.span(i) if not spans else (spans[-1][1], f.bounds[i + 1]))
+                if spans[-1][1] - spans[0][0] < 1 << 22 and i < f.n - 1:
+                    continue
+                first = spans[0][0]
+                ids = f.read(first, spans[-1][1])
+                rows = [(f.key(at + k), before + lo, hi - lo, crc32(ids[lo - first : hi - first])) for k, (lo, hi) in enumerate(spans)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                spans, at = [], i + 1
             f.close()
 
 
-def read_digests(spark: SparkSession, manifest: list[tuple[str, int, int, int]]) -> DataFrame:
-    """doc_id, start (in the order of all files), n_tokens and ids_crc32 of each document, from the files."""
-    files = spark.createDataFrame([(u, b) for u, _, _, b in manifest], "uri string, before long").repartition(max(1, len(manifest)))
+def read_digests(manifest: DataFrame) -> DataFrame:
+    """doc_id, start (in the order of all files), n_tokens and ids_crc32 of each document, from the files: places by select,
+    ids some MB at a time."""
+    files = manifest.select("uri", "before").repartition(max(1, min(manifest.count(), 10_000)))
     return files.mapInArrow(_digests, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all of ``documents`` as token files and returns what reading them back gives. The files go afterwards."""
     folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    out = cut(read_digests(spark, write_tokens(table(spark, sf_dir, "documents"), folder)))
+    out = cut(read_digests(write_tokens(table(spark, sf_dir, "documents"), folder)))
     fs, path = _open(folder)
     fs.delete_dir(path)
     return out
