@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -135,11 +136,10 @@ def test_lines_match_brute_force(spark):
     for d, t, *_ in rows:
         if (d, t) not in seen and t is not None:
             seen.add((d, t))
-            lines += [((d is not None, d or 0, sign(h(t)), k), linededup.normal(x)) for k, x in enumerate(t.split("\n")) if len(linededup.normal(x)) >= 5]
-    fps = [int(simhash.majority(np.array([xxhash.xxh64_intdigest(w) for w in set(ws)], dtype=np.uint64), np.array([len(set(ws))]))[0]) for _, ws in lines]
+            lines += [((d is not None, d or 0, sign(h(t)), k), linededup.normal(x)) for k, x in enumerate(t.split("\n")) if len(linededup.normal(x)) >= 5 or len(b" ".join(linededup.normal(x)).decode()) >= 8]
     same = linededup.alike(0.8)
     gone = set()
-    for g in brute_groups(lines, lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3 and same(*(b" ".join(lines[k][1]).decode() for k in (i, j)))):
+    for g in brute_groups(lines, lambda i, j: lines[i][1] == lines[j][1] or min(len(lines[k][1]) for k in (i, j)) >= 5 and same(*(b" ".join(lines[k][1]).decode() for k in (i, j)))):
         gone |= {lines[i][0] for i in g} - {min(lines[i][0] for i in g)}
     want = set()
     for d, t, _, root in rows:
@@ -173,27 +173,63 @@ def test_lines_by_edit_similarity_alone(spark):
     r = random.Random(4)
     words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(500)]
     lines = []
-    for n in (5, 6, 8, 9, 10, 14, 15, 20, 33, 52, 60, 64, 65, 70, 79, 80, 120, 300) * 3:
+    for n in (5, 6, 8, 9) * 12:  # of these no link may be lost
         base = [r.choice(words) for _ in range(n)]
         lines.append(base)
         for _ in range(3):
             w = list(base)
-            for _ in range(r.randint(1, max(1, n // 6))):
-                at = r.randrange(len(w))
-                w[at : at + 1] = r.choice(([], [r.choice(words)], [w[at], r.choice(words)]))
+            at = r.randrange(len(w))
+            w[at : at + 1] = r.choice(([], [r.choice(words)], [w[at], r.choice(words)]))
             lines.append(w)
     lines = [w for w in lines if len(w) >= 5]
     r.shuffle(lines)
     rows = [(i, " ".join(w)) for i, w in enumerate(lines)]
     same = linededup.alike(0.8)
     want = {g[0] for g in brute_groups(rows, lambda i, j: same(rows[i][1], rows[j][1]))}
-    got = {d["doc_id"] for d in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), distance=None).collect() if d["text"]}
+    got = {d["doc_id"] for d in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect() if d["text"]}
     assert got == want and len(want) < 0.5 * len(rows)
 
 
+@pytest.mark.parametrize("share,least", [(0.2, 0.9), (0.15, 0.96), (0.1, 0.99)])
+def test_recall_of_line_pairs(spark, share, least):
+    """Each pair stands alone; brute force by edit similarity says which are pairs at all."""
+    r = random.Random(int(100 * share))
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    rows, near = [], 0
+    same = linededup.alike(0.8)
+    for k in range(600):
+        base = [r.choice(words) for _ in range(r.choice((10, 15, 20, 30, 50, 80, 150)))]
+        w = list(base)
+        for at in r.sample(range(len(base)), max(1, int(share * len(base)))):
+            w[at] = r.choice(words)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(w))]
+        near += same(rows[-1][1], rows[-2][1])
+    left = sum(bool(d["text"]) for d in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert near == 600 and len(rows) - left >= least * near
+
+
+def test_line_sketches():
+    texts = [linededup.folded(t) for t in ("One two\n\n  three,four 77\n \n\u65e5\u672c x", "", "\t", "end.")]
+    owner, number, n, size, e = linededup.words_of(texts)
+    assert owner.tolist() == [0, 0, 0, 3] and number.tolist() == [0, 2, 4, 0] and n.tolist() == [2, 3, 2, 1] and size.tolist() == [6, 11, 7, 3]
+    assert e.tolist() == [xxhash.xxh64_intdigest(w) for w in "one two three four 00 \u65e5\u672c x end".encode().split()]
+    a, b = linededup.sums(np.array([1, 2, 2, 1, 1, 2], dtype=np.uint64), np.array([2, 2, 2]))
+    assert a[0] == a[2] != a[1] and b[0] == b[2] != b[1]
+
+
 def test_short_and_unspaced_lines(spark):
     long = "\u6211\u5011\u5728\u9019\u88e1" * 60
     rows = [(1, f"Subscribe to news\n{long}\n}}\nshort"), (2, f"subscribe to NEWS!\n{long}\n}}\nshort"), (3, "Subscribe to views")]
-    how = {"distance": None, "min_chars": linededup.MIN_CHARS}
-    got = {d["doc_id"]: d["text"] for d in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
+    got = {d["doc_id"]: d["text"] for d in linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: rows[0][1], 2: "}\nshort", 3: rows[2][1]}
+
+
+def test_keys_that_lines_share():
+    r = random.Random(3)
+    rows = sorted((r.randint(0, 60), r.randint(0, 4) if r.random() < 0.5 else 9) for _ in range(400))
+    rows = [(k, s) for k, g in [(k, [s for x, s in rows if x == k]) for k in range(61)] for s in r.sample(g, len(g))]
+    want = {(k, s) for k, s in rows if len({y for x, y in rows if x == k}) > 1}
+    for size in (1, 2, 7, 400):
+        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + size]]), pa.array([s for _, s in rows[i : i + size]])], names=["key", "short"]) for i in range(0, len(rows), size)]
+        got = [(k, s) for b in linededup._shared(iter(batches)) for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+        assert set(got) == want

@@ -37,10 +37,11 @@ def block_count(n: int, distance: int, chance: int = 512) -> int:
     return distance + 5
 
 
-def tiles(rows: DataFrame, n: int, distance: int, tile: int = TILE, buckets: str | None = None) -> tuple[DataFrame, list[int]]:
+def tiles(rows: DataFrame, n: int, distance: int, tile: int = TILE, buckets: str | None = None, weight: str | None = None) -> tuple[DataFrame, list[int]]:
     """Deals ``rows`` (column fp; more may follow) into buckets by block key and cuts buckets of over ``tile`` rows into
     tiles: columns mask, key, i, j before those of rows. Two rows of one bucket meet in some (i, j). Also the masks.
-    ``buckets`` names a column of rows, an array of longs: these are the keys then, and there are no masks."""
+    ``buckets`` names a column of rows, an array of longs: these are the keys then, and there are no masks. ``weight``
+    names a column of what a row counts against ``tile`` (by default 1)."""
     choice = masks(block_count(n, distance), distance) if buckets is None else []
     kept = [c for c in rows.columns if c != buckets]
     if buckets is None:
@@ -48,7 +49,8 @@ def tiles(rows: DataFrame, n: int, distance: int, tile: int = TILE, buckets: str
     else:
         rows = rows.select(F.lit(0).alias("mask"), F.explode(buckets).alias("key"), *kept)
     keyed = rows.select(keys, *kept) if buckets is None else rows
-    large = cut(keyed.select("mask", "key").groupBy("mask", "key").agg(F.count("*").alias("size")).filter(F.col("size") > tile))
+    size = F.count("*") if weight is None else F.sum(weight)
+    large = cut(keyed.groupBy("mask", "key").agg(size.cast("long").alias("size")).filter(F.col("size") > tile))
     count = large.count()
     large = large.union(large.sparkSession.range(1).select(F.lit(-1).alias("mask"), F.lit(0).cast("long").alias("key"), F.lit(1).cast("long").alias("size")))  # the same plan, with large buckets or without
     # the large buckets: few rows, and sent to all tasks only if this count says so
@@ -149,14 +151,14 @@ def linker(distance: int, choice: list[int], node: str, out: pa.Schema, verify:
     return run
 
 
-def links(rows: DataFrame, n: int, distance: int, node: str = "fp", tile: int = TILE, verify: Callable | None = None, payload: str | None = None, buckets: str | None = None, near: tuple[list[str], Callable] | None = None) -> DataFrame:
+def links(rows: DataFrame, n: int, distance: int, node: str = "fp", tile: int = TILE, verify: Callable | None = None, payload: str | None = None, buckets: str | None = None, near: tuple[list[str], Callable] | None = None, weight: str | None = None) -> DataFrame:
     """Edges (a, b) between nodes whose fingerprints differ in ``distance`` bits or fewer (and that ``verify`` accepts).
     With ``buckets`` (see tiles) only those that share a key. ``near``: columns and a function of their values at both ends,
-    as arrays, that says which pairs may be tied at all.
+    as arrays, that says which pairs may be tied at all. ``weight``: see tiles.
 
     Not all of them: in each tile group a spanning forest, which has the same connected components. ``rows`` has a row for
     each node, columns fp (long), node and payload. n: their number, or about."""
-    dealt, choice = tiles(rows, n, distance, tile, buckets)
+    dealt, choice = tiles(rows, n, distance, tile, buckets, weight)
     order = ["mask", "key", "i", "j"]
     kind = dict(rows.dtypes)[node]
     arrow = {"bigint": pa.int64(), "binary": pa.binary(), "string": pa.string()}[kind]

@@ -1,47 +1,55 @@
-"""Fuzzy line deduplication across documents: SimHash of normalised lines, a pigeonhole block join, edit similarity.
+"""Fuzzy line deduplication across documents: sketches of normalised lines, joins on blocks of these, edit similarity.
 
-A line's fingerprint is made of its different words, each once: frequent words repeat in a line, and lines that share these
-would look alike."""
+SimHash blocks alone do not find lines of similarity 0.8: these differ in some 13 of 64 bits, and blocks that 13 bits leave
+intact have four bits. So blocks are keys that edits leave intact: for short lines the line without one of its words, for
+others least hashes of four neighbouring words. Fingerprints (parities of words, and SimHash) then say which of those
+that share a block are compared by their words."""
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
+from operator import ne
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.functions.storage import cut
+from tracelake.functions.storage import cut, drop, sweep, written
 from tracelake.llm.blocks import links
-from tracelake.llm.common import table
+from tracelake.llm.common import free, table
 from tracelake.llm.simhash import majority
 from tracelake.operators.components import connected_components
 
-_KNOWN = 200_000
-#: Words from which (more) lines are found by runs of four words, MinHash keys of these, and bits in which fingerprints of lines
-#: of edit similarity 0.8 may differ: some 13 do, with a deviation of 3.
-LONG, GRAMS, RADIUS = 64, 32, 30
-#: Characters from which a line of few words is compared, for equality.
-MIN_CHARS = 8
+#: Least-hash keys of a line; neighbouring words that one is made of, in lines of up to LONG words and in longer ones; and bits in
+#: which SimHash fingerprints of lines of edit similarity 0.8 may differ: some 13 do, with a deviation of 3.2.
+BANDS, RUNS, LONG, RADIUS = 9, (3, 4), 20, 24
+#: Words from which a line is compared by similarity, and characters from which one of fewer words is compared for equality.
+MIN_WORDS, MIN_CHARS = 5, 8
 #: Columns of parity bits, 64 in each.
-PARITY = [f"p{k}" for k in range(8)]
-_SALT = np.random.default_rng(13).integers(0, 1 << 63, GRAMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+PARITY = [f"p{k}" for k in range(4)]
+#: The same for lines that are compared, of words whose repetitions are told apart.
+EXACT = [f"q{k}" for k in range(8)]
+#: Bytes of lines of a group that are compared at once.
+TILE_BYTES = 2 << 20
+#: Bytes of text that are sketched at a time, and sums of lines that a task remembers.
+AT_ONCE, SEEN = 8 << 20, 500_000
+_SALT = np.random.default_rng(13).integers(0, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: ASCII digits become 0 and ASCII punctuation a space; the line feed stays.
 _FOLD = bytes.maketrans(bytes(range(49, 58)) + (p := bytes(c for c in range(128) if not chr(c).isalnum() and c != 10)), b"0" * 9 + b" " * len(p))
 
 
-def folded(text: str) -> list[bytes]:
-    """The lines of a text as they are compared: lower case, every digit a 0, no punctuation; white space is any."""
-    return text.lower().encode("utf-8", "surrogatepass").translate(_FOLD).split(b"\n")
+def folded(text: str) -> bytes:
+    """A text as its lines are compared: lower case, every digit a 0, no punctuation; white space is any."""
+    return text.lower().encode("utf-8", "surrogatepass").translate(_FOLD)
 
 
 def normal(line: str) -> list[bytes]:
     """The words of a line as they are compared."""
-    return folded(line)[0].split()
+    return folded(line).split(b"\n")[0].split()
 
 
 def distance_within(a: list, b: list, most: int) -> bool:
@@ -49,6 +57,8 @@ def distance_within(a: list, b: list, most: int) -> bool:
     integers (Myers, Hyyro), after what both share at their ends is cut off."""
     if abs(len(a) - len(b)) > most:
         return False
+    if len(a) == len(b) and sum(map(ne, a, b)) <= most:  # as many replacements
+        return True
     n, lo, hi = min(len(a), len(b)), 0, 0
     while lo < n and a[lo] == b[lo]:
         lo += 1
@@ -85,72 +95,14 @@ def alike(similarity: float):
 
     def verify(a: str, b: str) -> bool:
         x, y = a.split(" "), b.split(" ")
-        return distance_within(x, y, int((1 - similarity) * max(len(x), len(y)) + 1e-9))
+        most = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
+        if max(len(x), len(y)) > 200 and max(len(x), len(y)) - (Counter(x) & Counter(y)).total() > most:
+            return False  # as many words at least are not shared; of long lines this costs far less to know
+        return distance_within(x, y, most)
 
     return verify
 
 
-class _Hashes(dict):
-    """XXH64 of words, kept for the next time."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KNOWN:
-            self.clear()
-        v = self[word] = xxhash.xxh64_intdigest(word)
-        return v
-
-
-def _lines(min_words: int):
-    schema = pa.schema([("id", pa.int64()), ("h", pa.int64()), ("line", pa.int32()), ("sum", pa.binary()), ("fp", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Hashes()
-        word = known.__getitem__
-
-        for b in batches:
-            ids, hs, at, sums, h, counts, fps = [], [], [], [], [], [], []
-            for key, text_hash, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                for k, line in enumerate(folded(text.as_py() or "")):
-                    words = line.split()
-                    if len(words) < min_words:
-                        continue
-                    ids.append(key)
-                    hs.append(text_hash)
-                    at.append(k)
-                    sums.append(xxhash.xxh128_digest(b" ".join(words)))
-                    once = set(words)
-                    h += map(word, once)
-                    counts.append(len(once))
-                if len(h) > 1 << 17:
-                    fps.append(majority(np.array(h, dtype=np.uint64), np.array(counts)))
-                    h, counts = [], []
-            if counts:
-                fps.append(majority(np.array(h, dtype=np.uint64), np.array(counts)))
-            fp = np.concatenate(fps).view(np.int64) if fps else np.zeros(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(at, pa.int32()), pa.array(sums, pa.binary()), pa.array(fp)], schema=schema)
-
-    return run
-
-
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = [b" ".join(folded(text)[k].split()).decode("utf-8", "replace") for text, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        yield pa.RecordBatch.from_arrays([b.column(2), b.column(3), pa.array(out, pa.string())], names=["sum", "fp", "words"])
-
-
-class _Elements(_Hashes):
-    """48 bits of a word's XXH64 under 16 bits of how frequent it is (0: not among ``ranks``)."""
-
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _KNOWN:
-            self.clear()
-        v = self[word] = self.ranks.get(word, 0) << 48 | xxhash.xxh64_intdigest(word) >> 16
-        return v
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
@@ -162,217 +114,335 @@ def allowed(n, similarity: float):
     return np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
 
 
-def _numbered(e: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of lines' elements, those of a line from the rarest on, with the line of each and where lines start. A
-    word's second occurrence is an element of its own."""
-    starts, owner = np.cumsum(counts) - counts, np.repeat(np.arange(len(counts)), counts)
-    order = np.lexsort((e, owner))
-    low = np.uint64((1 << 48) - 1)
-    s = e[order]
+def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of folded texts: the text and number of each line that has words, its words and the bytes of these, and the hashes
+    of all words. Arrow cuts the texts; a word is hashed once for the whole batch."""
+    lines = pc.split_pattern(pa.array(texts, pa.large_binary()).view(pa.large_string()), "\n")
+    starts = lines.offsets.to_numpy()
+    each = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(lines.flatten()))
+    counts = pc.list_value_length(each).to_numpy()
+    words = each.flatten().view(pa.large_binary())
+    coded = words.dictionary_encode()
+    own = coded.dictionary.to_pylist()
+    which = coded.indices.to_numpy()
+    h = np.fromiter(map(xxhash.xxh64_intdigest, own), np.uint64, len(own))[which]
+    per = np.diff(starts)
+    owner, number = np.repeat(np.arange(len(texts)), per), np.arange(len(counts)) - np.repeat(starts[:-1] - starts[0], per)
+    begin = np.cumsum(counts) - counts
+    off = np.frombuffer(words.buffers()[1], dtype=np.int64)[words.offset : words.offset + len(words) + 1]
+    size = off[begin + counts] - off[begin]
+    full = size > 0  # a line of white space alone has one word, an empty one
+    if not full.all():
+        h = h[np.repeat(full, counts)]
+    return owner[full], number[full], counts[full].astype(np.int64), size[full], h
+
+
+def _add(v: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(v, starts) if len(starts) else v[:0]
+
+
+def sums(e: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of each line, given as runs of words' hashes: equal for equal sequences of words."""
+    starts = np.cumsum(counts) - counts
+    place = (np.arange(len(e)) - np.repeat(starts, counts)).astype(np.uint64)
+    a = _mix(e + place * np.uint64(0x9E3779B97F4A7C15))
+    return _add(a, starts), _add(_mix(a ^ e * np.uint64(0xD6E8FEB86659FD93)), starts) ^ counts.astype(np.uint64)
+
+
+def _parity(e: np.ndarray, counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Parity bits of lines, given as runs of words' hashes, and whether a line may repeat many of its words."""
+    starts = np.cumsum(counts) - counts
+    if not len(counts):
+        return [e] * len(PARITY), np.zeros(0, dtype=bool)
+    m = _mix(e)
+    place, bit = m >> np.uint64(62), np.uint64(1) << (m >> np.uint64(56) & np.uint64(63))
+    own = [np.where(place == k, bit, np.uint64(0)) for k in range(len(PARITY))]
+    used = sum(np.bitwise_count(np.bitwise_or.reduceat(x, starts)).astype(np.int64) for x in own[:2])  # of half the classes
+    return [np.bitwise_xor.reduceat(x, starts) for x in own], (counts > 400) | (used < 0.65 * 128 * -np.expm1(-counts / 256))
+
+
+def _numbered(e: np.ndarray, counts: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """``e``, where in the lines ``which`` an element's second, third occurrence is an element of its own."""
+    if not which.any():
+        return e
+    mine = np.repeat(which, counts)
+    x, owner = e[mine], np.repeat(np.arange(int(which.sum())), counts[which])
+    order = np.lexsort((x, owner))
+    s, at = x[order], np.arange(len(x))
     fresh = np.concatenate([[True], (s[1:] != s[:-1]) | (owner[1:] != owner[:-1])])
-    at = np.arange(len(s))
     times = (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(np.uint64)
-    s = s & ~low | _mix((s & low) + times * np.uint64(0x9E3779B97F4A7C15)) & low
-    return _mix(s[np.lexsort((s, owner))]), owner, starts
-
-
-def prints(e: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Fingerprint and parity bits of lines, given as runs of elements."""
-    m, _, starts = _numbered(e, counts)
-    place, bit = m >> np.uint64(61), np.uint64(1) << (m >> np.uint64(55) & np.uint64(63))
-    par = [np.bitwise_xor.reduceat(np.where(place == k, bit, np.uint64(0)), starts) for k in range(len(PARITY))]
-    return majority(m, counts), par
-
-
-def bucket_keys(e: np.ndarray, counts: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Keys under which lines, given as runs of elements, meet, and the line of each.
-
-    Lines of LONG words at most have the rarest words as keys, one more than they may have edits: two lines within the edits
-    share ``longer - edits`` words, so one of these is among the first of both in any common order (and no pair is
-    lost). Lines that may be alike to longer ones have GRAMS MinHash keys of their 4-word runs too."""
-    m, owner, starts = _numbered(e, counts)
-    at = np.arange(len(m))
-    edits = allowed(counts, similarity)
-    first = np.where((counts <= LONG) & (edits > 0), edits + 1, 0)
-    mine = at - np.repeat(starts, counts) < np.repeat(first, counts)
-    keys, whose = [m[mine]], [owner[mine]]
-    long = np.flatnonzero(counts >= LONG - allowed(np.array([LONG + 1]), similarity)[0])
-    if len(long):
-        size = counts[long] - 3
-        begin = np.cumsum(size) - size
-        where = np.arange(size.sum()) - np.repeat(begin, size) + np.repeat(starts[long], size)
-        g = _mix(e[where])
-        for k in (1, 2, 3):
-            g = _mix(g + e[where + k])
-        for k, x in enumerate(_SALT):
-            keys.append(_mix(np.minimum.reduceat(g * x, begin) + np.uint64(k)))
-            whose.append(long)
-    return np.concatenate(keys), np.concatenate(whose)
-
-
-def _blocks(b: pa.RecordBatch, min_words: int, word, min_chars: int | None = None) -> Iterator[tuple[list, list, list, list, np.ndarray, np.ndarray]]:
-    """Lines of a batch, some at a time: key, hash of the text, number, sum, elements and how many each has."""
-    ids, hs, at, sums, e, counts = held = ([], [], [], [], [], [])
-    for key, text_hash, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-        for k, line in enumerate(folded(text.as_py() or "")):
-            words = line.split()
-            if len(words) < min_words and (not words or min_chars is None or len(b" ".join(words).decode("utf-8", "replace")) < min_chars):
-                continue
-            ids.append(key)
-            hs.append(text_hash)
-            at.append(k)
-            sums.append(xxhash.xxh128_digest(b" ".join(words)))
-            e += map(word, words)
-            counts.append(len(words))
-            if len(e) > 1 << 17:
-                yield ids, hs, at, sums, np.array(e, dtype=np.uint64), np.array(counts)
-                for v in held:
-                    v.clear()
-    if ids:
-        yield ids, hs, at, sums, np.array(e, dtype=np.uint64), np.array(counts)
-
-
-def _sketched(min_words: int, min_chars: int | None):
+    x[order] = np.where(times > 0, _mix(s + times * np.uint64(0x9E3779B97F4A7C15)), s)
+    out = e.copy()
+    out[mine] = x
+    return out
+
+
+def bucket_keys(e: np.ndarray, counts: np.ndarray, similarity: float, repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which lines, given as runs of words' hashes, meet, and how many each line has. ``repeats``: lines in which
+    pairs of words that repeat are told apart.
+
+    Lines that may differ in one word have a key for each of their words, the line without it, and one of the whole: none
+    of their pairs is lost. Lines that may have partners with two edits or more have BANDS least hashes of their runs of
+    three (up to LONG words) or four words, lines about LONG words both. At similarity 0.8, with edits spread at random, a
+    pair shares 0.26 of its runs of four and with a chance of 0.93 a key; at 0.85, 0.35 and 0.98; at 0.9, 0.49 and 0.998."""
+    starts = np.cumsum(counts) - counts
+    least = int(next(m for m in range(1, 1 << 20) if allowed(np.array([m]), similarity)[0] >= 2)) if similarity < 1 else 1 << 40
+    short = (allowed(counts + 1, similarity) >= 1) & (counts < least)
+    kinds = [(counts >= max(2, least - 2)) & (counts <= LONG), (counts >= max(2, least - 2)) & (counts >= similarity * LONG)]
+    size = np.where(short, counts + 1, 0) + sum(np.where(kind, BANDS, 0) for kind in kinds)
+    at = np.cumsum(size) - size
+    out = np.zeros(int(size.sum()), dtype=np.uint64)
+    for n in np.unique(counts[short]).tolist():
+        own = np.flatnonzero(short & (counts == n))
+        w = e[starts[own][:, None] + np.arange(n)]
+        for gone in range(n + 1):
+            k = np.full(len(own), 0x5851F42D4C957F2D, dtype=np.uint64)
+            for c in range(n):
+                if c != gone:
+                    k = _mix(k * np.uint64(0x9E3779B97F4A7C15) + w[:, c])
+            out[at[own] + gone] = k
+    place = at + np.where(short, counts + 1, 0)
+    for kind, run in zip(kinds, RUNS):
+        own = np.flatnonzero(kind)
+        if not len(own):
+            continue
+        w, n = (e, counts) if len(own) == len(counts) else (e[np.repeat(kind, counts)], counts[own])
+        first = np.cumsum(n) - n
+        g = w * np.uint64(0x9E3779B97F4A7C15) + np.uint64(run)
+        for k in range(1, run):
+            g ^= g >> np.uint64(29)
+            g = g * np.uint64(0xBF58476D1CE4E5B9) + np.append(w[k:], w[:k])
+        g = _numbered(_mix(g), n, repeats[own])
+        # a line's last words begin no run; where a line has fewer words than a run, its first word does
+        behind = np.repeat(first + n, n) - np.arange(len(w))
+        none = np.flatnonzero((behind < run) & (behind != np.repeat(n, n)))
+        for k, salt in enumerate(_SALT):
+            x = g * salt
+            x[none] = np.uint64(0xFFFFFFFFFFFFFFFF)
+            out[place[own] + k] = _mix(np.minimum.reduceat(x, first) + np.uint64(k))
+        place = place + np.where(kind, BANDS, 0)
+    return out, size
+
+
+_SKETCH = "id {}, h bigint, line int, sum binary, short bigint, n int, " + ", ".join(f"{p} bigint" for p in PARITY) + ", keyed boolean, keys array<bigint>"
+
+
+def _sketched(min_words: int, min_chars: int, similarity: float):
+    def made(ids: pa.Array, hs: pa.Array, texts: list[bytes], seen: set[int]) -> pa.RecordBatch:
+        owner, number, n, size, e = words_of(texts)
+        keep = n >= min_words
+        for i in np.flatnonzero(~keep & (size + n > min_chars)).tolist():
+            line = b" ".join(texts[owner[i]].split(b"\n")[number[i]].split())
+            keep[i] = len(line.decode("utf-8", "replace")) >= min_chars
+        e, owner, number, n = e[np.repeat(keep, n)], owner[keep], number[keep], n[keep]
+        a, b = sums(e, n)
+        par, again = _parity(e, n)
+        # of equal lines one in a task has keys: a line that is everywhere is not dealt out more often than there are tasks
+        news, short = np.zeros(len(n), dtype=bool), a.tolist()
+        for i in np.flatnonzero(n >= min_words).tolist():
+            if short[i] not in seen:
+                seen.add(short[i])
+                news[i] = True
+        if len(seen) > SEEN:
+            seen.clear()
+        keys, size = bucket_keys(e[np.repeat(news, n)], n[news], similarity, again[news])
+        each = np.zeros(len(n), dtype=np.int64)
+        each[news] = size
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(each)]).astype(np.int32)), pa.array(keys.view(np.int64)))
+        both = np.stack([a, b], axis=1).astype("<u8")
+        sum_ = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((np.arange(len(n) + 1) * 16).astype(np.int32)), pa.py_buffer(both)])
+        at = pa.array(owner)
+        cols = [ids.take(at), hs.take(at), pa.array(number.astype(np.int32)), sum_, pa.array(a.view(np.int64)), pa.array(n.astype(np.int32)), *[pa.array(v.view(np.int64)) for v in par], pa.array(each > 0), lists]
+        return pa.RecordBatch.from_arrays(cols, names=["id", "h", "line", "sum", "short", "n", *PARITY, "keyed", "keys"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = _Elements({}).__getitem__
+        seen: set[int] = set()
         for b in batches:
-            for ids, hs, at, sums, e, counts in _blocks(b, min_words, word, min_chars):
-                fp, par = prints(e, counts)
-                cols = [pa.array(ids, pa.int64()), pa.array(hs, pa.int64()), pa.array(at, pa.int32()), pa.array(sums, pa.binary()), pa.array(fp.view(np.int64)), *[pa.array(v.view(np.int64)) for v in par], pa.array(counts, pa.int32()), pa.array(np.frombuffer(b"".join(sums), dtype="<i8")[::2])]
-                yield pa.RecordBatch.from_arrays(cols, names=["id", "h", "line", "sum", "fp", *PARITY, "n", "short"])
+            lo, size, texts = 0, 0, []
+            for i, t in enumerate(b.column(2)):
+                texts.append(folded(t.as_py() or ""))
+                size += len(texts[-1])
+                if size > AT_ONCE or i == b.num_rows - 1:
+                    yield made(b.column(0).slice(lo, len(texts)), b.column(1).slice(lo, len(texts)), texts, seen)
+                    lo, size, texts = i + 1, 0, []
 
     return run
 
 
-def _keyed(min_words: int, similarity: float, ranks: dict[bytes, int]):
+_STEP = 2654435761
+
+
+def _place(h, line, bits: int):
+    """The bit of a line in a map of 2 ** ``bits``, in Spark or in NumPy."""
+    if isinstance(h, np.ndarray):
+        return (h ^ line * _STEP) & ((1 << bits) - 1)
+    return h.bitwiseXOR(line.cast("long") * F.lit(_STEP)).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def _bit_map(lines: DataFrame, n: int) -> tuple[int, np.ndarray]:
+    """A bit map of ``lines`` (h, line; n of them): 16 bits for each, 16 MB at most. Beyond that it lets more and more lines
+    pass that are not wanted, which a join then drops."""
+    bits = min(27, max(10, (16 * n).bit_length()))
+    at = _place(F.col("h"), F.col("line"), bits)
+    words = lines.select(F.shiftright(at, 6).alias("w"), F.expr("1L").alias("one"), at.bitwiseAND(F.lit(63)).cast("int").alias("b"))
+    got = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("v")).collect()  # 2 ** 21 rows at most
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    out[[r["w"] for r in got]] = [r["v"] for r in got]
+    return bits, out.view(np.uint64)
+
+
+def _texts(bits: int, wanted: np.ndarray):
+    """The words of the lines whose bit is set."""
+    names = ["id", "h", "line", "words"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        word = _Elements(ranks).__getitem__
         for b in batches:
-            for *_, sums, e, counts in _blocks(b, min_words, word):
-                keys, whose = bucket_keys(e, counts, similarity)
-                short = np.frombuffer(b"".join(sums), dtype="<i8")[::2]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(short[whose])], names=["key", "short"])
+            texts, h = b.column(2).to_pylist(), b.column(1).to_numpy(zero_copy_only=False)
+            many = np.array([0 if t is None else t.count("\n") + 1 for t in texts], dtype=np.int64)
+            owner = np.repeat(np.arange(len(texts)), many)
+            line = np.arange(len(owner)) - np.repeat(np.cumsum(many) - many, many)
+            at = _place(h[owner], line, bits)
+            hit = np.flatnonzero(wanted[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            out, last, cut_ = [], -1, []
+            for i, k in zip(owner[hit].tolist(), line[hit].tolist()):
+                if i != last:
+                    cut_, last = folded(texts[i]).split(b"\n"), i
+                out.append(b" ".join(cut_[k].split()).decode("utf-8", "replace"))
+            own = pa.array(owner[hit])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(line[hit].astype(np.int32)), pa.array(out, pa.string())], names=names)
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of key and short: each once, and only where a key has several."""
-    k, s, tied = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), False  # the last row, and whether it shares its key
+def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds the SimHash fingerprint, and parities in 512 classes, of words whose repetitions are told apart."""
     for b in batches:
-        k, s = np.append(k, b.column(0).to_numpy()), np.append(s, b.column(1).to_numpy())
-        if not len(k):
-            continue
-        new = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]))
-        k, s = k[new], s[new]
-        same = np.append(tied, k[1:] == k[:-1])
-        keep = same[:-1] | same[1:]
-        yield pa.RecordBatch.from_arrays([pa.array(k[:-1][keep]), pa.array(s[:-1][keep])], names=["key", "short"])
-        k, s, tied = k[-1:], s[-1:], bool(same[-1])
-    if tied:
-        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(s)], names=["key", "short"])
+        words = b.column(b.schema.get_field_index("words")).to_pylist()
+        n = np.array([w.count(" ") + 1 for w in words], dtype=np.int64)
+        e = words_of([" ".join(words).encode("utf-8", "replace")])[4] if words else np.zeros(0, dtype=np.uint64)
+        m = _mix(_numbered(e, n, np.ones(len(n), dtype=bool)))
+        place, bit = m >> np.uint64(61), np.uint64(1) << (m >> np.uint64(55) & np.uint64(63))
+        starts = np.cumsum(n) - n
+        par = [np.bitwise_xor.reduceat(np.where(place == k, bit, np.uint64(0)), starts) if len(n) else m for k in range(8)]
+        fp = majority(m, n)
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64)), *[pa.array(v.view(np.int64)) for v in par]], names=[*b.schema.names, "fp", *EXACT])
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows in order of key: those whose key different lines have; some of them may come twice."""
+    at: tuple[int, int] | None = None  # the last key and its first line
+    told = False  # whether that key is known to be shared, and the line has been told
     for b in batches:
-        c = Counter(w for t in b.column(0) for line in folded(t.as_py() or "") for w in line.split())
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())], names=["word", "n"])
-
-
-def _ranks(base: DataFrame) -> dict[bytes, int]:
-    """How frequent the words of some texts are. It sets the order in which words become keys, so the cost of the join;
-    any order gives the same links."""
-    some = base.select(F.substring("text", 1, 20000).alias("text")).filter("text is not null").limit(2000)
-    top = some.mapInArrow(_counts, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(20_000)
-    return {bytes(r["word"]): int(1000 * math.log2(r["n"] + 1)) for r in top.collect()}
-
-
-def within(similarity: float):
-    """Columns and a test for links: pairs whose edits may be few enough, by their lengths and by the parities of 512 classes
-    of words. It loses no pair: an edit changes two words at most, a word one parity."""
+        k, s = b.column(0).to_numpy(), b.column(1).to_numpy()
+        if not len(k):
+            continue
+        if at is not None:
+            k, s = np.append(at[0], k), np.append(at[1], s)
+        start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
+        group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(k))))
+        shared = np.logical_or.reduceat(s != s[start][group], start)
+        shared[0] |= told
+        keep = shared[group]
+        if told:
+            keep[0] = False
+        at, told = (int(k[-1]), int(s[start[-1]])), bool(shared[-1])
+        k, s = k[keep], s[keep]
+        order = np.lexsort((s, k))
+        k, s = k[order], s[order]
+        once = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]))[: len(k)]
+        yield pa.RecordBatch.from_arrays([pa.array(k[once]), pa.array(s[once])], names=["key", "short"])
+
+
+def within(similarity: float, parity: list[str]):
+    """Columns and a test for links: pairs whose edits may be few enough, by their lengths and by the parities of classes of
+    words. It loses no pair: an edit changes two words at most, a word one parity."""
 
     def test(*v: np.ndarray) -> np.ndarray:
-        *par, n = v[: len(PARITY) + 1]
-        *par2, n2 = v[len(PARITY) + 1 :]
+        *par, n = v[: len(parity) + 1]
+        *par2, n2 = v[len(parity) + 1 :]
         apart, edits = np.abs(n.astype(np.int64) - n2), allowed(np.maximum(n, n2), similarity)
         odd = sum(np.bitwise_count(a.view(np.uint64) ^ b.view(np.uint64)).astype(np.int64) for a, b in zip(par, par2))
         return (apart <= edits) & (odd <= 2 * edits - apart)
 
-    return [*PARITY, "n"], test
-
-
-def _ties(lines: DataFrame, base: DataFrame, min_words: int, similarity: float) -> DataFrame:
-    """Links of nodes (sum) by edit similarity alone. Candidates share a key and pass ``within``; keys that one line has
-    alone go first, as most do. Texts travel once, to the component of their candidates, and are compared there."""
-    distinct = lines.groupBy("sum").agg(*[F.first(c).alias(c) for c in ("fp", *PARITY, "n", "short")], F.min(F.struct("id", "h", "line")).alias("first"))
-    distinct = cut(distinct)
-    n, near = distinct.count(), within(similarity)
-    keys = base.mapInArrow(_keyed(min_words, similarity, _ranks(base)), "key bigint, short bigint")
-    met = cut(keys.repartition("key").sortWithinPartitions("key", "short").mapInArrow(_shared, "key bigint, short bigint"))
-    rows = met.join(distinct.select("short", "sum", "fp", *PARITY, "n").hint("shuffle_hash"), "short").select("sum", "fp", *PARITY, "n", F.array("key").alias("keys"))
-    found = links(rows, n, RADIUS, node="sum", buckets="keys", near=near)
-    parts = cut(connected_components(found)).withColumnRenamed("node", "sum")
-    wanted = cut(distinct.join(parts.hint("shuffle_hash"), "sum").select("sum", "fp", *PARITY, F.col("n").alias("words_n"), F.xxhash64("root").alias("part"), F.col("first.id").alias("wid"), F.col("first.h").alias("wh"), "first.line"))
-    texts = base.join(wanted.hint("shuffle_hash"), F.expr("id <=> wid and h = wh")).select("text", "line", "sum", "fp").mapInArrow(_texts, "sum binary, fp bigint, words string").dropDuplicates(["sum"])
-    texts = cut(texts.join(wanted.select("sum", *PARITY, F.col("words_n").alias("n"), F.array("part").alias("part")), "sum"))
-    return links(texts, n, RADIUS, node="sum", tile=512, verify=alike(similarity), payload="words", buckets="part", near=near)
-
-
-def _near_ties(nodes: DataFrame, base: DataFrame, distance: int, similarity: float) -> DataFrame:
-    """Links of nodes (sum) whose fingerprints differ in ``distance`` bits or fewer and that have the similarity."""
-    prints = nodes.groupBy("fp").agg(F.count("*").alias("lines"))
-    # which fingerprints have a neighbour at all: only their lines' texts are fetched and compared
-    near = links(prints.select("fp"), n := prints.count(), distance)
-    # both ends of one evaluation: which row of a group is its root may differ from one to the next
-    ends = near.select(F.explode(F.array("a", "b")).alias("fp")).union(prints.filter("lines > 1").select("fp")).distinct()
-    wanted = nodes.join(ends, "fp").select("sum", "fp", "first.*")
-    texts = cut(
-        base.join(wanted.withColumnsRenamed({"id": "wid", "h": "wh"}).hint("shuffle_hash"), F.expr("id <=> wid and h = wh"))
-        .select("text", "line", "sum", "fp").mapInArrow(_texts, "sum binary, fp bigint, words string").dropDuplicates(["sum"])
-    )
-    return links(texts, n, distance, node="sum", tile=512, verify=alike(similarity), payload="words")
-
-
-def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = 5, distance: int | None = 3, similarity: float = 0.8, min_chars: int | None = None) -> DataFrame:
+    return [*parity, "n"], test
+
+
+def _ties(lines: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
+    """Links of nodes (sum) by edit similarity. Candidates share a key and pass ``within``; keys that one line has alone go
+    first, as most do. The texts of lines that have candidates travel once, and are compared with those that candidates
+    reach from them."""
+    own = ["sum", *PARITY, "n"]
+    dealt = lines.select(F.explode("keys").alias("key"), "short").repartition("key").sortWithinPartitions("key")  # by one number: a radix sort
+    met = cut(dealt.mapInArrow(_shared, "key bigint, short bigint"))
+    some = met.select("short").distinct().withColumnRenamed("short", "s")
+    sketched = lines.filter("keyed").select("short", *own, "id", "h", "line")
+    cards = cut(sketched.join(some.hint("shuffle_hash"), F.col("short") == F.col("s"), "left_semi").dropDuplicates(["sum"]))
+    n = cards.count()
+    rows = met.join(cards.hint("shuffle_hash"), "short").select(*own, F.array("key").alias("keys"), F.col("short").alias("fp"))
+    # any fingerprints may meet here: the radius is that of texts, below
+    parts = cut(connected_components(links(rows, n, 64, node="sum", buckets="keys", near=within(similarity, PARITY)))).withColumnRenamed("node", "sum")
+    wanted = cut(cards.join(parts.hint("shuffle_hash"), "sum").select("sum", "n", F.xxhash64("root").alias("part"), F.col("id").alias("wid"), F.col("h").alias("wh"), F.col("line").alias("wline")))
+    bits, marks = _bit_map(wanted.select(F.col("wh").alias("h"), F.col("wline").alias("line")), wanted.count())
+    kind = dict(base.dtypes)["id"]
+    texts = base.mapInArrow(_texts(bits, marks), f"id {kind}, h bigint, line int, words string")
+    found = texts.join(wanted.hint("shuffle_hash"), F.expr("id <=> wid and h = wh and line = wline")).dropDuplicates(["sum"])
+    compared = found.select("sum", "n", F.array("part").alias("part"), "words", (F.octet_length("words") + 64).alias("bytes"))
+    spec = "sum binary, n int, part array<bigint>, words string, bytes int, fp bigint, " + ", ".join(f"{q} bigint" for q in EXACT)
+    compared = cut(compared.mapInArrow(_told_apart, spec))
+    return links(compared, n, RADIUS, node="sum", tile=TILE_BYTES, verify=alike(similarity), payload="words", buckets="part", near=within(similarity, EXACT), weight="bytes")
+
+
+def duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, similarity: float = 0.8, min_chars: int = MIN_CHARS) -> DataFrame:
     """The lines to remove: ``id, h, lines``, a row for each document that loses some (h: XXH64 of its text; lines: their
     numbers from 0).
 
-    Lines of ``min_words`` words or more are compared after normalisation. Two link if the SimHash fingerprints of their
-    words differ in ``distance`` bits or fewer and their edit similarity (by words) is ``similarity`` or more (without ``distance``: the similarity alone decides); in each connected group
-    the line of the smallest (key, text hash, line number) stays. Shorter lines never go, but for
-    those of ``min_chars`` characters or more after normalisation, if it is given (and no ``distance``): these go if they are equal. Equal lines are one node. Null texts
-    have no lines; null keys come first in that order; rows that repeat key and text are one document."""
-    base = docs.select(F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
-    if distance is None:
-        lines = cut(base.mapInArrow(_sketched(min_words, min_chars), "id bigint, h bigint, line int, sum binary, fp bigint, " + ", ".join(f"{p} bigint" for p in PARITY) + ", n int, short bigint"))
-    else:
-        lines = cut(base.mapInArrow(_lines(min_words), "id bigint, h bigint, line int, sum binary, fp bigint"))
-    place = F.struct("id", "h", "line")
-    nodes = cut(lines.groupBy("sum").agg(F.min("fp").alias("fp"), F.min(place).alias("first"), F.count("*").alias("n")))
-    ties = _near_ties(nodes, base, distance, similarity) if distance is not None else _ties(lines, base, min_words, similarity)
-    roots = connected_components(ties).withColumnsRenamed({"node": "sum"})
+    Lines of ``min_words`` words or more are compared after normalisation. Two link if their edit similarity (by words) is
+    ``similarity`` or more; in each connected group the line of the smallest (key, text hash, line number) stays. Shorter
+    lines of ``min_chars`` characters or more after normalisation, which unspaced scripts have too, go if they are equal;
+    others never go. Equal lines are one node. How many pairs are found at which similarity: see ``bucket_keys``. Null
+    texts have no lines; null keys come first in that order; rows that repeat key and text are one document; keys may be
+    of any type that Spark orders. An empty table gives none."""
+    kind = dict(docs.dtypes)[key]
+    base = docs.select(F.col(key).alias("id"), F.xxhash64(F.col(text)).alias("h"), F.col(text).alias("text"))
+    lines = written(base.mapInArrow(_sketched(min_words, min_chars, similarity), _SKETCH.format(kind)), ("sum", "short", *PARITY, "keys.list.element"))
+    roots = cut(connected_components(_ties(lines, base, similarity))).withColumnsRenamed({"node": "sum"})
+    # the smallest key of each node, by sums in hash tables; which of that key's lines it is, is asked of few rows below
+    low = [F.min("id").alias("id"), F.bool_or(F.col("id").isNull()).alias("void")]
+    nodes = lines.groupBy("sum").agg(*low, F.count("*").alias("n"))
     # most lines are alone: they go before anything is grouped
-    in_group = nodes.join(roots.hint("shuffle_hash"), "sum", "left").filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "sum"))
-    first = in_group.groupBy("root").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).filter("n > 1")
-    dup = in_group.select("sum", "root").join(first, "root").select("sum", "keep")
-    gone = lines.join(dup.hint("shuffle_hash"), "sum").filter(place != F.col("keep"))
-    return gone.select("id", "h", "line").distinct().groupBy("id", "h").agg(F.array_sort(F.collect_list("line")).alias("lines"))
-
-
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """``docs`` with the lines of ``duplicates`` taken out of its text; every row stays, with an empty text if all of its
-    lines went, and all other columns stay as they were (a column n_chars is brought up to date)."""
-    gone = duplicates(docs, key, text, **how).withColumnsRenamed({"id": "__id", "h": "__h", "lines": "__gone"})
-    left = docs.join(gone.hint("shuffle_hash"), F.col(key).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__h")), "left")
+    in_group = cut(nodes.join(roots.hint("shuffle_hash"), "sum", "left").filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "sum")))
+    first = in_group.groupBy("root").agg(F.min("id").alias("low"), F.bool_or("void").alias("void"), F.sum("n").alias("n")).filter("n > 1")
+    first = first.select("root", F.when(~F.col("void"), F.col("low")).alias("low"))
+    group = in_group.select("sum", "root").join(first, "root")
+    rows = cut(lines.select("sum", "id", "h", "line").join(group.hint("shuffle_hash"), "sum").select("root", "low", "id", "h", "line"))
+    ours = rows.filter(F.col("id").eqNullSafe(F.col("low")))
+    stay = ours.groupBy("root").agg(F.min(F.struct("h", "line")).alias("stay"))
+    more = ours.join(stay, "root").filter(F.struct("h", "line") != F.col("stay"))
+    gone = rows.filter(~F.col("id").eqNullSafe(F.col("low"))).select("id", "h", "line").union(more.select("id", "h", "line"))
+    out = cut(gone.distinct().groupBy("id", "h").agg(F.array_sort(F.collect_list("line")).alias("lines")))
+    drop(lines)
+    sweep(docs.sparkSession)  # before all texts are shuffled once
+    return out
+
+
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", removed: str = "__removed", **how) -> DataFrame:
+    """``docs`` with the lines of ``duplicates`` taken out of its text, and a column ``removed`` of how many these are; every
+    row stays, with an empty text if all of its lines went, and all other columns stay as they were (a column n_chars is
+    brought up to date; one that has the name ``removed`` is replaced). Nulls, repeated rows and empty tables: see
+    ``duplicates``. Helper columns have names that no column has."""
+    i, h, g = free([*docs.columns, removed], "__id", "__h", "__gone")
+    gone = duplicates(docs, key, text, **how).withColumnsRenamed({"id": i, "h": h, "lines": g})
+    left = docs.join(gone.hint("shuffle_hash"), F.col(key).eqNullSafe(F.col(i)) & (F.xxhash64(F.col(text)) == F.col(h)), "left")
     # the lambda sees the array of numbers as a plain column, so each line costs one search in it
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda _, i: ~F.array_contains(F.col("__gone"), i)), "\n")
-    out = left.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(kept))
+    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1), lambda _, at: ~F.array_contains(F.col(g), at)), "\n")
+    out = left.withColumn(text, F.when(F.col(g).isNull(), F.col(text)).otherwise(kept))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("__removed"))
+        out = out.withColumn("n_chars", F.when(F.col(g).isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")))
+    rest = [c for c in docs.columns if c.lower() != removed.lower()]
+    return out.select(*[F.col(f"`{c}`") for c in rest], F.coalesce(F.size(g), F.lit(0)).cast("long").alias(removed))
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``documents`` without repeated lines: doc_id, text, n_lines (before) and n_removed, a row for each document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).cast("long").alias("n_lines"))
-    return dedup_lines(docs, distance=None, min_chars=MIN_CHARS).withColumnRenamed("__removed", "n_removed")
+    return dedup_lines(docs, removed="n_removed")
