@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 from tracelake.llm.common import table
 
 _TOKEN = re.compile(r"[^\W\d_]+")
-#: Labelled documents that training takes of each class at most (those of smallest hash, from all of the table).
-SAMPLE = 1500
-_KNOWN, _AT_ONCE, _REACH = 300_000, 400_000, 12
+#: Labelled documents that training takes of each class at most (those of smallest hash, from all of the table), and bytes of
+#: their texts (the last may go over it).
+SAMPLE, BYTES = 1500, 32 << 20
+#: Tokens on either side of a toxic one that the chain is trained on, and tokens that it is trained on at most: half for windows
+#: around toxic tokens, which are as many as they are unless this says otherwise, the rest for windows anywhere else.
+REACH, TOKENS = 12, 240_000
+_KNOWN, _AT_ONCE = 300_000, 400_000
 
 
 def stems(word: str) -> list[str]:
@@ -224,7 +228,39 @@ def _pairs(e: np.ndarray, first: np.ndarray, start: np.ndarray, trans: np.ndarra
     return out
 
 
-def fit(texts: list[str], toxic: list[bool], weight: tuple[float, float] = (1.0, 1.0), seed: int = 7) -> Model:
+def _windows(words: list[list[str]], labels: list[list[int]], reach: int, tokens: int, seed: int) -> list[tuple[list[str], list[int]]]:
+    """What the chain is trained on: the surroundings of all labelled tokens, where they meet in one window, and windows
+    without such a token, drawn evenly from all places of all documents. Of either no more than its half of ``tokens``
+    (what the first leaves, the second has), in random order."""
+    rng = np.random.default_rng(seed)
+    hot: list[tuple[int, int, int]] = []
+    for d, ys in enumerate(labels):
+        end = -reach - 1
+        for k in np.flatnonzero(ys).tolist():
+            if k - reach <= end:
+                hot[-1] = (d, hot[-1][1], k + reach)
+            else:
+                hot.append((d, max(0, k - reach), k + reach))
+            end = k + reach
+    out, left = [], tokens // 2
+    for i in rng.permutation(len(hot)).tolist():
+        d, lo, hi = hot[i]
+        if left <= 0:
+            break
+        out.append((words[d][lo:hi], labels[d][lo:hi]))
+        left -= hi - lo
+    left = max(left, 0) + tokens - tokens // 2
+    cells = [(d, lo) for d, ys in enumerate(labels) for lo in range(0, len(ys), 2 * reach) if not any(ys[lo : lo + 2 * reach])]
+    for i in rng.permutation(len(cells)).tolist():
+        d, lo = cells[i]
+        if left <= 0:
+            break
+        out.append((words[d][lo : lo + 2 * reach], labels[d][lo : lo + 2 * reach]))
+        left -= 2 * reach
+    return out
+
+
+def fit(texts: list[str], toxic: list[bool], weight: tuple[float, float] = (1.0, 1.0), seed: int = 7, reach: int = REACH, tokens: int = TOKENS) -> Model:
     """Trains on documents: words by which the toxic ones differ label their tokens, a chain learns these labels, and a
     logistic regression turns a document's marginals into its score. weight: what a clean and a toxic document count.
 
@@ -234,12 +270,7 @@ def fit(texts: list[str], toxic: list[bool], weight: tuple[float, float] = (1.0,
         share = sum(map(bool, toxic)) / len(toxic) if toxic else 0.5
         return Model({}, np.zeros(2), np.zeros((2, 2)), np.array([math.log((share + 1e-6) / (1 - share + 1e-6)), 0.0, 0.0]))
     lexicon = toxic_lexicon(words, toxic)
-    rng, windows = np.random.default_rng(seed), []
-    for ws, y in zip(words, toxic):
-        labels = [int(y and not lexicon.keys().isdisjoint(stems(w.lower()))) for w in ws]
-        hits = [k for k, x in enumerate(labels) if x][:4]
-        spans = [(max(0, k - _REACH), k + _REACH) for k in hits] or ([(k := int(rng.integers(0, len(ws))), k + 2 * _REACH)] if ws else [])
-        windows += [(ws[lo:hi], labels[lo:hi]) for lo, hi in spans]
+    windows = _windows(words, [[int(y and not lexicon.keys().isdisjoint(stems(w.lower()))) for w in ws] for ws, y in zip(words, toxic)], reach, tokens, seed)
     model = Model(*_crf(windows), np.zeros(3))
     del words, windows
     known: dict[str, float] = {}
@@ -255,16 +286,28 @@ def fit(texts: list[str], toxic: list[bool], weight: tuple[float, float] = (1.0,
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, folds: int = 5, size: int = BYTES) -> Model:
     """Fits on labelled documents whose crc32(doc_id as text) mod ``folds`` is not 0: at most ``sample`` of each class, those
-    of smallest hash among all. Rows without a label, a key or a text do not count; a key with both labels is toxic."""
+    of smallest hash among all, as long as their texts have ``size`` bytes in all. Rows without a label, a key or a text
+    do not count; a key with both labels is toxic; of rows that repeat a key the least text counts. Empty tables give
+    the model of ``fit`` without documents."""
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % folds != 0)
     total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     order = F.xxhash64("doc_id", F.lit(11))
     picked = known.filter("toxic = 0").orderBy(order).limit(sample).union(known.filter("toxic = 1").orderBy(order).limit(sample))
-    picked = picked.withColumnsRenamed({"doc_id": "id", "toxic": "y"})
-    rows = docs.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).filter("text is not null").select("id", "text", "y").dropDuplicates(["id"]).collect()  # 2 * sample rows at most
+    picked = picked.select(F.col("doc_id").alias("id"), F.col("toxic").alias("y"), order.alias("o"))
+    have = docs.select("doc_id", "text").filter("text is not null")
+    sizes = have.join(F.broadcast(picked), F.col("doc_id") == F.col("id")).groupBy("id", "y", "o").agg(F.max(F.octet_length("text")).alias("n")).collect()  # 2 * sample rows at most
+    taken, left = [], {0: size, 1: size}
+    for r in sorted(sizes, key=lambda r: (r["o"], r["id"])):
+        if left[r["y"]] > 0:
+            taken.append((r["id"], r["y"]))
+            left[r["y"]] -= r["n"]
+    if not taken:
+        return fit([], [])
+    chosen = docs.sparkSession.createDataFrame(taken, picked.select("id", "y").schema)
+    rows = have.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).groupBy("id", "y").agg(F.min("text").alias("text")).collect()  # bounded by sample and size
     rows.sort(key=lambda r: r["id"])
     toxic = [r["y"] == 1 for r in rows]
     weight = tuple(total.get(v, 0) / max(1, sum(y == bool(v) for y in toxic)) for v in (0, 1))
@@ -306,7 +349,8 @@ def _tag(model: Model, least: float):
 
 def tag(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
     """id, score and spans (start, end, word, marginal) of every row of ``docs``. A null or empty text has no spans and the
-    score of a document without toxic tokens. The model is a few MB, whatever the corpus."""
+    score of a document without toxic tokens. Null and repeated keys are rows like others; an empty table gives none; other
+    columns of ``docs`` are not looked at. The model is a few MB, whatever the corpus."""
     kind = dict(docs.dtypes)[key]
     return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(_tag(model, least), f"id {kind}, score double, spans {_SPAN}")
 
