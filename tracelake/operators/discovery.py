@@ -14,12 +14,20 @@ from tracelake.operators import stats
 #: Pairs of activity sets that the net search looks at, at most.
 CANDIDATES = 65_536
 DEPTH = 128
+#: Different traces that a tree is made of, at most.
+TRACES = 200_000
 
 
 def graph(cases: DataFrame, by_type: bool = False) -> dict:
     """edges [source, target(, type), n], starts and ends (merged over types), activities."""
-    edges = sorted(([*r] for r in stats.dfg(cases, by_type).select("source", "target", *(["object_type"] if by_type else []), "frequency").collect()), key=lambda r: [str(x) for x in r])
-    start, end = ({r[0]: r[1] for r in f(cases).orderBy("activity").collect()} for f in (stats.starts, stats.ends))
+    kind, none = F.col("object_type") if by_type else F.lit(None).cast("string"), F.lit(None).cast("string")
+    mark = lambda when, k, b, t: F.when(when, F.struct(F.lit(k).alias("k"), F.col("activity").alias("a"), b.alias("b"), t.alias("t")))
+    more = F.col("next_activity").isNotNull()
+    # what an event counts for, as one to three rows of one aggregate: the log is read and sorted once
+    marks = F.array(mark(more, "edge", F.col("next_activity"), kind), mark(F.col("pos") == 1, "start", none, none), mark(~more, "end", none, none))
+    rows = cases.select(F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("m")).groupBy("m.k", "m.a", "m.b", "m.t").agg(F.count("*").alias("n")).collect()
+    edges = sorted(([r["a"], r["b"], *([r["t"]] if by_type else []), r["n"]] for r in rows if r["k"] == "edge"), key=lambda r: [str(x) for x in r])
+    start, end = ({r["a"]: r["n"] for r in sorted(rows, key=lambda r: r["a"]) if r["k"] == k} for k in ("start", "end"))
     names = sorted({e[0] for e in edges} | {e[1] for e in edges} | set(start) | set(end))
     return {"type": "dfg", "activities": names, "edges": edges, "starts": start, "ends": end}
 
@@ -116,8 +124,10 @@ def _merge(pairs) -> Counter:
 
 
 def process_tree(cases: DataFrame) -> dict:
-    """From distinct traces and their counts: these come to the driver, cases do not."""
-    rows = stats.case_summary(cases).groupBy("activities").agg(F.count("*").alias("n")).collect()
+    """From distinct traces and their counts: these come to the driver, cases do not. TRACES of them at most."""
+    rows = stats.case_summary(cases).groupBy("activities").agg(F.count("*").alias("n")).limit(TRACES + 1).collect()
+    if len(rows) > TRACES:
+        raise EngineError("resource_limit", f"over {TRACES} different traces")
     return {"type": "process_tree", "root": _tree(_merge((tuple(r["activities"]), r["n"]) for r in rows))}
 
 
@@ -126,14 +136,15 @@ def declare(cases: DataFrame, support: float = 0.8, strict: bool = False) -> Dat
     followed by some b.
 
     base: executions with a for existence, all for response; executions without a hold vacuously, which confidence counts
-    against those with a, so it may be over 1 (strict: only executions with a count). Pairs are made of the activities an
-    execution has, after one aggregate for each (execution, activity)."""
+    against those with a, so it may be over 1 (strict: only executions with a count). Pairs are made within a row of the
+    activities an execution has, each with its last place."""
     at = cases.groupBy("execution_id", "activity").agg(F.max("pos").alias("last"))
     total = cases.agg(F.count_if(F.col("pos") == 1)).first()[0]
     has = at.groupBy("activity").agg(F.count("*").alias("with_a"))
     existence = has.select(F.lit("existence").alias("template"), F.col("activity").alias("a"), F.lit(None).cast("string").alias("b"), F.col("with_a").alias("holds"), F.lit(total).cast("long").alias("base"), (F.col("with_a") / F.lit(max(1, total))).alias("confidence"))
-    both = at.alias("x").join(at.alias("y"), F.expr("x.execution_id = y.execution_id and x.activity != y.activity and x.last < y.last"))
-    met = both.groupBy(F.col("x.activity").alias("a"), F.col("y.activity").alias("b")).agg(F.count("*").alias("met"))
+    held = at.groupBy("execution_id").agg(F.collect_list(F.struct("activity", "last")).alias("h"))
+    pairs = F.expr("flatten(transform(h, x -> transform(filter(h, y -> x.last < y.last), y -> struct(x.activity as a, y.activity as b))))")
+    met = held.select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count("*").alias("met"))
     pair = met.join(has.withColumnRenamed("activity", "a"), "a")
     holds = F.col("met") if strict else F.col("met") + F.lit(total) - F.col("with_a")
     response = pair.select(F.lit("response").alias("template"), "a", "b", holds.cast("long").alias("holds"), F.lit(total).cast("long").alias("base"), (holds / F.col("with_a")).alias("confidence"), F.col("with_a"))

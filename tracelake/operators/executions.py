@@ -112,14 +112,16 @@ def leading(log: Log, view: View = View(), object_type: str | None = None, every
 
 def components(log: Log, view: View = View()) -> DataFrame:
     """Executions that are connected components of objects, by shared events and O2O links of the whole log; then the view
-    says which members and events count. execution_id is the smallest object id of the component."""
+    says which members and events count. execution_id is the smallest object id of the component, members how many count."""
     # a star for each event instead of all pairs of its objects
     hub = log.e2o.groupBy("event_id").agg(F.min("object_id").alias("hub"))
     edges = log.e2o.join(hub, "event_id").select(F.col("object_id").alias("a"), F.col("hub").alias("b")).union(log.o2o.select("source_object_id", "target_object_id"))
     found = connected_components(edges)
     member = object_filter(log, view).join(found, F.col("object_id") == F.col("node"), "left").withColumn("execution_id", F.coalesce("root", "object_id"))
     events = event_filter(log.events, view).select("event_id", "external_event_id", "activity", "ts", "seq", "lifecycle", "attributes")
-    met = links(log, view).dropDuplicates(["event_id", "object_id"]).join(member.select("object_id", "execution_id", F.col("object_type").alias("member_type")), "object_id").join(events, "event_id")
+    member = member.select("object_id", "execution_id", F.col("object_type").alias("member_type"))
+    member = member.join(member.groupBy("execution_id").agg(F.count("*").alias("members")), "execution_id")
+    met = links(log, view).dropDuplicates(["event_id", "object_id"]).join(member, "object_id").join(events, "event_id")
     return _within(met.withColumn("object_type", F.lit("connected_component")), view)
 
 

@@ -5,19 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions.order import numbered
 from tracelake.model import EngineError
 
 
 def coverage_model(rows: DataFrame, keys: list[str], coverage: float, train: str = "train") -> DataFrame:
     """The fewest rows, by count and then key, whose counts reach ceil(coverage * total); rows without a count never.
 
-    ``rows`` has a row for each model element (edges, variants), so the running sum is over few rows."""
+    The cut falls within the rows of one count: a running sum over the different counts, which are few, finds it. Rows of
+    larger counts are in, of smaller ones out, and those of that count alone are put in order."""
     if not 0 < coverage <= 1:
         raise EngineError("invalid_request", "coverage is over 0, 1 at most")
-    order = Window.orderBy(F.desc(train), *keys)
-    before = F.coalesce(F.sum(train).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    need = F.ceil(F.sum(train).over(Window.partitionBy()) * F.lit(coverage) - F.lit(1e-9))
-    return rows.filter(F.col(train) > 0).withColumn("_before", before).withColumn("_need", need).filter("_before < _need").drop("_before", "_need")
+    some = rows.filter(F.col(train) > 0)
+    sizes = some.groupBy(F.col(train).alias("c")).agg(F.count("*").alias("n")).withColumn("s", F.col("c") * F.col("n"))
+    up_to = F.sum("s").over(Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, 0))  # a row for each count
+    need = F.ceil(F.sum("s").over(Window.partitionBy()) * F.lit(coverage) - F.lit(1e-9))
+    at = sizes.withColumn("up", up_to).withColumn("need", need).filter("up >= need").orderBy(F.desc("c")).first()
+    if at is None:
+        return some.limit(0)
+    more = -(-int(at["need"] - (at["up"] - at["s"])) // int(at["c"]))  # rows of that count that are needed
+    own = some.filter(F.col(train) == at["c"])
+    if more >= at["n"]:
+        return some.filter(F.col(train) >= at["c"])
+    last = own.orderBy(*keys).limit(more) if more <= 10_000 else numbered(own, "_n", *keys).filter(F.col("_n") <= more).drop("_n")
+    return some.filter(F.col(train) > at["c"]).union(last.select(*some.columns))
 
 
 def frequency_conformance(rows: DataFrame, keys: list[str], coverage: float) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions.order import numbered
 from tracelake.model import EngineError
 from tracelake.operators.executions import ORDER, seconds
 
@@ -19,11 +20,12 @@ def prefixes(cases: DataFrame, order: int = 3, tabular: bool = False, outcome: C
     own = Window.partitionBy("execution_id").orderBy(*ORDER)
     last = F.max("ts").over(Window.partitionBy("execution_id"))
     recent = F.collect_list("activity").over(own.rowsBetween(-(max(order, 1) - 1), 0))
-    p = cases.select("execution_id", "event_id", "pos", "next_activity", seconds(last, F.col("ts")).alias("remaining"), recent.alias("_r"), (outcome if outcome is not None else F.lit(None)).cast("boolean").alias("outcome"))
+    members = F.col("members") if "members" in cases.columns else F.lit(1)  # a leading execution is of one object
+    p = cases.select("execution_id", "event_id", "pos", members.alias("_o"), "next_activity", seconds(last, F.col("ts")).alias("remaining"), recent.alias("_r"), (outcome if outcome is not None else F.lit(None)).cast("boolean").alias("outcome"))
     p = p.withColumn("length", F.explode(F.sequence(F.lit(0), F.least(F.lit(order), F.size("_r")))))
     tail = F.when(F.col("length") == 0, F.lit("")).otherwise(F.array_join(F.expr("slice(_r, -greatest(length, 1), greatest(length, 1))"), ">"))
-    key = F.concat_ws("|", tail, F.col("pos").cast("string"), F.lit("1")) if tabular else tail
-    return p.withColumn("key", key).drop("_r")
+    key = F.concat_ws("|", tail, F.col("pos").cast("string"), F.col("_o").cast("string")) if tabular else tail
+    return p.withColumn("key", key).drop("_r", "_o")
 
 
 def fit(cases: DataFrame, order: int = 3, tabular: bool = False, outcome: Column | None = None) -> dict[str, DataFrame]:
@@ -67,13 +69,10 @@ def predict(model: dict[str, DataFrame], cases: DataFrame, target: str, order: i
 
 
 def holdout(cases: DataFrame, share: float = 0.7) -> tuple[DataFrame, DataFrame]:
-    """(training, test) events: executions by the time they end, the earlier share trains. Ranks by a window over one row for
-    each execution."""
-    ends = cases.groupBy("execution_id").agg(F.max("ts").alias("_end"))
-    # percent_rank would need one task too; the cut is a time, found exactly from the ends alone
-    n = ends.count()
-    k = int(n * share)
-    split = ends.orderBy("_end", "execution_id").limit(k).select("execution_id") if k else ends.limit(0).select("execution_id")
+    """(training, test) events: executions by the time they end, the earlier share trains. Executions are numbered in ranges
+    side by side, not in one task."""
+    ends = numbered(cases.groupBy("execution_id").agg(F.max("ts").alias("_end")), "_n", "_end", "execution_id")
+    split = ends.filter(F.col("_n") <= int(ends.count() * share)).select("execution_id")
     return cases.join(split, "execution_id", "left_semi"), cases.join(split, "execution_id", "left_anti")
 
 

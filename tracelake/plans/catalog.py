@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
+import uuid
 from collections.abc import Callable
 from datetime import datetime, timezone
 
@@ -9,9 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.engine import closure
-from tracelake.model import Log, View, validate
+from tracelake.functions.storage import cut, shared_dir
+from tracelake.model import Log, View, canonical_json, validate
 from tracelake.operators import bottlenecks, conformance, constraints, discovery, enhancement, executions, kernels, prediction, risk, stats
-from tracelake.sources import demo
+from tracelake.sources import demo, readers, writers
+from tracelake.streaming.append import Summary, append
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -46,6 +52,10 @@ def _full(log: Log, **view) -> DataFrame:
     return executions.ordered(executions.leading(log, View(**view)))
 
 
+def _rounded(df: DataFrame, *names: str, digits: int = 3) -> DataFrame:
+    return df.withColumns({n: F.round(n, digits) for n in names})
+
+
 def _d(a: str = "nxt_ts", b: str = "ts") -> str:
     return f"((epoch_us({a}) - epoch_us({b})) / 1e6)"
 
@@ -70,7 +80,17 @@ def activity_histogram(log):
     return log.events.groupBy("activity").agg(F.count("*").alias("events"))
 
 
-@query(B)
+_COUNTS = {
+    "event_text_empty": "ev WHERE activity = ''", "object_text_empty": "ob WHERE object_type = ''", "event_id_repeated": "(SELECT event_id FROM ev GROUP BY 1 HAVING count(*) > 1)",
+    "external_event_id_repeated": "(SELECT 'e' || lpad(CAST(event_id AS VARCHAR), 18, '0') FROM ev GROUP BY 1 HAVING count(*) > 1)", "object_id_repeated": "(SELECT object_id FROM ob GROUP BY 1 HAVING count(*) > 1)",
+    "e2o_relation_repeated": "(SELECT event_id, qualifier FROM eo GROUP BY 1, 2 HAVING count(*) > 1)", "o2o_relation_repeated": "(SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)",
+    "e2o_event_missing": "eo ANTI JOIN ev USING (event_id)", "e2o_object_missing": "eo ANTI JOIN ob USING (object_id)", "o2o_source_missing": "(SELECT o_orderkey * 4 AS object_id FROM orders) ANTI JOIN ob USING (object_id)",
+    "o2o_target_missing": "(SELECT o_custkey * 4 + 1 AS object_id FROM orders) ANTI JOIN ob USING (object_id)", "o2o_interval_empty": "orders WHERE NULL <= o_orderdate", "attribute_object_missing": "(SELECT o_orderkey * 4 AS object_id FROM orders) ANTI JOIN ob USING (object_id)",
+    "attribute_change_repeated": "(SELECT o, n, t FROM (SELECT o_orderkey AS o, unnest(['priority', 'status', 'status']) AS n, unnest([o_orderdate, o_orderdate, o_orderdate + INTERVAL 7 DAY]) AS t FROM orders) GROUP BY ALL HAVING count(*) > 1)",
+}
+
+
+@query(B, " UNION ALL ".join(f"SELECT '{k}' AS rule, count(*) AS violations FROM {v}" for k, v in _COUNTS.items()))
 def validation(log):
     return validate(log)
 
@@ -393,12 +413,13 @@ def binding_neighbor_pairs(log):
     return constraints.neighbor_pairs(log, "customer", "order").select("source", F.size("targets").cast("long").alias("targets"))
 
 
-@query(B)
+@query(B, "SELECT DISTINCT o_custkey * 4 + 1 AS source, o_orderkey * 4 AS target, o_orderstatus IS NOT NULL AS violated FROM orders")
 def binding_attribute_equal(log):
     return constraints.neighbor_attribute_equal(log, "customer", "order", "status")
 
 
-@query(B)
+@query(B, """SELECT p.l_orderkey * 4 AS source, bool_or(o.supp IS NULL) AS violated FROM (SELECT DISTINCT l_orderkey, l_partkey FROM li) p JOIN (SELECT DISTINCT l_partkey, supp FROM li) r ON p.l_partkey = r.l_partkey
+LEFT JOIN (SELECT DISTINCT l_orderkey, supp FROM li) o ON o.l_orderkey = p.l_orderkey AND o.supp = r.supp GROUP BY 1""")
 def binding_universal_equal(log):
     return constraints.relation_universal_equal(log, "order", "part", "supplier")
 
@@ -518,10 +539,11 @@ def _model(log: Log, **view) -> dict:
 
 @query(B, """, f AS (SELECT *, min(ts) OVER (PARTITION BY object_id) AS a FROM y WHERE object_type = 'order'), m AS (SELECT DISTINCT activity, nxt FROM f WHERE nxt IS NOT NULL AND a < TIMESTAMP '1996-01-01'),
 s AS (SELECT f.object_id, m.activity IS NOT NULL AS ok FROM f LEFT JOIN m ON f.activity = m.activity AND f.nxt = m.nxt WHERE f.nxt IS NOT NULL)
-SELECT count(*) AS steps, count(*) FILTER (ok) AS conforming, round(count(*) FILTER (ok) / count(*), 9) AS fitness, count(DISTINCT object_id) FILTER (NOT ok) AS violating_executions FROM s""")
+SELECT count(*) AS steps, count(*) FILTER (ok) AS conforming, round(count(*) FILTER (ok) / count(*), 9) AS fitness, count(DISTINCT object_id) FILTER (NOT ok) AS violating_executions,
+round((SELECT count(*) FROM m SEMI JOIN (SELECT activity, nxt FROM f) USING (activity, nxt)) / greatest((SELECT count(*) FROM m), 1), 9) AS precision, round(1.0 / (1 + (SELECT count(*) FROM m)), 9) AS simplicity FROM s""")
 def conformance_frequency(log):
     c = conformance.frequency_coverage(_cases(log, object_types=("order",)), _model(log, object_types=("order",)))
-    return c.select("steps", "conforming", F.round("fitness", 9).alias("fitness"), "violating_executions")
+    return _rounded(c, "fitness", "precision", "simplicity", digits=9)
 
 
 @query(B)
@@ -578,10 +600,6 @@ work AS MATERIALIZED (SELECT i.object_id, i.activity, coalesce(i.before, i.ts) A
 row_number() OVER (ORDER BY i.object_id, j.ts, j.event_id) AS id FROM w4 i JOIN w4 j ON i.object_id = j.object_id AND i.activity = j.activity AND i.nth = j.nth AND i.way = 1 AND j.way = -1 AND j.ts >= i.ts)"""
 
 
-def _rounded(df: DataFrame, *names: str, digits: int = 3) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})
-
-
 _METRICS = ("mean", "minimum", "maximum", "median")
 
 
@@ -750,35 +768,190 @@ def remaining_time_summary(log):
     return prediction.fit(_cases(log), order=1)["remaining"].withColumn("mean", F.round("mean", 3))
 
 
-@query(A)
+#: Histories of up to three activities, by event, with the next one and the seconds that remain; the earlier seven tenths of cases train.
+_HISTORY = f""", h AS (SELECT object_id, event_id, activity AS a0, prv AS a1, lag(activity, 2) OVER (PARTITION BY object_id ORDER BY pos) AS a2, nxt, {_d('max(ts) OVER (PARTITION BY object_id)', 'ts')} AS rest FROM x),
+f AS (SELECT object_id, row_number() OVER (ORDER BY max(ts), object_id) <= floor(0.7 * count(*) OVER ()) AS early FROM x GROUP BY 1),
+k AS (SELECT object_id, event_id, nxt, rest, early, length, key FROM (SELECT *, 0 AS length, '' AS key FROM h UNION ALL SELECT *, 1, a0 FROM h UNION ALL SELECT *, 2, a1 || '>' || a0 FROM h WHERE a1 IS NOT NULL UNION ALL SELECT *, 3, a2 || '>' || a1 || '>' || a0 FROM h WHERE a2 IS NOT NULL) JOIN f USING (object_id)),
+b AS (SELECT key, length, nxt AS prediction, n / sum(n) OVER (PARTITION BY key, length) AS probability, row_number() OVER (PARTITION BY key, length ORDER BY n DESC, nxt) AS r FROM (SELECT key, length, nxt, count(*) AS n FROM k WHERE nxt IS NOT NULL AND TRAIN GROUP BY ALL)),
+m AS (SELECT k.*, prediction, probability, row_number() OVER (PARTITION BY event_id ORDER BY length DESC) AS q FROM k JOIN b USING (key, length) WHERE r = 1 AND TEST)"""
+
+
+@query(A, _HISTORY.replace("TRAIN", "true").replace("TEST", "true") + " SELECT object_id AS execution_id, event_id, length AS matched, prediction, round(probability, 9) AS probability FROM m WHERE q = 1")
 def predict_next(log):
     cases = _cases(log)
-    return prediction.predict(prediction.fit(cases), cases, "next_activity")
+    return _rounded(prediction.predict(prediction.fit(cases), cases, "next_activity"), "probability", digits=9)
 
 
-@query(A)
+@query(A, _HISTORY.replace("TRAIN", "early").replace("TEST", "NOT early") + " SELECT count(*) AS n, round(avg(CASE WHEN prediction = nxt THEN 1.0 ELSE 0 END), 9) AS score FROM m WHERE q = 1 AND nxt IS NOT NULL")
 def holdout_next(log):
-    return prediction.evaluate(_cases(log), "next_activity")
+    return _rounded(prediction.evaluate(_cases(log), "next_activity"), "score", digits=9)
 
 
-@query(A)
+@query(A, _HISTORY.replace("TRAIN", "early").replace("TEST", "NOT early") + """, i AS (SELECT key, length, rest, row_number() OVER (PARTITION BY key, length ORDER BY rest) - 1 AS i, count(*) OVER (PARTITION BY key, length) AS n FROM k WHERE early),
+g AS (SELECT key, length, avg(rest) AS mean, min(rest) FILTER (i = round(0.1 * (n - 1))) AS p10, min(rest) FILTER (i = round(0.9 * (n - 1))) AS p90 FROM i GROUP BY 1, 2),
+t AS (SELECT k.rest, mean, p10, p90, row_number() OVER (PARTITION BY event_id ORDER BY length DESC) AS q FROM k JOIN g USING (key, length) WHERE NOT early)
+SELECT count(*) AS n, round(avg(abs(mean - rest)), 2) AS score, round(avg(CASE WHEN rest BETWEEN p10 AND p90 THEN 1.0 ELSE 0 END), 9) AS coverage FROM t WHERE q = 1""")
 def holdout_remaining(log):
-    return prediction.evaluate(_cases(log), "remaining_time")
+    return _rounded(_rounded(prediction.evaluate(_cases(log), "remaining_time"), "score", digits=2), "coverage", digits=9)
 
 
 @query(A)
 def risk_model(log):
-    obs = executions.observations(log, View(end=_t(10)))
+    obs = executions.observations(log)
     return risk.detect(obs, risk.fit(obs))
 
 
-@query(B, """SELECT count(DISTINCT r) AS components, count(*) AS objects FROM (SELECT object_id, 0 AS r FROM ob)""")
+#: Smallest reachable node of each, by labels that go along edges until none falls.
+_LABELS = """, cc AS (WITH RECURSIVE cc(id, comp) USING KEY (id) AS (SELECT id, id FROM nodes UNION (SELECT DISTINCT ON (u.id) u.id, v.comp FROM recurring.cc AS u, edges e, recurring.cc AS v WHERE e.a = u.id AND e.b = v.id AND v.comp < u.comp ORDER BY u.id, v.comp)) SELECT * FROM cc)"""
+
+
+@query(B, f""", star AS (SELECT object_id AS a, min(object_id) OVER (PARTITION BY event_id) AS b FROM eo UNION SELECT o_orderkey * 4, o_custkey * 4 + 1 FROM orders), edges AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM star UNION ALL SELECT b, a FROM star) WHERE a <> b), nodes AS (SELECT object_id AS id FROM ob)
+{_LABELS} SELECT count(DISTINCT comp) AS components, count(*) AS objects, CAST(min(comp) AS BIGINT) AS least FROM cc""")
 def object_components(log):
     c = executions.components(log)
-    return c.select("object_id", "execution_id").distinct().agg(F.count_distinct("execution_id").alias("components"), F.count("*").alias("objects"))
+    return c.select("object_id", "execution_id").distinct().agg(F.count_distinct("execution_id").alias("components"), F.count("*").alias("objects"), F.min("execution_id").alias("least"))
+
+
+@query(B, f""", own AS (SELECT event_id, object_id FROM eo JOIN ev USING (event_id) WHERE activity = 'ship' AND ((event_id - 1) // 3) % 4000000 % 40 = 0 AND qualifier IN ('order', 'part')),
+star AS (SELECT object_id AS a, min(object_id) OVER (PARTITION BY event_id) AS b FROM own), edges AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM star UNION ALL SELECT b, a FROM star) WHERE a <> b), nodes AS (SELECT DISTINCT object_id AS id FROM own)
+{_LABELS} SELECT id AS object_id, comp AS execution_id, count(*) OVER (PARTITION BY comp) AS members FROM cc""")
+def object_components_of_some(log):
+    """Of every fortieth part and the orders that it ships in: many components."""
+    ship = log.events.filter((F.col("activity") == "ship") & (F.floor((F.col("event_id") - 1) / 3).cast("long") % 4000000 % 40 == 0))
+    own = log.e2o.join(ship, "event_id", "left_semi").filter("qualifier in ('order', 'part')")
+    some = log.having(events=ship, e2o=own, o2o=log.o2o.limit(0))
+    return executions.components(some).select("object_id", "execution_id", "members").distinct()
 
 
 @query(B, """, r AS (SELECT DISTINCT o_orderkey * 4 AS object_id, 0 AS depth FROM orders WHERE o_orderkey = 1), c AS (SELECT DISTINCT o_custkey * 4 + 1 AS object_id, 1 AS depth FROM orders WHERE o_orderkey = 1),
 s AS (SELECT DISTINCT o_orderkey * 4 AS object_id, 2 AS depth FROM orders WHERE o_custkey * 4 + 1 IN (SELECT object_id FROM c) AND o_orderkey <> 1) SELECT * FROM r UNION ALL SELECT * FROM c UNION ALL SELECT * FROM s""")
 def object_closure(log):
     return closure(log, [4], 2)
+
+
+# --- sources and sinks: a log written, read back, and counted ---
+
+
+def _round_trip(log: Log, write: Callable[[Log, str], object], read: Callable[[SparkSession, str], Log], totals: bool = False) -> DataFrame:
+    """By activity: events, first_us, last_us, links to objects, r1 (events whose resource is r1), of ``log`` after a way through a
+    format; the files, in the folder that the cluster shares, go again."""
+    spark = log.events.sparkSession
+    folder = re.sub("^file:/*", "/", f"{shared_dir(spark)}/trip-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    try:
+        write(log, f"{folder}/log")
+        back = read(spark, f"{folder}/log")
+        links = back.e2o.groupBy("event_id").agg(F.count("*").alias("k"))
+        who = F.try_element_at("attributes", F.lit("resource"))["s"]
+        e = back.events.join(links, "event_id", "left")
+        by = e.groupBy("activity").agg(F.count("*").alias("events"), F.unix_micros(F.min("ts")).alias("first_us"), F.unix_micros(F.max("ts")).alias("last_us"), F.sum("k").alias("links"), F.count_if(who == "r1").alias("r1"))
+        if totals:
+            one = [back.objects.agg(F.count("*").alias("objects")), back.o2o.agg(F.count("*").alias("o2o")), back.object_attrs.agg(F.count("*").alias("changes"))]
+            for n in one:
+                by = by.join(n, how="cross")  # one number each
+        return cut(by)
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+
+
+_TRIP = "SELECT activity, count(*) AS events, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us, count(*) AS links, count(*) FILTER (resource = 'r1') AS r1"
+_TRIP_ALL = ", (SELECT count(DISTINCT object_id) FROM x) AS objects, 0 AS o2o, (SELECT count(DISTINCT object_id) FROM x) AS changes"
+
+
+@query(A, f"{_TRIP} FROM x GROUP BY 1")
+def io_csv(log):
+    return _round_trip(log, lambda g, p: writers.write_csv(g, p, "user"), lambda spark, p: readers.read_csv(spark, p, event_id="event_id", object_type="user"))
+
+
+@query(A, f"{_TRIP} FROM x GROUP BY 1")
+def io_xes(log):
+    return _round_trip(log, lambda g, p: writers.write_xes(g, p, "user"), lambda spark, p: readers.read_xes(spark, p, "user"))
+
+
+@query(A, f"{_TRIP}{_TRIP_ALL} FROM x GROUP BY 1")
+def io_ocel_json(log):
+    return _round_trip(log, writers.write_ocel_json, readers.read_ocel_json, totals=True)
+
+
+@query(A, f"{_TRIP}{_TRIP_ALL} FROM x GROUP BY 1")
+def io_canonical_json(log):
+    return _round_trip(log, writers.write_canonical_json, readers.read_canonical_json, totals=True)
+
+
+@query(A, f"{_TRIP.replace('(resource', '(false AND resource')} FROM x GROUP BY 1")
+def io_sqlite(log):
+    """The compact dialect holds no attributes."""
+    return _round_trip(log, writers.write_sqlite, readers.read_sqlite)
+
+
+@query(B, """SELECT activity, count(DISTINCT event_id) AS events, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us, count(*) AS links, 0 AS r1,
+(SELECT count(*) FROM ob) AS objects, (SELECT count(*) FROM orders) AS o2o, (SELECT 3 * count(*) FROM orders) AS changes FROM ev JOIN eo USING (event_id) GROUP BY 1""")
+def io_snapshot(log):
+    """A version that CURRENT names, read with all checks, hashes too."""
+    return _round_trip(log, lambda g, p: writers.write_snapshot(g, p, "v1"), lambda spark, p: readers.read_snapshot(spark, p, readers.Selection("current"), "strict"), totals=True)
+
+
+def _write_links(log: Log, path: str) -> None:
+    """The four files of linked entities, out of users: a case for each, whose list names its events in order."""
+    met = log.e2o.join(log.events, "event_id").join(log.objects, "object_id")
+    mine = F.lit("t1").alias("tenant_id")
+    order = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id"))), lambda e: e["event_id"])
+    parts = {
+        "case_event_group": met.groupBy("object_id").agg(F.min("ts").alias("timestamp"), order.alias("system_note_ids")).select(mine, F.col("object_id").alias("case_id"), "timestamp", "system_note_ids", F.lit(0).cast("long").alias("time_rank")),
+        "event_log": met.select(mine, F.col("object_id").alias("case_id"), F.col("ts").alias("timestamp"), F.col("activity").alias("activity_id"), "object_type", F.to_json(F.struct(F.col("event_id").alias("id"))).alias("display"), "object_id"),
+        "txn": log.objects.select(mine, F.col("object_id").alias("id"), F.lit("user").alias("type"), F.when(F.col("object_id") % 2 == 0, "Y").otherwise("N").alias("status")),
+        "object_link": log.o2o.select(mine, "source_object_id", "target_object_id", F.col("valid_from").alias("timestamps")),
+    }
+    for name, df in parts.items():
+        df.union(df.withColumn("tenant_id", F.lit("t2")).limit(3)).write.parquet(f"{path}/{name}.parquet")
+
+
+@query(A, f"""{_TRIP.replace('count(*) AS links', '2 * count(*) AS links').replace('(resource', '(false AND resource')}, 2 * (SELECT count(DISTINCT object_id) FROM x) AS objects, 0 AS o2o,
+(SELECT count(*) + count(*) FILTER (object_id % 2 = 1) FROM (SELECT DISTINCT object_id FROM x)) AS changes FROM x GROUP BY 1""")
+def io_entity_links(log):
+    """Each event is linked to its object and to its case; types are facts of all, the status Y of none."""
+    return _round_trip(log, _write_links, lambda spark, p: readers.read_entity_links(spark, p, "t1"), totals=True)
+
+
+def _write_serving(log: Log, path: str) -> None:
+    files = {}
+    facets = log.objects.select("object_id", F.lit("gold").alias("tier"), F.when(F.col("object_id") % 3 == 0, "").otherwise("x").alias("mark"))
+    for name, df in (log.relations() | {"object_attrs": facets}).items():
+        df.write.parquet(f"{path}/{name}")
+        files[name] = {"path": name, "rows": df.count()}
+    with open(f"{path}/manifest.json", "w") as f:
+        f.write(canonical_json({"files": files}))
+
+
+@query(A, f"{_TRIP}, (SELECT count(DISTINCT object_id) FROM x) AS objects, 0 AS o2o, (SELECT count(*) + count(*) FILTER (object_id % 3 <> 0) FROM (SELECT DISTINCT object_id FROM x)) AS changes FROM x GROUP BY 1")
+def io_serving(log):
+    """Facets, a column each, become attribute changes where they are not blank."""
+    return _round_trip(log, _write_serving, readers.read_serving, totals=True)
+
+
+@query(A, "SELECT activity, object_id, pos, CAST(epoch_us(ts) AS BIGINT) AS us FROM x WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'")
+def event_export(log):
+    """The rows of a window, numbered in their case of the whole log."""
+    c = _cases(log).filter((F.col("ts") >= F.lit(_t(5))) & (F.col("ts") < F.lit(_t(20))))
+    return c.select("activity", "object_id", "pos", F.unix_micros("ts").alias("us"))
+
+
+@query(A, """, e AS (SELECT activity, nxt FROM x WHERE nxt IS NOT NULL) SELECT activity AS source, nxt AS target, count(*) AS frequency FROM e GROUP BY 1, 2""")
+def incremental_summary(log):
+    """Of three batches of whole cases."""
+    s = Summary()
+    for k in range(3):
+        own = log.objects.filter(F.pmod(F.xxhash64("object_id"), F.lit(3)) == k)
+        links = log.e2o.join(own, "object_id", "left_semi")
+        s.add(log.having(objects=own, e2o=links, events=log.events.join(links, "event_id", "left_semi")))
+    return s.result().select("source", "target", "frequency")
+
+
+@query(A, "SELECT activity, count(*) AS events, count(DISTINCT object_id) AS objects FROM x GROUP BY 1")
+def appended_log(log):
+    """The first half of a month, to which the second is appended."""
+    late = F.col("ts") >= F.lit(_t(15))
+    rest = log.events.filter(late)
+    first = log.having(events=log.events.filter(~late), e2o=log.e2o.join(rest, "event_id", "left_anti"), watermark=_t(14))
+    whole = append(first, {"events": rest, "e2o": log.e2o.join(rest, "event_id", "left_semi")}, _t(30))
+    return whole.e2o.join(whole.events, "event_id").groupBy("activity").agg(F.count_distinct("event_id").alias("events"), F.count_distinct("object_id").alias("objects"))

@@ -42,14 +42,19 @@ def append(log: Log, batch: dict[str, DataFrame], watermark: datetime | None, ch
     return made
 
 
-def follow(stream: DataFrame, start: Log, save: Callable[[Log, int], None], to_batch: Callable[[DataFrame], dict[str, DataFrame]], checkpoint: str):
-    """A streaming query that appends each micro-batch and hands the new log to ``save`` (for example as a snapshot version
-    named by the batch's number, so that a batch that is tried again is refused as a conflict and counts once)."""
-    held = {"log": start}
+def follow(stream: DataFrame, load: Callable[[], Log], save: Callable[[Log, int], None], to_batch: Callable[[DataFrame], dict[str, DataFrame]], checkpoint: str):
+    """A streaming query that appends each micro-batch to the log that ``load`` gives, the last that was saved, and hands the new
+    one to ``save``, for example as a snapshot version named by the batch's number. Nothing is held between batches: after a
+    restart the log goes on from what is stored. A batch that was saved and is tried again is a conflict for ``save``: it
+    counts once."""
 
     def one(df: DataFrame, number: int) -> None:
-        held["log"] = append(held["log"], to_batch(df), df.agg(F.max("ts")).first()[0])
-        save(held["log"], number)
+        log = append(load(), to_batch(df), df.agg(F.max("ts")).first()[0], check=False)
+        try:
+            save(log, number)
+        except EngineError as error:
+            if error.code != "conflict":
+                raise
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).start()
 
