@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables that stand, in order.
+_TABLES: dict[str, None] = {}
 _CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
 
 
@@ -44,18 +46,39 @@ def written(df: DataFrame, random: tuple[str, ...] = ()) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in random}).parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    _at(spark, path)[0].deleteOnExit(_at(spark, path)[1])
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    _TABLES[path] = None
+    return out
+
+
+def _at(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    at = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()), at
 
 
 def drop(df: DataFrame) -> None:
-    """Deletes the files of a table that ``written`` returned and that nothing reads any more."""
-    sc = df.sparkSession.sparkContext
-    for file in df.inputFiles()[:1]:
-        at = sc._jvm.org.apache.hadoop.fs.Path(file).getParent()
-        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    """Deletes the files of a table that ``written`` returned and that nothing reads any more; of any other, nothing."""
+    path = getattr(df, "_written_to", None)
+    if path in _TABLES:
+        del _TABLES[path]
+        files, at = _at(df.sparkSession, path)
+        files.delete(at, True)
+
+
+def tables() -> frozenset[str]:
+    """The tables that ``written`` has made and nothing has dropped."""
+    return frozenset(_TABLES)
+
+
+def drop_since(before: frozenset[str], keep: DataFrame) -> None:
+    """Drops the tables made since ``before`` was taken, but for ``keep``: those that only its making read."""
+    for path in tables() - before - {getattr(keep, "_written_to", None)}:
+        del _TABLES[path]
+        files, at = _at(keep.sparkSession, path)
+        files.delete(at, True)
 
 
 def sweep(spark: SparkSession) -> None:

@@ -177,8 +177,13 @@ def check(cases: DataFrame, model_artifact: dict, method: str) -> DataFrame:
     model = check_artifact(model_artifact, "model")
     if method == "frequency_coverage":
         return frequency_coverage(cases, model)
-    if method in ("token_replay", "ocpn_quality"):
+    if method == "token_replay":
         return log_fitness(token_replay(cases, model))
+    if method == "ocpn_quality":
+        if model.get("type") != "object_centric_petri_net":
+            raise EngineError("invalid_request", "ocpn_quality is of an object-centric net")
+        types = cases.agg(F.array_sort(F.collect_set("object_type")).alias("object_types_recomposed"))
+        return log_fitness(token_replay(cases, model)).join(types, how="cross")  # one row each
     if method == "alignment":
         return alignment(cases, model)
     if method == "declare":

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,15 +107,14 @@ class _Compiler:
         if k == "temporal_distance":
             at = lambda a: self.sum(F.collect_list(F.when(F.col("activity") == a, F.struct("pos", F.unix_micros("ts").alias("us")))))
             a, b = at(c["a"]), at(c["b"])
-            lo, hi = c.get("min"), c.get("max")
-
-            def fits(x: Column, y: Column) -> Column:
-                out, d = y["pos"] > x["pos"], (y["us"] - x["us"]) / 1e6
-                if lo is not None:
-                    out = out & (d >= lo)
-                return out & (d <= hi) if hi is not None else out
-
-            return F.exists(a, lambda x: F.exists(b, lambda y: fits(x, y)))
+            lo, hi = round((c.get("min") or 0) * 1e6), c.get("max")
+            # each b, moved back by the least distance, against the last a that is not after it: no pairs are made
+            first = lambda x, kind: x["pos"] if lo <= 0 else F.lit(kind).cast("int")
+            mark = lambda x, kind, by: F.struct((x["us"] - by).alias("t"), first(x, kind).alias("p"), F.lit(kind).alias("kind"), x["us"].alias("us"))
+            walk = F.array_sort(F.concat(F.transform(a, lambda x: mark(x, 0, 0)), F.transform(b, lambda y: mark(y, 1, max(lo, 0)))))
+            near = lambda s, x: s["last"].isNotNull() if hi is None else F.coalesce(x["us"] - s["last"] <= round(hi * 1e6), F.lit(False))
+            step = lambda s, x: F.struct(F.when(x["kind"] == 0, x["us"]).otherwise(s["last"]).alias("last"), (s["ok"] | ((x["kind"] == 1) & near(s, x))).alias("ok"))
+            return F.aggregate(walk, F.struct(F.lit(None).cast("long").alias("last"), F.lit(False).alias("ok")), step, lambda s: s["ok"])
         if k == "child_count":
             n = self.sum(F.count_if(self.on_event(c["child"])))
             out = n >= c.get("min", 0)
@@ -249,3 +250,48 @@ def event_pairs(log: Log, object_type: str, source: str, target: str) -> DataFra
     cases = leading(log, View(object_types=(object_type,), activities=(source, target)), attributes=False)
     after = F.first(F.when(F.col("activity") == target, F.col("event_id")), ignorenulls=True).over(in_case().rowsBetween(1, Window.unboundedFollowing))
     return cases.withColumn("target_event", after).filter((F.col("activity") == source) & F.col("target_event").isNotNull()).select("object_id", F.col("event_id").alias("source_event"), "target_event")
+
+
+def relation_children(log: Log, source_type: str, target_type: str, qualifier: str | None = None) -> DataFrame:
+    """source, n: how many objects of the target type an object of the source type links to."""
+    of = lambda t, name: log.objects.filter(F.col("object_type") == t).select(F.col("object_id").alias(name))
+    links_ = log.o2o if qualifier is None else log.o2o.filter(F.col("qualifier") == qualifier)
+    own = links_.select(F.col("source_object_id").alias("source"), F.col("target_object_id").alias("target")).join(of(target_type, "target"), "target", "left_semi")
+    by = own.groupBy("source").agg(F.count_distinct("target").alias("n"))
+    return of(source_type, "source").join(by, "source", "left").select("source", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def related_types(log: Log) -> DataFrame:
+    """execution_id (an object), object_type: the types of other objects that share an event with it or are linked to it. Types
+    of an event are few: its objects meet these, not each other."""
+    named = log.e2o.select("event_id", "object_id").distinct().join(log.objects.select("object_id", "object_type"), "object_id")
+    of_event = named.groupBy("event_id", F.col("object_type").alias("other")).agg(F.count("*").alias("k"))
+    shared = named.join(of_event, "event_id").filter("other != object_type or k > 1").select(F.col("object_id").alias("execution_id"), F.col("other").alias("object_type"))
+    both = log.o2o.select(F.col("source_object_id").alias("execution_id"), F.col("target_object_id").alias("object_id")).union(log.o2o.select("target_object_id", "source_object_id")).filter("execution_id != object_id")
+    return shared.union(both.join(log.objects.select("object_id", "object_type"), "object_id").select("execution_id", "object_type")).distinct()
+
+
+BINDINGS: dict[str, Callable[..., DataFrame]] = {
+    f.__name__: f for f in (object_activity_count, requires_activity, event_object_count, neighbor_eventually, neighbor_attribute_equal, neighbor_actor_equal, max_activity_delay, neighbor_pairs, relation_universal_equal, event_pairs, relation_children)
+}
+
+
+def prepare(log: Log, tree: dict) -> dict[str, DataFrame]:
+    """The bindings of a tree, root first: a node is {operator, arguments, name (else its operator and place), children}. All of
+    a tree are one dict of DataFrames; nothing runs before one of them is asked for."""
+    out: dict[str, DataFrame] = {}
+
+    def walk(node: dict, depth: int) -> None:
+        if depth > 64:
+            raise EngineError("resource_limit", "a tree deeper than 64")
+        if node.get("operator") not in BINDINGS:
+            raise EngineError("invalid_request", f"binding operators are {sorted(BINDINGS)}")
+        name = node.get("name") or f"{node['operator']}_{len(out)}"
+        if name in out:
+            raise EngineError("invalid_request", f"two bindings are named {name}")
+        out[name] = BINDINGS[node["operator"]](log, **node.get("arguments", {}))
+        for child in node.get("children", ()):
+            walk(child, depth + 1)
+
+    walk(tree, 0)
+    return out

@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.model import EngineError
+from tracelake.model import EngineError, Log
 from tracelake.operators.executions import seconds
 
 #: Between activities in a path's text.
@@ -186,23 +186,31 @@ def map_by(cases: DataFrame, attribute: str) -> DataFrame:
     return cases.groupBy("activity", text_of(F.try_element_at("attributes", F.lit(attribute))).alias("value")).agg(F.count("*").alias("frequency"))
 
 
-def case_page(cases: DataFrame, limit: int, offset: int = 0, only_top: bool = True) -> DataFrame:
-    """A page of executions (1 to 1000), longest first, with activities and objects."""
+def case_page(cases: DataFrame, limit: int, offset: int = 0, only_top: bool = True, log: Log | None = None) -> DataFrame:
+    """A page of executions (1 to 1000), longest first, with activities and edges, and with ``log`` the objects (id, type) that
+    share an event with the execution's object."""
     if not 1 <= limit <= 1000 or offset < 0:
         raise EngineError("invalid_request", "limit is 1 to 1000, offset not negative")
     s = case_summary(cases)
     s = top_variant(s) if only_top else s
     page = s.orderBy(F.desc("seconds"), "execution_id").offset(offset).limit(limit)
     edges = steps(cases).join(F.broadcast(page.select("execution_id")), "execution_id", "left_semi").groupBy("execution_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "activity", "next_activity", "duration"))), lambda x: F.struct(x["activity"].alias("source"), x["next_activity"].alias("target"), x["duration"].alias("seconds"))).alias("edges"))
-    return page.join(edges, "execution_id", "left")
+    page = page.join(edges, "execution_id", "left")
+    if log is None:
+        return page
+    own = cases.join(F.broadcast(page.select("execution_id")), "execution_id", "left_semi").select("execution_id", "event_id")
+    met = own.join(log.e2o.select("event_id", "object_id"), "event_id").join(log.objects, "object_id")
+    objects = met.groupBy("execution_id").agg(F.array_sort(F.collect_set(F.struct("object_id", "object_type"))).alias("objects"))
+    return page.join(objects, "execution_id", "left")
 
 
 def dynamic_filter(cases: DataFrame, *, statuses=(), including=(), excluding=(), min_seconds=None, max_seconds=None, attributes_in: dict | None = None, attributes_out: dict | None = None,
-                   edges_in: Iterable[dict] = (), edges_out: Iterable[dict] = ()) -> DataFrame:
+                   edges_in: Iterable[dict] = (), edges_out: Iterable[dict] = (), related: DataFrame | None = None, related_in: Iterable[str] = (), related_out: Iterable[str] = ()) -> DataFrame:
     """execution_id of cases that fit: any status, all activities of ``including`` and none of ``excluding``, a duration range,
-    string attributes that some event has or no event has, and edges {source, target, min, max} that occur or do not.
+    string attributes that some event has or no event has, edges {source, target, min, max} that occur or do not, and types
+    of related objects (``related``: execution_id, object_type), all of which or none of which it has.
 
-    All parts are aggregates over one grouping, so the number of filters adds no shuffle."""
+    All parts but the last are aggregates over one grouping, so the number of filters adds no shuffle."""
     attribute = lambda k: F.try_element_at("attributes", F.lit(k))["s"]
     sums: dict[str, Column] = {"first": F.min("ts"), "last": F.max("ts")}
     tests: list[Column] = []
@@ -238,6 +246,13 @@ def dynamic_filter(cases: DataFrame, *, statuses=(), including=(), excluding=(),
     out = cases.groupBy("execution_id").agg(*[c.alias(n) for n, c in sums.items()])
     for t in tests:
         out = out.filter(t)
+    wanted, unwanted = list(dict.fromkeys(related_in)), list(related_out)
+    if wanted or unwanted:
+        if related is None:
+            raise EngineError("invalid_request", "filters of related types need the related objects")
+        has = lambda ts: F.count_distinct(F.when(F.col("object_type").isin(ts), F.col("object_type"))) if ts else F.lit(0)
+        by = related.groupBy("execution_id").agg(has(wanted).alias("_in"), has(unwanted).alias("_out"))
+        out = out.join(by, "execution_id", "left").filter((F.coalesce("_in", F.lit(0)) == len(wanted)) & (F.coalesce("_out", F.lit(0)) == 0))
     return out.select("execution_id")
 
 

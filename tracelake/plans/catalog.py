@@ -511,6 +511,35 @@ def _rows(spark_log: Log, rows: list, schema: str) -> DataFrame:
     return spark_log.events.sparkSession.createDataFrame(rows, schema)
 
 
+_RELATED = f""", t AS (SELECT DISTINCT a.object_id, ob.object_type FROM eo a JOIN eo b ON a.event_id = b.event_id AND a.object_id <> b.object_id JOIN ob ON ob.object_id = b.object_id WHERE a.object_id % 4 = 0
+UNION SELECT o_orderkey * 4, 'customer' FROM orders)"""
+
+
+@query(B, f"{_RELATED} SELECT object_id AS execution_id FROM t WHERE object_id IN (SELECT object_id FROM y WHERE object_type = 'order') GROUP BY 1 HAVING bool_or(object_type = 'customer') AND NOT bool_or(object_type = 'part')")
+def dynamic_filter_related(log):
+    """Orders that were placed and never shipped."""
+    return stats.dynamic_filter(_cases(log, object_types=("order",)), related=constraints.related_types(log), related_in=["customer"], related_out=["part"])
+
+
+@query(B, f"{_ORDER_PATHS}, {_TOP}, g AS (SELECT object_id FROM t ORDER BY {_d('last', 'first')} DESC, object_id LIMIT 50 OFFSET 10) SELECT g.object_id AS execution_id, count(DISTINCT b.object_id) AS objects FROM g JOIN eo a ON a.object_id = g.object_id JOIN eo b ON b.event_id = a.event_id GROUP BY 1")
+def case_page_objects(log):
+    return stats.case_page(_cases(log, object_types=("order",)), 50, 10, log=log).select("execution_id", F.size("objects").cast("long").alias("objects"))
+
+
+@query(B, "SELECT o_orderkey * 4 AS source, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1")
+def binding_relation_children(log):
+    return constraints.relation_children(log, "order", "customer")
+
+
+@query(B, "SELECT 'placed' AS binding, count(*) AS rows, count(*) FILTER (n <> 1) AS hits FROM (SELECT o_orderkey, 1 AS n FROM orders) UNION ALL SELECT 'linked', count(*), count(*) FILTER (n > 0) FROM (SELECT o_orderkey, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1)")
+def binding_tree(log):
+    """A prepared tree of two bindings."""
+    tree = {"operator": "object_activity_count", "name": "placed", "arguments": {"object_type": "order", "activity": "place", "least": 1, "most": 1}, "children": [{"operator": "relation_children", "name": "linked", "arguments": {"source_type": "order", "target_type": "customer"}}]}
+    t = constraints.prepare(log, tree)
+    one = lambda name, hit: t[name].agg(F.lit(name).alias("binding"), F.count("*").alias("rows"), F.count_if(hit).alias("hits"))
+    return one("placed", F.col("violated")).union(one("linked", F.col("n") > 0))
+
+
 @query(B)
 def alpha_net(log):
     net = discovery.alpha(_cases(log, object_types=("order",)))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.model import EngineError, Log, View, text_of
-from tracelake.operators import executions, stats
+from tracelake.operators import constraints, executions, stats
 
 Result = dict[str, DataFrame]
 
@@ -30,6 +30,8 @@ class Request:
     variants: tuple[str, ...] = ()
     activities: tuple[str, ...] = ()
     excluded_activities: tuple[str, ...] = ()
+    related_types: tuple[str, ...] = ()
+    excluded_related_types: tuple[str, ...] = ()
     edges: tuple[dict, ...] = ()
     excluded_edges: tuple[dict, ...] = ()
     min_execution_time: float | None = None
@@ -79,9 +81,10 @@ def _cases(log: Log, r: Request) -> DataFrame:
     end = r.to_date + timedelta(microseconds=1) if r.to_date else None
     view = View(start=r.from_date, end=end, object_types=(r.backbone_type,) if r.backbone_type else ())
     cases = executions.ordered(executions.leading(log, view, attributes=needs))
-    filters = {"statuses": (r.status,) if r.status else (), "including": r.activities, "excluding": r.excluded_activities, "edges_in": r.edges, "edges_out": r.excluded_edges, "attributes_in": r.attributes, "attributes_out": r.excluded_attributes}
+    filters = {"statuses": (r.status,) if r.status else (), "including": r.activities, "excluding": r.excluded_activities, "edges_in": r.edges, "edges_out": r.excluded_edges, "attributes_in": r.attributes, "attributes_out": r.excluded_attributes, "related_in": r.related_types, "related_out": r.excluded_related_types}
     if any(filters.values()) or r.min_execution_time is not None or r.max_execution_time is not None:
-        fit = stats.dynamic_filter(cases, min_seconds=r.min_execution_time, max_seconds=r.max_execution_time, **filters)
+        related = constraints.related_types(log) if r.related_types or r.excluded_related_types else None
+        fit = stats.dynamic_filter(cases, related=related, min_seconds=r.min_execution_time, max_seconds=r.max_execution_time, **filters)
         cases = cases.join(fit, "execution_id", "left_semi")
     if r.variants:
         fit = stats.case_summary(cases).filter(F.col("path_hash").isin(list(r.variants))).select("execution_id")
@@ -123,7 +126,7 @@ ENDPOINTS: dict[str, Callable[[Log, Request], Result]] = {
     "timeline": lambda log, r: {"timeline": stats.timeline(_cases(log, r), r.timeline_period)},
     "case_throughput": lambda log, r: {"histogram": stats.throughput_histogram(_cases(log, r))},
     "edge_info": _edge_info,
-    "case_list": lambda log, r: {"cases": stats.case_page(_cases(log, r), r.limit, r.offset)},
+    "case_list": lambda log, r: {"cases": stats.case_page(_cases(log, r), r.limit, r.offset, log=log)},
     "entire_process_map": _entire,
     "dynamic_dfg": lambda log, r: {"dfg": stats.dynamic_dfg(_cases(log, r))},
     "event_log_summary": lambda log, r: stats.summary(_cases(log, r)),
