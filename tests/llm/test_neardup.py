@@ -226,10 +226,14 @@ def test_short_and_unspaced_lines(spark):
 
 def test_keys_that_lines_share():
     r = random.Random(3)
-    rows = sorted((r.randint(0, 60), r.randint(0, 4) if r.random() < 0.5 else 9) for _ in range(400))
-    rows = [(k, s) for k, g in [(k, [s for x, s in rows if x == k]) for k in range(61)] for s in r.sample(g, len(g))]
-    want = {(k, s) for k, s in rows if len({y for x, y in rows if x == k}) > 1}
-    for size in (1, 2, 7, 400):
-        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + size]]), pa.array([s for _, s in rows[i : i + size]])], names=["key", "short"]) for i in range(0, len(rows), size)]
-        got = [(k, s) for b in linededup._shared(iter(batches)) for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-        assert set(got) == want
+    rows = [([r.randint(0, 60) if r.random() < 0.8 else 7 for _ in range(r.randint(0, 4))], r.randint(0, 30) if r.random() < 0.5 else 1000 + i) for i in range(900)]
+    flat = {(k, s) for ks, s in rows for k in ks}
+    flat |= {(10_000 + i, i) for i in range(50)}  # keys of one line alone
+    rows += [([10_000 + i], i) for i in range(50)]
+    want = {(k, s) for k, s in flat if len({y for x, y in flat if x == k}) > 1}
+    for size, parts in ((1, 3), (7, 1), (100, 4), (2000, 2)):
+        batches = [pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows[i : i + size]], pa.list_(pa.int64())), pa.array([s for _, s in rows[i : i + size]], pa.int64())], names=["keys", "short"]) for i in range(0, len(rows), size)]
+        packed = sorted(((p, v) for b in linededup._packed(parts)(iter(batches)) for p, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())), key=lambda x: x[0])
+        out = pa.RecordBatch.from_arrays([pa.array([p for p, _ in packed], pa.int64()), pa.array([v for _, v in packed], pa.binary())], names=["part", "pairs"])
+        got = {(k, s) for b in linededup._shared(parts)(iter([out])) for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+        assert got == want, (size, parts)

@@ -5,10 +5,12 @@ import random
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
 from tracelake.functions.storage import cut
+from tracelake.llm import quality
 
 DATA = "/root/testdata/sf0.001"
 
@@ -88,3 +90,24 @@ def test_run_and_empty_input(spark):
     empty = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).count() == 0
+
+
+def test_names_of_helpers_may_clash(spark):
+    docs, _ = planted(spark)
+    odd = docs.withColumns({n: F.lit(i) for i, n in enumerate(("__m", "__f", "__host", "__id", "__h", "__gone", "__removed", "__keep", "__mix", "__cell", "__w", "__x", "__b", "rejected", "host", "draw"))})
+    for name, stage in corpus_pipeline.STAGES:
+        plain_, more = stage(spark, docs, DATA), stage(spark, odd, DATA)
+        if name != "packing":
+            assert more.columns == odd.columns, name
+        assert sorted(map(str, more.select("doc_id").collect())) == sorted(map(str, plain_.select("doc_id").collect())), name
+
+
+def test_hosts_fall_by_the_posterior(spark):
+    r = random.Random(3)
+    good = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(60))
+    rows = [(h * 1000 + i, "bad" if r.random() < (0.45 if h == 0 else 0.08) else good(), f"h{h}") for h in range(25) for i in range(120)]
+    kept = quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert {x["source"] for x in kept} == {f"h{h}" for h in range(1, 25)}
+    assert len(kept) == sum(t != "bad" and s != "h0" for _, t, s in rows)
+    even = [(i, "bad" if i % 12 == 0 else good(), f"h{i % 20}") for i in range(2000)]  # no host differs by more than chance
+    assert len({x["source"] for x in quality.keep_good(spark.createDataFrame(even, "doc_id long, text string, source string")).collect()}) == 20

@@ -26,13 +26,15 @@ from tracelake.operators.components import connected_components
 
 #: Least-hash keys of a line; neighbouring words that one is made of, in lines of up to LONG words and in longer ones; and bits in
 #: which SimHash fingerprints of lines of edit similarity 0.8 may differ: some 13 do, with a deviation of 3.2.
-BANDS, RUNS, LONG, RADIUS = 9, (3, 4), 20, 24
+BANDS, RUNS, LONG, RADIUS = 8, (3, 4), 20, 24
 #: Words from which a line is compared by similarity, and characters from which one of fewer words is compared for equality.
 MIN_WORDS, MIN_CHARS = 5, 8
 #: Columns of parity bits, 64 in each.
 PARITY = [f"p{k}" for k in range(4)]
 #: The same for lines that are compared, of words whose repetitions are told apart.
 EXACT = [f"q{k}" for k in range(8)]
+#: Bytes of keys that are sorted at once, and lines of a batch that make a key one of many.
+PART_BYTES, MANY = 16 << 20, 16
 #: Bytes of lines of a group that are compared at once.
 TILE_BYTES = 2 << 20
 #: Bytes of text that are sketched at a time, and sums of lines that a task remembers.
@@ -184,7 +186,7 @@ def bucket_keys(e: np.ndarray, counts: np.ndarray, similarity: float, repeats: n
     Lines that may differ in one word have a key for each of their words, the line without it, and one of the whole: none
     of their pairs is lost. Lines that may have partners with two edits or more have BANDS least hashes of their runs of
     three (up to LONG words) or four words, lines about LONG words both. At similarity 0.8, with edits spread at random, a
-    pair shares 0.26 of its runs of four and with a chance of 0.93 a key; at 0.85, 0.35 and 0.98; at 0.9, 0.49 and 0.998."""
+    pair shares 0.26 of its runs of four and with a chance of 0.91 a key; at 0.85, 0.35 and 0.97; at 0.9, 0.49 and 0.995."""
     starts = np.cumsum(counts) - counts
     least = int(next(m for m in range(1, 1 << 20) if allowed(np.array([m]), similarity)[0] >= 2)) if similarity < 1 else 1 << 40
     short = (allowed(counts + 1, similarity) >= 1) & (counts < least)
@@ -328,29 +330,72 @@ def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns, pa.array(fp.view(np.int64)), *[pa.array(v.view(np.int64)) for v in par]], names=[*b.schema.names, "fp", *EXACT])
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order of key: those whose key different lines have; some of them may come twice."""
-    at: tuple[int, int] | None = None  # the last key and its first line
-    told = False  # whether that key is known to be shared, and the line has been told
-    for b in batches:
-        k, s = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if not len(k):
-            continue
-        if at is not None:
-            k, s = np.append(at[0], k), np.append(at[1], s)
-        start = np.flatnonzero(np.append(True, k[1:] != k[:-1]))
-        group = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(k))))
-        shared = np.logical_or.reduceat(s != s[start][group], start)
-        shared[0] |= told
-        keep = shared[group]
-        if told:
-            keep[0] = False
-        at, told = (int(k[-1]), int(s[start[-1]])), bool(shared[-1])
-        k, s = k[keep], s[keep]
-        order = np.lexsort((s, k))
-        k, s = k[order], s[order]
-        once = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]))[: len(k)]
-        yield pa.RecordBatch.from_arrays([pa.array(k[once]), pa.array(s[once])], names=["key", "short"])
+_PAIR = np.dtype([("key", "<i8"), ("short", "<i8")])
+
+
+def _packed(parts: int):
+    """Keys and the lines that have them, as arrays of _PAIR, by part (a key's remainder). A key that MANY lines of a batch
+    have is known to be shared: its rows go straight on, under a part of their own (from ``parts`` up), and only two of
+    them to its part, where they say so to the rows of other batches. No part grows with a frequent key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, b in enumerate(batches):
+            lists = b.column(0)
+            per = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            rows = np.empty(int(per.sum()), dtype=_PAIR)
+            rows["key"], rows["short"] = lists.flatten().to_numpy(), np.repeat(b.column(1).to_numpy(), per)
+            order = np.argsort(rows["key"], kind="stable")
+            rows = rows[order]
+            start = np.flatnonzero(np.append(True, rows["key"][1:] != rows["key"][:-1]))[: len(rows)]
+            size = np.diff(np.append(start, len(rows)))
+            place = np.arange(len(rows)) - np.repeat(start, size)
+            often = np.repeat(size >= MANY, size)
+            out, names = [], []
+            if often.any():
+                out.append(rows[often].tobytes())
+                names.append(parts + number % parts)
+            rows = rows[~often | (place < 2)]
+            part = (_mix(rows["key"].view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            rows, part = rows[order], part[order]
+            first = np.flatnonzero(np.append(True, part[1:] != part[:-1]))[: len(part)]
+            for lo, hi in zip(first.tolist(), [*first.tolist()[1:], len(part)]):
+                out.append(rows[lo:hi].tobytes())
+                names.append(int(part[lo]))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], names=["part", "pairs"])
+
+    return run
+
+
+def _shared(parts: int):
+    """Of a part's pairs, those whose key different lines have. Batches come in order of part."""
+
+    def met(held: list[bytes], straight: bool) -> pa.RecordBatch:
+        rows = np.frombuffer(b"".join(held), dtype=_PAIR)
+        k, s = rows["key"], rows["short"]
+        if not straight:
+            order = np.lexsort((s, k))
+            k, s = k[order], s[order]
+            once = np.append(True, (k[1:] != k[:-1]) | (s[1:] != s[:-1]))[: len(k)]
+            k, s = k[once], s[once]
+            same = k[1:] == k[:-1]
+            keep = (np.append(False, same) | np.append(same, False))[: len(k)]
+            k, s = k[keep], s[keep]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(k)), pa.array(np.ascontiguousarray(s))], names=["key", "short"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+        for b in batches:
+            for part, pairs in zip(b.column(0).to_pylist(), b.column(1)):
+                if held and (part != last or part >= parts):
+                    yield met(held, last >= parts)
+                    held = []
+                last = part
+                held.append(pairs.as_py())
+        if held:
+            yield met(held, last >= parts)
+
+    return run
 
 
 def within(similarity: float, parity: list[str]):
@@ -372,8 +417,10 @@ def _ties(lines: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
     first, as most do. The texts of lines that have candidates travel once, and are compared with those that candidates
     reach from them."""
     own = ["sum", *PARITY, "n"]
-    dealt = lines.select(F.explode("keys").alias("key"), "short").repartition("key").sortWithinPartitions("key")  # by one number: a radix sort
-    met = cut(dealt.mapInArrow(_shared, "key bigint, short bigint"))
+    keyed = lines.filter("keyed").select("keys", "short")
+    parts = max(1, -(-keyed.count() * (BANDS + 2) * _PAIR.itemsize // PART_BYTES))
+    dealt = keyed.mapInArrow(_packed(parts), "part bigint, pairs binary").repartition("part").sortWithinPartitions("part")
+    met = cut(dealt.mapInArrow(_shared(parts), "key bigint, short bigint"))
     some = met.select("short").distinct().withColumnRenamed("short", "s")
     sketched = lines.filter("keyed").select("short", *own, "id", "h", "line")
     cards = cut(sketched.join(some.hint("shuffle_hash"), F.col("short") == F.col("s"), "left_semi").dropDuplicates(["sum"]))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.storage import cut
 from tracelake.llm.blocks import links
-from tracelake.llm.common import table
+from tracelake.llm.common import free, table
 from tracelake.operators.components import connected_components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -196,9 +196,9 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", words: in
     """The rows of ``docs`` that stay, all columns as they were: of each of the ``similar_groups`` the one of the smallest
     key. Of rows that repeat that key one stays. Rows with a null key always stay, as nothing names them as a copy; they
     count in no group. An empty table gives an empty one."""
-    own = docs.filter(F.col(key).isNotNull())
-    keep = similar_groups(own, key, text, words, similarity).select(F.col("component").alias("__keep")).distinct()
-    return own.join(keep, F.col(key) == F.col("__keep")).drop("__keep").dropDuplicates([key]).union(docs.filter(F.col(key).isNull()))
+    own, name = docs.filter(F.col(key).isNotNull()), free(docs.columns, "__keep")[0]
+    keep = similar_groups(own, key, text, words, similarity).select(F.col("component").alias(name)).distinct()
+    return own.join(keep, F.col(key) == F.col(name)).drop(name).dropDuplicates([key]).union(docs.filter(F.col(key).isNull()))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
