@@ -4,6 +4,7 @@ import json
 import random
 import sqlite3
 from collections import deque
+from collections import Counter
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -125,6 +126,10 @@ def test_discovery(spark):
     assert tree["op"] == "sequence" and tree["children"][0]["label"] == "a"
     # some tails are empty: a branch, not a crash
     assert discovery.process_tree(cases_of(make(spark, {1: "ab", 2: "a", 3: "ac"})))["root"]["children"][1]["op"] == "xor"
+    tree_of = lambda *ts: discovery._tree(Counter(tuple(t) for t in ts))
+    flat = lambda t: t.get("label") or f"{t['op']}({','.join(flat(x) for x in t.get('children', []))})"
+    assert flat(tree_of("aa", "a")) == "a" and flat(tree_of("ab", "ba")) == "parallel(a,b)" and flat(tree_of("ab", "cd")) == "xor(sequence(a,b),sequence(c,d))"
+    assert flat(tree_of("abd", "bce", "ae")) == "sequence(a,b,c,d,e)" and flat(tree_of("abca", "bcab", "cabc")) == "loop(a,sequence(b,c,a))"
     a = discovery.discover(c, "object_centric_dfg")
     assert a["algorithm"] == "ocdfg" and a["hash"] == discovery.discover(c, "oc_dfg")["hash"]
     model.check_artifact(a)
@@ -372,3 +377,47 @@ def test_endpoints(spark):
     for bad in ({"endpoint": "timeline"}, {"endpoint": "nothing"}, {"endpoint": "edge_info", "backbone_type": "x"}, {"endpoint": "case_list", "backbone_type": "x", "limit": 0}, {"endpoint": "timeline", "backbone_type": "x", "timeline_period": "eon"}):
         with pytest.raises(EngineError):
             endpoints.answer(log, bad)
+
+
+def test_follow_goes_on_after_a_restart(spark, tmp_path):
+    from tracelake.streaming.append import follow
+
+    root = str(tmp_path / "store")
+    writers.write_snapshot(make(spark, {1: "ab"}).having(watermark=None), root, "v0")
+    schema = "event_id long, user_id long, kind string, ts timestamp"
+
+    def to_batch(df):
+        none = F.create_map().cast(f"map<string,{model.VALUE}>")
+        ts = F.col("ts")
+        events = df.select("event_id", F.concat(F.lit("x"), F.col("event_id").cast("string")).alias("external_event_id"), F.col("kind").alias("activity"), ts, (F.unix_micros(ts) * 1000).cast("decimal(38,0)").alias("ts_nanos"), F.lit(None).cast("string").alias("source_ts"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("lifecycle"), none.alias("attributes"))
+        return {"events": events, "e2o": df.select(F.row_number().over(executions.Window.orderBy("event_id")).cast("long").alias("relation_id"), "event_id", F.col("user_id").alias("object_id"), F.lit("case").alias("qualifier"))}
+
+    load = lambda: readers.read_snapshot(spark, root, readers.Selection("current"))
+    for k in range(2):  # a new query each time: nothing is held between them
+        spark.createDataFrame([(100 + k, 1, f"late{k}", T0 + timedelta(days=k + 1))], schema).coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+        stream = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+        q = follow(stream, load, lambda log, number: writers.write_snapshot(log, root, f"b{number}"), to_batch, str(tmp_path / "checkpoint"))
+        q.processAllAvailable()
+        q.stop()
+    log = load()
+    assert sorted(r["activity"] for r in log.events.collect()) == ["a", "b", "late0", "late1"] and log.e2o.count() == 4
+
+
+def test_snapshot_hashes_under_strict(spark, tmp_path):
+    root = str(tmp_path / "s")
+    writers.write_snapshot(make(spark, {1: "ab"}), root, "v1")
+    assert readers.read_snapshot(spark, root, readers.Selection("current"), "strict").events.count() == 2
+    manifest = tmp_path / "s/versions/v1/manifest.json"
+    d = json.loads(manifest.read_text())
+    d["files"]["events"]["parts"][0]["sha256"] = "sha256:00"
+    manifest.write_text(json.dumps(d))
+    with pytest.raises(EngineError, match="hash"):
+        readers.read_snapshot(spark, root, readers.Selection("current"), "strict")
+
+
+def test_tabular_prefixes_count_objects(spark):
+    log = make(spark, {1: "ab", 2: "ab"})
+    link = spark.createDataFrame([(1, 1, 2, "with", None, None)], model.O2O)
+    cases = executions.ordered(executions.distinct_events(executions.components(log.having(o2o=link))))
+    assert {r["key"].rsplit("|", 1)[1] for r in prediction.prefixes(cases, 1, tabular=True).collect()} == {"2"}
+    assert {r["key"].rsplit("|", 1)[1] for r in prediction.prefixes(cases_of(log), 1, tabular=True).collect()} == {"1"}

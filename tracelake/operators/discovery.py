@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
 from itertools import combinations
 
@@ -76,44 +77,64 @@ def object_net(cases: DataFrame) -> dict:
     return net | {"type": "object_centric_petri_net"}
 
 
+def _leaf(a: str) -> dict:
+    return {"op": "activity", "label": a}
+
+
+def _in_a_row(children: list[dict]) -> dict:
+    """A sequence without silent steps; of one child, the child."""
+    some = [c for c in children if c["op"] != "tau"]
+    return {"op": "sequence", "children": some} if len(some) > 1 else some[0] if some else {"op": "tau"}
+
+
+def _one_way(names: list[str], follows: set[tuple[str, str]]) -> list[str]:
+    """The activities in an order of the relations that hold one way only, smaller names first; shorter than all if these
+    go round."""
+    after = {a: [b for b in names if (a, b) in follows and (b, a) not in follows] for a in names}
+    waits = Counter(b for bs in after.values() for b in bs)
+    ready, out = [a for a in names if not waits[a]], []
+    heapq.heapify(ready)
+    while ready:
+        out.append(heapq.heappop(ready))
+        for b in after[out[-1]]:
+            waits[b] -= 1
+            if not waits[b]:
+                heapq.heappush(ready, b)
+    return out
+
+
 def _tree(traces: Counter, depth: int = 0) -> dict:
-    """Peels common first and last activities; else a choice by first activity, all in parallel, a sequence, or a loop.
-    Empty traces are a branch of their own (tau)."""
-    if depth > DEPTH:
-        raise EngineError("resource_limit", f"a tree deeper than {DEPTH}")
-    tau = {"op": "tau"}
+    """Peels common first and last activities; else a choice by first activity, if these share no activity; else all in
+    parallel, if each directly follows each other; else the order of direct relations, if they go one way; else a loop of the
+    most frequent trace (ties: the smallest) around its first activity. One activity alone is that activity, however often
+    it occurs. Traces of which some, not all, are empty at this point are a choice of the others and of nothing."""
     full = Counter({t: n for t, n in traces.items() if t})
     if not full:
-        return tau
-    if len(full) < len(traces):
-        return {"op": "xor", "children": [_tree(full, depth + 1), tau]}
+        return {"op": "tau"}
     names = sorted({a for t in full for a in t})
     if len(names) == 1:
-        leaf = {"op": "activity", "label": names[0]}
-        return leaf if all(len(t) == 1 for t in full) else {"op": "loop", "children": [leaf, tau]}
+        return _leaf(names[0])
+    modal = min(full, key=lambda t: (-full[t], t))
+    if depth >= DEPTH:
+        return {"op": "sequence", "children": [_leaf(a) for a in modal]}
+    if len(full) < len(traces):
+        return {"op": "xor", "children": [_tree(full, depth + 1), {"op": "tau"}]}
     firsts, lasts = {t[0] for t in full}, {t[-1] for t in full}
-    cut = lambda lo, hi: Counter({k: n for t, n in full.items() for k in [t[lo : len(t) - hi]]} if len({t[lo : len(t) - hi] for t in full}) == len(full) else _merge((t[lo : len(t) - hi], n) for t, n in full.items()))
     if len(firsts) == 1:
-        return {"op": "sequence", "children": [{"op": "activity", "label": firsts.pop()}, _tree(cut(1, 0), depth + 1)]}
+        return _in_a_row([_leaf(firsts.pop()), _tree(_merge((t[1:], n) for t, n in full.items()), depth + 1)])
     if len(lasts) == 1:
-        return {"op": "sequence", "children": [_tree(cut(0, 1), depth + 1), {"op": "activity", "label": lasts.pop()}]}
+        return _in_a_row([_tree(_merge((t[:-1], n) for t, n in full.items()), depth + 1), _leaf(lasts.pop())])
     by = {f: _merge((t, n) for t, n in full.items() if t[0] == f) for f in sorted(firsts)}
-    sets = {f: {a for t in ts for a in t} for f, ts in by.items()}
-    if all(not sets[a] & sets[b] for a, b in combinations(sets, 2)):
+    seen = Counter(a for ts in by.values() for a in {a for t in ts for a in t})
+    if max(seen.values()) == 1:
         return {"op": "xor", "children": [_tree(ts, depth + 1) for ts in by.values()]}
-    every = set(names)
-    once = all(len(t) == len(set(t)) for t in full)
-    before = {(a, b) for t in full for i, a in enumerate(t) for b in t[i + 1 :]}
-    if once and all(set(t) == every for t in full) and all((a, b) in before and (b, a) in before for a, b in combinations(names, 2)):
-        return {"op": "parallel", "children": [{"op": "activity", "label": a} for a in names]}
-    if once and not any((b, a) in before for a, b in before):
-        order = sorted(names, key=lambda a: (sum((b, a) in before for b in names), a))
-        leaf = lambda a: {"op": "activity", "label": a}
-        optional = lambda a: leaf(a) if all(a in t for t in full) else {"op": "xor", "children": [leaf(a), tau]}
-        return {"op": "sequence", "children": [optional(a) for a in order]}
-    modal = min(full, key=lambda t: (-full[t], t))
-    rest = [{"op": "activity", "label": a} for a in dict.fromkeys(modal[1:])]
-    return {"op": "loop", "children": [{"op": "activity", "label": modal[0]}, {"op": "sequence", "children": rest} if rest else tau]}
+    follows = {(a, b) for t in full for a, b in zip(t, t[1:])}
+    if all((a, b) in follows and (b, a) in follows for a, b in combinations(names, 2)):
+        return {"op": "parallel", "children": [_leaf(a) for a in names]}
+    order = _one_way(names, follows)
+    if len(order) == len(names):
+        return {"op": "sequence", "children": [_leaf(a) for a in order]}
+    return {"op": "loop", "children": [_leaf(modal[0]), _in_a_row([_leaf(a) for a in modal[1:]])]}
 
 
 def _merge(pairs) -> Counter:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.order import numbered
+from tracelake.functions.storage import cut
 from tracelake.model import EngineError
 
 
@@ -33,6 +34,7 @@ def coverage_model(rows: DataFrame, keys: list[str], coverage: float, train: str
 
 def frequency_conformance(rows: DataFrame, keys: list[str], coverage: float) -> DataFrame:
     """One row: conforming, deviations, fitness (1 without test rows), model_size. rows: keys, train, test."""
+    rows = cut(rows)  # a row for each element, looked at several times
     model = coverage_model(rows, keys, coverage).select(*keys).withColumn("_in", F.lit(True))
     # model keys are not null: they come from rows of counted elements
     met = rows.join(model, keys, "left")

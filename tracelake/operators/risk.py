@@ -20,7 +20,7 @@ from tracelake.operators.executions import seconds
 
 #: Observations that training takes, about, at most: those of a sample of objects, by the hash of their id. All are scored.
 NODES = 20_000
-HASHED, HIDDEN, DEGREE = 16, 16, 8
+HASHED, HIDDEN, DEGREE = 16, 16, 32
 DAY, WEEK = 86_400.0, 7 * 86_400.0
 
 
@@ -51,11 +51,13 @@ def nodes(obs: DataFrame) -> DataFrame:
 
 
 def edges(n: DataFrame) -> DataFrame:
-    """a, b, both ways: neighbouring observations of an object, and those that share an event with one of the others, at most
-    DEGREE from each node (the nearest in order of node)."""
+    """a, b, both ways: neighbouring observations of an object, and those that share an event (source or target) with another, at
+    most DEGREE from each node (the nearest in order of node)."""
     seq = n.select("node", F.lead("node").over(Window.partitionBy("object_id").orderBy("source_ts", "node")).alias("other")).filter("other is not null")
-    shared = Window.partitionBy("target_event_id").orderBy("node")
-    hub = n.select("node", F.lead("node").over(shared).alias("other")).filter("other is not null")
+    # each with the next ones of its event: no event makes all pairs
+    ends = n.select("node", F.explode(F.array("source_event_id", "target_event_id")).alias("event")).distinct()
+    following = Window.partitionBy("event").orderBy("node").rowsBetween(1, DEGREE)
+    hub = ends.withColumn("others", F.collect_list("node").over(following)).select("node", F.explode("others").alias("other"))
     e = seq.union(hub).distinct()
     both = e.select(F.col("node").alias("a"), F.col("other").alias("b")).union(e.select("other", "node")).distinct()
     return both.withColumn("_r", F.row_number().over(Window.partitionBy("a").orderBy("b"))).filter(F.col("_r") <= DEGREE).drop("_r")
