@@ -387,3 +387,68 @@ def test_url_grams_start_at_the_host(spark):
     url = "http://casino-spam.example/go?u=https://wiki.example/a"
     df = spark.createDataFrame([(url,)], "url string").select(urls.grams(F.col("url"), 0).alias("g"))
     assert "".join(df.first()["g"]) == url[7:]
+
+
+def test_windows_and_deficits_through_spark(spark):
+    """Every shard's windows, with other targets than the natural shares, against ``fill`` with deficits summed by hand."""
+    rows = [x for x in mixed() if x[0] is not None]
+    targets = {"a": 5.0, "b": 3.0, "c": 1.0}
+    got = packing.pack(docs(spark, rows), length=128, shard_bytes=30_000, targets=targets).toPandas()
+    got["shard"], got["source"] = got.sequence_id // 2**32, got.source.fillna("None")  # sorts as its queue does
+    share = {s: v / sum(targets.values()) for s, v in targets.items()}
+    before = {s: 0 for s in set(got.source)}
+    assert got.shard.nunique() > 2
+    for shard, g in sorted(got.groupby("shard"), key=lambda x: x[0]):
+        queues = {}
+        for s, p in sorted(g.groupby("source"), key=lambda x: str(x[0])):
+            # repeated rows are one after the other: a document begins where start is 0
+            first = p[p.start == 0].sort_values(["doc_id", "doc_tokens"])
+            queues[s] = [((d, n), n) for d, n in zip(first.doc_id, first.doc_tokens)]
+        dealt = sum(before.values())
+        want = [(s, *item, start, took, sequence, offset) for s, item, start, took, sequence, offset in packing.fill(queues, share, {s: share.get(s, 0.0) * dealt - before[s] for s in queues}, 128)]
+        have = g.sort_values(["sequence_id", "offset"])
+        assert [(r.source, r.doc_id, r.doc_tokens, r.start, r.length, r.sequence_id % 2**32, r.offset) for r in have.itertuples()] == want
+        for s, n in g.groupby("source").length.sum().items():
+            before[s] += n
+
+
+def test_pair_marginals_by_enumeration():
+    import itertools
+
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        sizes = rng.integers(1, 6, 3)
+        e, start, trans = rng.normal(size=sizes.sum()), rng.normal(size=2), rng.normal(size=(2, 2))
+        first = np.zeros(len(e), dtype=bool)
+        first[np.cumsum(sizes) - sizes] = True
+        got, at = toxicity._pairs(e, first, start, trans), 0
+        for n in sizes.tolist():
+            total, pairs = 0.0, np.zeros((n, 4))
+            for ys in itertools.product((0, 1), repeat=n):
+                w = np.exp(start[ys[0]] + sum(e[at + k] * y for k, y in enumerate(ys)) + sum(trans[a, b] for a, b in zip(ys, ys[1:])))
+                total += w
+                for k in range(1, n):
+                    pairs[k, 2 * ys[k - 1] + ys[k]] += w
+            assert np.allclose(got[at : at + n], pairs / total)
+            at += n
+
+
+def test_training_windows():
+    words = [[f"w{i}" for i in range(100)], [f"v{i}" for i in range(40)], []]
+    labels = [[int(i in (3, 8, 60)) for i in range(100)], [0] * 40, []]
+    got = toxicity._windows(words, labels, 4, 10_000, 1)
+    hot = sorted((w[0], len(w), sum(y)) for w, y in got if sum(y))
+    assert hot == [("w0", 12, 2), ("w56", 8, 1)]  # what meets is one window, at the start of a text too
+    cold = [w for w, y in got if not sum(y)]
+    assert all(len(w) <= 8 for w in cold) and {x for w in cold for x in w} >= {f"v{i}" for i in range(40)}
+    few = toxicity._windows(words, labels, 4, 32, 1)
+    assert sum(len(w) for w, _ in few) <= 32 + 2 * 12
+    assert toxicity._windows([], [], 4, 100, 1) == []
+
+
+def test_toxicity_of_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, extra int")
+    m = toxicity.train(none, spark.createDataFrame([], "doc_id long, toxic int"))
+    assert toxicity.tag(none, m).count() == 0
+    rows = toxicity.tag(spark.createDataFrame([(1, None, 1), (None, "", 2), (1, None, 1)], "doc_id long, text string, score int"), m).collect()
+    assert len(rows) == 3 and {r["score"] for r in rows} == {0.5} and not any(r["spans"] for r in rows)
