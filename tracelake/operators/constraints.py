@@ -33,6 +33,7 @@ class _Compiler:
 
     def __init__(self, log: Log) -> None:
         self.log, self.sums, self.joins, self.labels = log, {}, [], []
+        self.before: list[tuple[DataFrame, list[str]]] = []  # joins of events, ahead of the aggregate, and their keys
 
     def sum(self, column: Column) -> Column:
         name = f"a{len(self.sums)}"
@@ -48,6 +49,21 @@ class _Compiler:
         self.joins.append(ids.distinct().withColumn(name, F.lit(True)))
         return F.coalesce(F.col(name), F.lit(False))
 
+    def mark(self, rows: DataFrame, keys: list[str]) -> Column:
+        """Whether an event's ``keys`` are in ``rows``."""
+        name = f"b{len(self.before)}"
+        self.before.append((rows.select(*keys).distinct().withColumn(name, F.lit(True)), keys))
+        return F.coalesce(F.col(name), F.lit(False))
+
+    def own_links(self, c: dict) -> DataFrame:
+        """Links of objects to themselves, the only ones with both ends in an execution of one object."""
+        own = self.log.o2o.filter(F.col("source_object_id") == F.col("target_object_id"))
+        if c.get("qualifiers") is not None:
+            own = own.filter(F.col("qualifier").isin(c["qualifiers"]))
+        if c.get("qualifier") is not None:
+            own = own.filter(F.col("qualifier") == c["qualifier"])
+        return own.select(F.col("source_object_id").alias("object_id"))
+
     def on_event(self, c: dict) -> Column:
         """The constraint on one event as an execution of its own; what needs two events is false there."""
         k = c["kind"]
@@ -63,6 +79,20 @@ class _Compiler:
             return F.col("object_type").isin(c["types"])
         if k in ("directly_follows", "eventually_follows", "temporal_distance"):
             return F.lit(False)
+        if k == "e2o_qualifier":
+            return self.mark(self.log.e2o.filter(F.col("qualifier").isin(c["qualifiers"])), ["event_id", "object_id"])
+        if k == "o2o_qualifier":
+            return self.mark(self.own_links(c), ["object_id"])
+        if k == "relationship":
+            return self.mark(self.own_links(c), ["object_id"]) & (F.col("object_type") == c["source_type"]) & F.lit(c["source_type"] == c["target_type"])
+        if k == "object_attribute":  # as of the event, strictly before
+            name = f"b{len(self.before)}"
+            changes = self.log.object_attrs.filter(F.col("name") == c["name"]).groupBy("object_id").agg(F.collect_list(F.struct("valid_from", "value")).alias(name))
+            self.before.append((changes, ["object_id"]))
+            return F.coalesce(same_value(F.array_max(F.filter(name, lambda x: x["valid_from"] < F.col("ts")))["value"], c["value"]), F.lit(False))
+        if k == "child_count":  # of one event, that is one or none
+            n = self.on_event(c["child"]).cast("int")
+            return (n >= c.get("min", 0)) & (n <= c["max"] if c.get("max") is not None else F.lit(True))
         if k in ("and", "or"):
             out = self.on_event(c["children"][0])
             for x in c["children"][1:]:
@@ -72,7 +102,7 @@ class _Compiler:
             return ~self.on_event(c["child"])
         if k == "label":
             return self.on_event(c["child"])
-        raise EngineError("unsupported", f"{k} inside child_count")
+        raise EngineError("invalid_request", f"no such constraint: {k}")
 
     def test(self, c: dict, reached: Column) -> Column:
         """reached: whether evaluation from left to right, ending as soon as the outcome is known, gets here. Labels need it."""
@@ -91,14 +121,10 @@ class _Compiler:
             return F.coalesce(same_value(before["value"], c["value"]), F.lit(False))
         if k == "e2o_qualifier":
             return self.flag(self.log.e2o.filter(F.col("qualifier").isin(c["qualifiers"])).select(F.col("object_id").alias("execution_id")))
-        if k == "o2o_qualifier":  # both ends inside an execution of one object: only a link to itself
-            own = self.log.o2o.filter((F.col("source_object_id") == F.col("target_object_id")) & F.col("qualifier").isin(c["qualifiers"]))
-            return self.flag(own.select(F.col("source_object_id").alias("execution_id")))
+        if k == "o2o_qualifier":
+            return self.flag(self.own_links(c).withColumnRenamed("object_id", "execution_id"))
         if k == "relationship":
-            own = self.log.o2o.filter(F.col("source_object_id") == F.col("target_object_id"))
-            if c.get("qualifier") is not None:
-                own = own.filter(F.col("qualifier") == c["qualifier"])
-            return self.flag(own.select(F.col("source_object_id").alias("execution_id"))) & (F.col("object_type") == c["source_type"]) & F.lit(c["source_type"] == c["target_type"])
+            return self.flag(self.own_links(c).withColumnRenamed("object_id", "execution_id")) & (F.col("object_type") == c["source_type"]) & F.lit(c["source_type"] == c["target_type"])
         if k == "directly_follows":
             return self.any((F.col("activity") == c["a"]) & (F.col("next_activity") == c["b"]))
         if k == "eventually_follows":
@@ -143,6 +169,8 @@ def matches(log: Log, constraint: dict, view: View = View(), object_type: str |
     cases = ordered(leading(log, view, object_type))
     to = _Compiler(log)
     fits = to.test(constraint, F.lit(True))
+    for rows, on in to.before:
+        cases = cases.join(rows, on, "left")
     keys = ["execution_id", "object_id", "object_type", "external_object_id"]
     ids = F.transform(F.array_sort(F.collect_list(F.struct("pos", "event_id"))), lambda x: x["event_id"])
     out = cases.groupBy(*keys).agg(ids.alias("event_ids"), *[c.alias(n) for n, c in to.sums.items()])

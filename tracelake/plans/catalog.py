@@ -366,6 +366,27 @@ def c_child_count(log):
     return _ids(log, {"kind": "child_count", "child": child, "min": 1, "max": 2})
 
 
+@query(B, """, k AS (SELECT DISTINCT event_id, object_id FROM eo WHERE qualifier = 'part'), s AS (SELECT y.*, k.event_id IS NOT NULL AS part FROM y LEFT JOIN k USING (event_id, object_id))
+SELECT object_id AS execution_id FROM s GROUP BY 1 HAVING count(*) FILTER (part) >= 2""")
+def c_child_qualifier(log):
+    return _ids(log, {"kind": "child_count", "child": {"kind": "e2o_qualifier", "qualifiers": ["part"]}, "min": 2})
+
+
+@query(B, """, a AS (SELECT o_orderkey * 4 AS object_id, o_orderstatus AS status, o_orderdate + INTERVAL 7 DAY AS since FROM orders)
+SELECT object_id AS execution_id FROM y JOIN a USING (object_id) WHERE object_type = 'order' GROUP BY 1 HAVING count(*) FILTER (since < ts AND status = 'F') BETWEEN 1 AND 3""")
+def c_child_attribute(log):
+    """Events after which an order's status, as of each, was F."""
+    child = {"kind": "and", "children": [{"kind": "object_attribute", "name": "status", "value": "F"}, {"kind": "not", "child": {"kind": "relationship", "source_type": "order", "target_type": "order"}}]}
+    return _ids(log, {"kind": "child_count", "child": child, "min": 1, "max": 3}, object_types=("order",))
+
+
+@query(B, "SELECT object_id AS execution_id FROM ob WHERE object_type = 'order' AND object_id IN (SELECT object_id FROM y)")
+def c_no_own_links(log):
+    """No order is linked to itself, so all fit."""
+    tree = {"kind": "not", "child": {"kind": "or", "children": [{"kind": "o2o_qualifier", "qualifiers": ["placed_by"]}, {"kind": "relationship", "source_type": "order", "target_type": "order"}]}}
+    return _ids(log, tree, object_types=("order",))
+
+
 @query(A, """SELECT object_id AS execution_id, CASE WHEN a AND b THEN 'buys,clean' WHEN a THEN 'buys' WHEN b THEN 'clean' ELSE '' END AS labels FROM
 (SELECT object_id, bool_or(activity = 'signup' AND nxt = 'purchase') AS a, NOT bool_or(activity = 'error' AND nxt = 'error') AND NOT bool_or(activity = 'signup' AND nxt = 'purchase') AS b FROM x GROUP BY 1) WHERE a OR b""")
 def c_bool_tree_labels(log):
