@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.functions.storage import cut
+from tracelake.llm.common import tidied
 
 #: Rows of a bucket that one tile holds; a task compares two tiles at most, so its memory does not grow with a bucket.
 TILE = 8192
@@ -148,7 +149,7 @@ def linker(distance: int, choice: list[int], node: str, out: pa.Schema, verify:
         if held is not None and held.num_rows:
             yield forest(held.combine_chunks())
 
-    return run
+    return tidied(run)
 
 
 def links(rows: DataFrame, n: int, distance: int, node: str = "fp", tile: int = TILE, verify: Callable | None = None, payload: str | None = None, buckets: str | None = None, near: tuple[list[str], Callable] | None = None, weight: str | None = None) -> DataFrame:

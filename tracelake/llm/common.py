@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,3 +30,23 @@ def free(columns: list[str], *names: str) -> list[str]:
     """Names like ``names`` that no column has, in whatever case."""
     taken = {c.lower() for c in columns}
     return [next(n for k in range(len(taken) + 1) if (n := name + "_" * k).lower() not in taken) for name in names]
+
+
+def tidied(run: Callable) -> Callable:
+    """``run``, a function of a task's batches, after which the worker gives back what memory its allocators hold free: workers
+    live on, and the next task may be of another stage."""
+
+    def inner(batches: Iterator) -> Iterator:
+        import ctypes
+
+        import pyarrow
+
+        try:
+            yield from run(batches)
+        finally:
+            pyarrow.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not every C library has it
+            if trim is not None:
+                trim(0)
+
+    return inner

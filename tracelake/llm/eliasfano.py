@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.storage import cut, shared_dir
-from tracelake.llm.common import table
+from tracelake.llm.common import table, tidied
 from tracelake.llm.tokens import crc32
 from tracelake.llm.tokens import encoder as encoder_of
 
@@ -152,7 +152,7 @@ def _write(folder: str, vocabulary: str, kind: str, end: int):
         out.close()
         yield pa.RecordBatch.from_pydict({"part": [task.partitionId()], "uri": [uri], "docs": [len(lengths)], "tokens": [int(bounds[-1])]})
 
-    return run
+    return tidied(run)
 
 
 def write_tokens(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text", vocabulary: str = "word_bpe_49k.json", kind: str = "word", end: int = 2,

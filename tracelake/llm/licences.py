@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import table
+from tracelake.llm.common import table, tidied
 from tracelake.llm.linededup import _mix as mix
 from tracelake.llm.linededup import folded as plain
 from tracelake.llm.linededup import words_of as lines_of
@@ -328,7 +328,7 @@ def _scan(model: Model):
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(ids, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds)]], names=names)
                 lo, size, held = hi + 1, 0, []
 
-    return run
+    return tidied(run)
 
 
 def paragraphs(docs: DataFrame, text: str = "text", sample: int = SAMPLE) -> list[str]:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.storage import cut, drop, sweep, written
 from tracelake.llm.blocks import links
-from tracelake.llm.common import free, table
+from tracelake.llm.common import free, table, tidied
 from tracelake.llm.simhash import majority
 from tracelake.operators.components import connected_components
 
@@ -38,7 +38,7 @@ PART_BYTES, MANY = 16 << 20, 16
 #: Bytes of lines of a group that are compared at once.
 TILE_BYTES = 2 << 20
 #: Bytes of text that are sketched at a time, and sums of lines that a task remembers.
-AT_ONCE, SEEN = 8 << 20, 500_000
+AT_ONCE, SEEN = 4 << 20, 200_000
 _SALT = np.random.default_rng(13).integers(0, 1 << 63, BANDS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 #: ASCII digits become 0 and ASCII punctuation a space; the line feed stays.
 _FOLD = bytes.maketrans(bytes(range(49, 58)) + (p := bytes(c for c in range(128) if not chr(c).isalnum() and c != 10)), b"0" * 9 + b" " * len(p))
@@ -268,7 +268,7 @@ def _sketched(min_words: int, min_chars: int, similarity: float):
                     yield made(b.column(0).slice(lo, len(texts)), b.column(1).slice(lo, len(texts)), texts, seen)
                     lo, size, texts = i + 1, 0, []
 
-    return run
+    return tidied(run)
 
 
 _STEP = 2654435761
@@ -313,7 +313,7 @@ def _texts(bits: int, wanted: np.ndarray):
             own = pa.array(owner[hit])
             yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), pa.array(line[hit].astype(np.int32)), pa.array(out, pa.string())], names=names)
 
-    return run
+    return tidied(run)
 
 
 def _told_apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,7 +364,7 @@ def _packed(parts: int):
                 names.append(int(part[lo]))
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(out, pa.binary())], names=["part", "pairs"])
 
-    return run
+    return tidied(run)
 
 
 def _shared(parts: int):
@@ -395,7 +395,7 @@ def _shared(parts: int):
         if held:
             yield met(held, last >= parts)
 
-    return run
+    return tidied(run)
 
 
 def within(similarity: float, parity: list[str]):
@@ -435,7 +435,7 @@ def _ties(lines: DataFrame, base: DataFrame, similarity: float) -> DataFrame:
     found = texts.join(wanted.hint("shuffle_hash"), F.expr("id <=> wid and h = wh and line = wline")).dropDuplicates(["sum"])
     compared = found.select("sum", "n", F.array("part").alias("part"), "words", (F.octet_length("words") + 64).alias("bytes"))
     spec = "sum binary, n int, part array<bigint>, words string, bytes int, fp bigint, " + ", ".join(f"{q} bigint" for q in EXACT)
-    compared = cut(compared.mapInArrow(_told_apart, spec))
+    compared = cut(compared.mapInArrow(tidied(_told_apart), spec))
     return links(compared, n, RADIUS, node="sum", tile=TILE_BYTES, verify=alike(similarity), payload="words", buckets="part", near=within(similarity, EXACT), weight="bytes")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.storage import cut
-from tracelake.llm.common import table
+from tracelake.llm.common import table, tidied
 from tracelake.llm.tokens import crc32
 from tracelake.llm.tokens import encoder as encoder_of
 
@@ -33,7 +33,7 @@ def _tokenise(vocabulary: str, kind: str, end: int, shards: int):
                 held = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array(shard), pa.array(n), held], names=["doc_id", "source", "shard", "n", "ids"])
 
-    return run
+    return tidied(run)
 
 
 def fill(queues: dict, shares: dict, carried: dict, length: int) -> Iterator[tuple]:

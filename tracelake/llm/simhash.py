@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tracelake.functions.storage import cut
 from tracelake.llm.blocks import links
-from tracelake.llm.common import free, table
+from tracelake.llm.common import free, table, tidied
 from tracelake.operators.components import connected_components
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -73,7 +73,7 @@ def _fingerprints(words: int):
             fp = np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
-    return run
+    return tidied(run)
 
 
 def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
@@ -156,7 +156,7 @@ def _sketches(words: int):
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1, dtype=np.int32) * BANDS), pa.array(keys))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sums, pa.binary()), pa.array(fp), lists], names=["id", "h", "sum", "fp", "bands"])
 
-    return run
+    return tidied(run)
 
 
 def _sets(words: int):
@@ -165,7 +165,7 @@ def _sets(words: int):
             sets = pa.array([_set(t.as_py() or "", words).tobytes() for t in b.column(3)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), sets], names=["sum", "fp", "part", "shingles"])
 
-    return run
+    return tidied(run)
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8, distance: int = RADIUS) -> DataFrame:

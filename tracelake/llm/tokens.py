@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 #: Parts kept in each of two generations (the older goes when the newer is full, so that frequent parts stay), and bytes of
 #: text encoded at a time: with these a worker's memory is bounded by them and the longest text.
-KNOWN, AT_ONCE = 250_000, 8 << 20
+KNOWN, AT_ONCE = 250_000, 4 << 20
 #: Stands for the end id among parts; no text has such a part.
 _END = "\x01a\x01"
 _ENCODERS: dict[tuple, Encoder] = {}

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import table
+from tracelake.llm.common import table, tidied
 
 _TOKEN = re.compile(r"[^\W\d_]+")
 #: Labelled documents that training takes of each class at most (those of smallest hash, from all of the table), and bytes of
@@ -344,7 +344,7 @@ def _tag(model: Model, least: float):
                 if len(known) > _KNOWN:
                     known.clear()
 
-    return run
+    return tidied(run)
 
 
 def tag(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
