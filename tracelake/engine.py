@@ -156,7 +156,7 @@ class Engine:
         """The restrictions a request's view sets and the physical plan of its cases."""
         cases = self.cases(request.get("view"), request.get("mode", "leading"), request.get("object_type"), attributes=False)
         run = cases._jdf.queryExecution()
-        return {"predicates": View.parse(request.get("view")).summary(), "plan": run.toString(), "estimated_bytes": int(run.optimizedPlan().stats().sizeInBytes().toString())}
+        return {"predicates": View.parse(request.get("view")).summary(), "plan": run.toString(), "estimated_bytes": int(str(run.optimizedPlan().stats().sizeInBytes()))}
 
     def run(self, work: Callable[[Engine], Any], deadline: float | None = None) -> Any:
         """``work(self)`` under a tag, so that another thread may ``cancel`` it; past the deadline (seconds) it is cancelled."""
