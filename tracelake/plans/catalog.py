@@ -979,7 +979,7 @@ def io_serving(log):
     return _round_trip(log, _write_serving, readers.read_serving, totals=True)
 
 
-@query(A, "SELECT activity, object_id, pos, CAST(epoch_us(ts) AS BIGINT) AS us FROM x WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'")
+@query(A, "SELECT activity, object_id, CAST(pos AS INTEGER) AS pos, CAST(epoch_us(ts) AS BIGINT) AS us FROM x WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'")
 def event_export(log):
     """The rows of a window, numbered in their case of the whole log."""
     c = _cases(log).filter((F.col("ts") >= F.lit(_t(5))) & (F.col("ts") < F.lit(_t(20))))
