@@ -905,7 +905,7 @@ def _round_trip(log: Log, write: Callable[[Log, str], object], read: Callable[[S
 
 
 _TRIP = "SELECT activity, count(*) AS events, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us, count(*) AS links, count(*) FILTER (resource = 'r1') AS r1"
-_TRIP_ALL = ", (SELECT count(DISTINCT object_id) FROM x) AS objects, 0 AS o2o, (SELECT count(DISTINCT object_id) FROM x) AS changes"
+_TRIP_ALL = ", (SELECT count(DISTINCT object_id) FROM x) AS objects, CAST(0 AS BIGINT) AS o2o, (SELECT count(DISTINCT object_id) FROM x) AS changes"
 
 
 @query(A, f"{_TRIP} FROM x GROUP BY 1")
@@ -934,7 +934,7 @@ def io_sqlite(log):
     return _round_trip(log, writers.write_sqlite, readers.read_sqlite)
 
 
-@query(B, """SELECT activity, count(DISTINCT event_id) AS events, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us, count(*) AS links, 0 AS r1,
+@query(B, """SELECT activity, count(DISTINCT event_id) AS events, CAST(epoch_us(min(ts)) AS BIGINT) AS first_us, CAST(epoch_us(max(ts)) AS BIGINT) AS last_us, count(*) AS links, CAST(0 AS BIGINT) AS r1,
 (SELECT count(*) FROM ob) AS objects, (SELECT count(*) FROM orders) AS o2o, (SELECT 3 * count(*) FROM orders) AS changes FROM ev JOIN eo USING (event_id) GROUP BY 1""")
 def io_snapshot(log):
     """A version that CURRENT names, read with all checks, hashes too."""
@@ -956,7 +956,7 @@ def _write_links(log: Log, path: str) -> None:
         df.union(df.withColumn("tenant_id", F.lit("t2")).limit(3)).write.parquet(f"{path}/{name}.parquet")
 
 
-@query(A, f"""{_TRIP.replace('count(*) AS links', '2 * count(*) AS links').replace('(resource', '(false AND resource')}, 2 * (SELECT count(DISTINCT object_id) FROM x) AS objects, 0 AS o2o,
+@query(A, f"""{_TRIP.replace('count(*) AS links', '2 * count(*) AS links').replace('(resource', '(false AND resource')}, 2 * (SELECT count(DISTINCT object_id) FROM x) AS objects, CAST(0 AS BIGINT) AS o2o,
 (SELECT count(*) + count(*) FILTER (object_id % 2 = 1) FROM (SELECT DISTINCT object_id FROM x)) AS changes FROM x GROUP BY 1""")
 def io_entity_links(log):
     """Each event is linked to its object and to its case; types are facts of all, the status Y of none."""
@@ -973,7 +973,7 @@ def _write_serving(log: Log, path: str) -> None:
         f.write(canonical_json({"files": files}))
 
 
-@query(A, f"{_TRIP}, (SELECT count(DISTINCT object_id) FROM x) AS objects, 0 AS o2o, (SELECT count(*) + count(*) FILTER (object_id % 3 <> 0) FROM (SELECT DISTINCT object_id FROM x)) AS changes FROM x GROUP BY 1")
+@query(A, f"{_TRIP}, (SELECT count(DISTINCT object_id) FROM x) AS objects, CAST(0 AS BIGINT) AS o2o, (SELECT count(*) + count(*) FILTER (object_id % 3 <> 0) FROM (SELECT DISTINCT object_id FROM x)) AS changes FROM x GROUP BY 1")
 def io_serving(log):
     """Facets, a column each, become attribute changes where they are not blank."""
     return _round_trip(log, _write_serving, readers.read_serving, totals=True)
