@@ -237,3 +237,18 @@ def test_keys_that_lines_share():
         out = pa.RecordBatch.from_arrays([pa.array([p for p, _ in packed], pa.int64()), pa.array([v for _, v in packed], pa.binary())], names=["part", "pairs"])
         got = {(k, s) for b in linededup._shared(parts)(iter([out])) for k, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
         assert got == want, (size, parts)
+
+
+def test_driver_gets_the_map_of_lines_in_stretches(spark, monkeypatch):
+    kind, sent = type(spark.range(0)), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda df: sent.append(collect(df)) or sent[-1])
+    rows = spark.range(50_000).selectExpr("xxhash64(id) AS h", "cast(id % 300 AS int) AS line")
+    bits, marks = linededup._bit_map(rows, 50_000)
+    assert len(sent) == 1 and len(sent[0]) <= len(marks) // 1000  # not a row for each word
+    h, line = (np.array(c) for c in zip(*collect(rows)))
+    want = np.zeros(1 << bits, dtype=bool)
+    want[linededup._place(h, line, bits)] = True
+    assert marks.dtype == np.uint64 and np.array_equal(np.unpackbits(marks.view(np.uint8), bitorder="little"), want)
+    bits, marks = linededup._bit_map(rows.limit(0), 0)
+    assert len(marks) << 6 == 1 << bits and not marks.any()
