@@ -252,3 +252,14 @@ def test_driver_gets_the_map_of_lines_in_stretches(spark, monkeypatch):
     assert marks.dtype == np.uint64 and np.array_equal(np.unpackbits(marks.view(np.uint8), bitorder="little"), want)
     bits, marks = linededup._bit_map(rows.limit(0), 0)
     assert len(marks) << 6 == 1 << bits and not marks.any()
+
+
+@pytest.mark.parametrize("together", [1 << 15, 7])
+def test_hashes_of_words_are_xxh64(monkeypatch, together):
+    monkeypatch.setattr(linededup, "HASHED", together)
+    r = np.random.default_rng(5)
+    size = np.concatenate([np.repeat(np.arange(70), 3), r.integers(0, 12, 400), [5000, 0, 1, 33]])
+    data, off = r.integers(0, 256, size.sum(), dtype=np.uint8), np.concatenate([[0], np.cumsum(size)])
+    want = [xxhash.xxh64_intdigest(data[a:b].tobytes()) for a, b in zip(off, off[1:])]
+    assert linededup.hashes(data, off).tolist() == want and linededup.hashes(data, off[9:]).tolist() == want[9:]
+    assert linededup.hashes(data[:0], off[:1]).tolist() == []
