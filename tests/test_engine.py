@@ -421,3 +421,14 @@ def test_tabular_prefixes_count_objects(spark):
     cases = executions.ordered(executions.distinct_events(executions.components(log.having(o2o=link))))
     assert {r["key"].rsplit("|", 1)[1] for r in prediction.prefixes(cases, 1, tabular=True).collect()} == {"2"}
     assert {r["key"].rsplit("|", 1)[1] for r in prediction.prefixes(cases_of(log), 1, tabular=True).collect()} == {"1"}
+
+
+@pytest.mark.parametrize("target", ["next_activity", "remaining_time"])
+def test_holdout_takes_the_share_as_a_decimal(spark, target):
+    """0.7 of 90 cases are 63, though 90 * 0.7 is less than that in floating point."""
+    assert [prediction.training_size(n, 0.7) for n in (10, 90, 90_000)] == [7, 63, 63_000]
+    cases = cases_of(make(spark, {o: [("a", o, None, None), ("b", o + 0.5, None, None)] for o in range(90)}))
+    train, test = prediction.holdout(cases)
+    assert sorted(r[0] for r in test.select("execution_id").distinct().collect()) == list(range(63, 90))
+    assert train.select("execution_id").distinct().count() == 63
+    assert prediction.evaluate(cases, target).first()["n"] == (27 if target == "next_activity" else 54)

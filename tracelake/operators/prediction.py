@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,11 +70,17 @@ def predict(model: dict[str, DataFrame], cases: DataFrame, target: str, order: i
     return best.select("execution_id", "event_id", "matched", *[F.col(f"_b.{c}") for c in cols])
 
 
+def training_size(n: int, share: float) -> int:
+    """Whole executions that ``share`` of n are. The share is the decimal number it is written as: 0.7 of 90,000 are 63,000,
+    while the product of floating-point numbers falls just short of that."""
+    return int(n * Fraction(str(share)))
+
+
 def holdout(cases: DataFrame, share: float = 0.7) -> tuple[DataFrame, DataFrame]:
     """(training, test) events: executions by the time they end, the earlier share trains. Executions are numbered in ranges
     side by side, not in one task."""
     ends = numbered(cases.groupBy("execution_id").agg(F.max("ts").alias("_end")), "_n", "_end", "execution_id")
-    split = ends.filter(F.col("_n") <= int(ends.count() * share)).select("execution_id")
+    split = ends.filter(F.col("_n") <= training_size(ends.count(), share)).select("execution_id")
     return cases.join(split, "execution_id", "left_semi"), cases.join(split, "execution_id", "left_anti")
 
 
