@@ -432,3 +432,19 @@ def test_holdout_takes_the_share_as_a_decimal(spark, target):
     assert sorted(r[0] for r in test.select("execution_id").distinct().collect()) == list(range(63, 90))
     assert train.select("execution_id").distinct().count() == 63
     assert prediction.evaluate(cases, target).first()["n"] == (27 if target == "next_activity" else 54)
+
+
+def test_executions_of_linked_events_are_those_of_the_relations(spark):
+    from tracelake.sources import demo
+
+    log = demo.orders(spark, "/root/testdata/sf0.001")
+    plain = log.having()
+    assert log.linked is not None and plain.linked is None
+    for view in (View(), View(object_types=("order",)), View(object_types=("part", "supplier"), activities=("ship",)), View(qualifiers=("customer", "part"))):
+        a, b = (executions.leading(x, view, attributes=False) for x in (log, plain))
+        assert sorted(a.columns) == sorted(b.columns)
+        assert a.count() == b.count() > 0 and a.exceptAll(b.select(a.columns)).count() == 0
+    # lines are shuffled when they are written, and then events once, dealt by object; each relation made its own before
+    plan = stats.dfg(executions.ordered(executions.leading(log, attributes=False)), by_type=True)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") <= 12 and "SortMergeJoin" not in plan.split("Window")[0]
+    assert demo.orders(spark, "/root/testdata/sf0.001").linked.inputFiles() == log.linked.inputFiles()

@@ -9,6 +9,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.functions.storage import written
 from tracelake.model import EngineError, artifact
 from tracelake.operators import stats
 
@@ -19,20 +20,31 @@ DEPTH = 128
 TRACES = 200_000
 
 
-def graph(cases: DataFrame, by_type: bool = False) -> dict:
-    """edges [source, target(, type), n], starts and ends (merged over types), activities."""
-    kind, none = F.col("object_type") if by_type else F.lit(None).cast("string"), F.lit(None).cast("string")
-    mark = lambda when, k, b, t: F.when(when, F.struct(F.lit(k).alias("k"), F.col("activity").alias("a"), b.alias("b"), t.alias("t")))
+def _marks(cases: DataFrame, kind) -> list:
+    """k (edge, start, end), a, b, t (the type, or what ``kind`` says), n."""
+    none = F.lit(None).cast("string")
+    mark = lambda when, k, b: F.when(when, F.struct(F.lit(k).alias("k"), F.col("activity").alias("a"), b.alias("b"), kind.alias("t")))
     more = F.col("next_activity").isNotNull()
     # what an event counts for, as one to three rows of one aggregate: the log is read and sorted once
-    marks = F.array(mark(more, "edge", F.col("next_activity"), kind), mark(F.col("pos") == 1, "start", none, none), mark(~more, "end", none, none))
-    rows = cases.select(F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("m")).groupBy("m.k", "m.a", "m.b", "m.t").agg(F.count("*").alias("n")).collect()
-    edges = sorted(([r["a"], r["b"], *([r["t"]] if by_type else []), r["n"]] for r in rows if r["k"] == "edge"), key=lambda r: [str(x) for x in r])
-    start, end = ({r["a"]: r["n"] for r in sorted(rows, key=lambda r: r["a"]) if r["k"] == k} for k in ("start", "end"))
+    marks = F.array(mark(more, "edge", F.col("next_activity")), mark(F.col("pos") == 1, "start", none), mark(~more, "end", none))
+    return cases.select(F.explode(F.filter(marks, lambda m: m.isNotNull())).alias("m")).groupBy("m.k", "m.a", "m.b", "m.t").agg(F.count("*").alias("n")).collect()
+
+
+def _graph(rows: list, by_type: bool = False) -> dict:
+    counts: dict[str, Counter] = {"edge": Counter(), "start": Counter(), "end": Counter()}
+    for r in rows:
+        counts[r["k"]][(r["a"], r["b"], *([r["t"]] if by_type else [])) if r["k"] == "edge" else r["a"]] += r["n"]
+    edges = sorted(([*e, n] for e, n in counts["edge"].items()), key=lambda r: [str(x) for x in r])
+    start, end = (dict(sorted(counts[k].items())) for k in ("start", "end"))
     names = sorted({e[0] for e in edges} | {e[1] for e in edges} | set(start) | set(end))
     return {"type": "dfg", "activities": names, "edges": edges, "starts": start, "ends": end}
 
 
+def graph(cases: DataFrame, by_type: bool = False) -> dict:
+    """edges [source, target(, type), n], starts and ends (merged over types), activities."""
+    return _graph(_marks(cases, F.col("object_type") if by_type else F.lit(None).cast("string")), by_type)
+
+
 def _petri(g: dict) -> dict:
     """Net of the alpha algorithm: maximal pairs of sets that cause each other and are unordered among themselves."""
     follows = {(e[0], e[1]) for e in g["edges"]}
@@ -69,10 +81,13 @@ def alpha(cases: DataFrame) -> dict:
 
 def object_net(cases: DataFrame) -> dict:
     """The net, each arc with its object type if the activity has but one, and ``variable`` where it touches several."""
-    net = alpha(cases)
-    types = {r[0]: r[1] for r in cases.groupBy("activity").agg(F.array_sort(F.collect_set("object_type"))).collect()}
+    rows = _marks(cases, F.col("object_type"))
+    net = _petri(_graph(rows))
+    types: dict[str, set] = {}
+    for r in rows:  # each event is a start, an edge's source or an end, and each counts by type
+        types.setdefault(r["a"], set()).add(r["t"])
     for arc in net["arcs"]:
-        own = types.get(next(x for x in arc if x.startswith("t:"))[2:], [])
+        own = sorted(types.get(next(x for x in arc if x.startswith("t:"))[2:], ()))
         arc += [own[0] if len(own) == 1 else None, len(own) > 1]
     return net | {"type": "object_centric_petri_net"}
 
@@ -159,8 +174,8 @@ def declare(cases: DataFrame, support: float = 0.8, strict: bool = False) -> Dat
     base: executions with a for existence, all for response; executions without a hold vacuously, which confidence counts
     against those with a, so it may be over 1 (strict: only executions with a count). Pairs are made within a row of the
     activities an execution has, each with its last place."""
-    at = cases.groupBy("execution_id", "activity").agg(F.max("pos").alias("last"))
-    total = cases.agg(F.count_if(F.col("pos") == 1)).first()[0]
+    at = written(cases.groupBy("execution_id", "activity").agg(F.max("pos").alias("last"), F.bool_or(F.col("pos") == 1).alias("first")))
+    total = at.agg(F.count_if("first")).first()[0]
     has = at.groupBy("activity").agg(F.count("*").alias("with_a"))
     existence = has.select(F.lit("existence").alias("template"), F.col("activity").alias("a"), F.lit(None).cast("string").alias("b"), F.col("with_a").alias("holds"), F.lit(total).cast("long").alias("base"), (F.col("with_a") / F.lit(max(1, total))).alias("confidence"))
     held = at.groupBy("execution_id").agg(F.collect_list(F.struct("activity", "last")).alias("h"))
