@@ -448,3 +448,41 @@ def test_executions_of_linked_events_are_those_of_the_relations(spark):
     plan = stats.dfg(executions.ordered(executions.leading(log, attributes=False)), by_type=True)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 12 and "SortMergeJoin" not in plan.split("Window")[0]
     assert demo.orders(spark, "/root/testdata/sf0.001").linked.inputFiles() == log.linked.inputFiles()
+
+
+def test_json_documents_are_read_in_pieces():
+    import io
+
+    doc = {"a": [{"x": "]}, \\"}, {"y": [1, {"z": "é"}]}], "n": 12345678, "none": [], "m": {"k": {"q": None}}, "last": True}
+    for indent in (None, 2):
+        text = json.dumps(doc, indent=indent, ensure_ascii=False)
+        for size in (1, 7, 1 << 20):
+            got = [(k, listed, json.loads(e)) for k, listed, e in readers.pieces(io.StringIO(text).read, size)]
+            assert got == [*[("a", True, x) for x in doc["a"]], ("n", False, 12345678), ("m", False, doc["m"]), ("last", False, True)]
+        with pytest.raises(EngineError):
+            list(readers.pieces(io.StringIO(text[:-1]).read, 7))
+
+
+def test_exchange_formats_keep_rows_off_the_driver(spark, tmp_path, monkeypatch):
+    """Writers let tasks make the text, a database is read a few rows at a time; entries of maps by id come too."""
+    from pyspark.sql import DataFrame
+
+    log = make(spark, {1: "ABA", 2: "CB"})
+    want = {(r["activity"], r["n"]) for r in log.events.groupBy("activity").agg(F.count("*").alias("n")).collect()}
+    monkeypatch.setattr(DataFrame, "toLocalIterator", lambda *a, **k: pytest.fail("rows came to the driver"))
+    monkeypatch.setattr(readers, "ROWS", 2)
+    writers.write_ocel_json(log, f"{tmp_path}/o.json")
+    writers.write_canonical_json(log, f"{tmp_path}/c.json")
+    writers.write_xes(log, f"{tmp_path}/x.xes", "order")
+    monkeypatch.undo()
+    monkeypatch.setattr(readers, "ROWS", 2)
+    writers.write_sqlite(log, f"{tmp_path}/s.sqlite")
+    for name in ("o.json", "c.json"):
+        json.loads((tmp_path / name).read_text())
+    by_id = json.loads((tmp_path / "o.json").read_text())
+    by_id = {"ocel:events": {e["id"]: {"ocel:activity": e["type"], "ocel:timestamp": e["time"], "ocel:omap": [r["objectId"] for r in e["relationships"]], "ocel:vmap": {}} for e in by_id["events"]}, "ocel:objects": {o["id"]: {"ocel:type": o["type"]} for o in by_id["objects"]}}
+    (tmp_path / "m.json").write_text(json.dumps(by_id, indent=1))
+    read = [readers.read_ocel_json(spark, f"{tmp_path}/o.json"), readers.read_canonical_json(spark, f"{tmp_path}/c.json"), readers.read_xes(spark, f"{tmp_path}/x.xes"), readers.read_sqlite(spark, f"{tmp_path}/s.sqlite"), readers.read_ocel_json(spark, f"{tmp_path}/m.json")]
+    for back in read:
+        assert {(r["activity"], r["n"]) for r in back.events.groupBy("activity").agg(F.count("*").alias("n")).collect()} == want
+        assert back.e2o.count() == 5
